@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference has no stream, watermark, event-time window or state: its
+"streaming" is minibatch feeding of a training loop, which citegraph expresses
+as per-epoch DataFrames (``citegraph.operators.sampling.assign_batches``).
+No Structured Streaming operator is provided, by design.
+"""
