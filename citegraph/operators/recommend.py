@@ -24,3 +24,22 @@ def matched_references(recs: DataFrame, truth: DataFrame) -> DataFrame:
     """Recommended ids that are true references of the query (set intersection)."""
     t = truth.select(F.col("source").alias("query_id"), F.col("target").alias("rec_id"))
     return recs.select("query_id", "rec_id").intersect(t)
+
+
+def titles_of(recs: DataFrame, papers: DataFrame, id_col: str = "target") -> DataFrame:
+    """Recommended ids → titles (inner join)."""
+    return recs.join(papers.select(F.col("paper_id").alias(id_col), F.col("title").alias("target_title")),
+                     id_col)
+
+
+def recommend_citations(decisions: DataFrame, truth: DataFrame, papers: DataFrame,
+                        paper_id: int | None = None) -> DataFrame:
+    """Predicted-positive true citations with titles, for one paper (P11) or all.
+
+    P11 + J5 + J9; the per-paper counts are :func:`metrics.truth_hits` (A9).
+    """
+    from citegraph.operators.metrics import edges_of, hits_in_truth
+
+    t = edges_of(truth, paper_id) if paper_id is not None else truth
+    hits = hits_in_truth(decisions.where(F.col("pred") == 1), t)
+    return titles_of(hits.select("source", "target"), papers)

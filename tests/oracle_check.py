@@ -32,11 +32,14 @@ def duck(sf_dir: str):
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is getattr(__import__("pandas"), "NA"):
         return None
+    try:
+        if v != v:
+            return None
+    except (TypeError, ValueError):
+        pass
     if isinstance(v, float):
-        if math.isnan(v):
-            return "nan"
         return round(v, 6)
     if hasattr(v, "item"):
         return _norm(v.item())
