@@ -163,3 +163,141 @@ def link_score(links: DataFrame, emb: DataFrame, *, op: str = "ip", act: str = "
         "concat": F.concat("_a", "_b"),
     }
     return j.withColumn("link_embedding", ops[op]).drop("_a", "_b")
+
+
+# ---------------------------------------------------------------- components, G4
+def connected_components(nodes: DataFrame, edges: DataFrame, *, id_col: str = "id",
+                         max_rounds: int = 200, checkpoint_every: int = 1) -> DataFrame:
+    """Component label = smallest node id in the component: (id, component).
+
+    Min-label propagation: each round every node takes the smallest label among
+    itself and its neighbours (join + hash-aggregate ``min``, combined map-side).
+    Lineage is cut by a reliable checkpoint; the loop stops when no label moves.
+    """
+    from citegraph.session import cut_lineage
+
+    sym = symmetric(edges).select(F.col("source").alias("src"), F.col("target").alias("dst"))
+    labels = cut_lineage(nodes.select(F.col(id_col).alias("v"), F.col(id_col).alias("c")))
+    for rnd in range(max_rounds):
+        msgs = (sym.join(labels.withColumnRenamed("v", "src"), "src")
+                .select(F.col("dst").alias("v"), "c").unionByName(labels))
+        new = msgs.groupBy("v").agg(F.min("c").alias("c"))
+        if (rnd + 1) % checkpoint_every == 0:
+            new = cut_lineage(new)
+        changed = (new.join(labels.withColumnRenamed("c", "old"), "v")
+                   .where(F.col("c") != F.col("old")).limit(1).count())
+        labels = new
+        if not changed:
+            break
+    return labels.select(F.col("v").alias(id_col), F.col("c").alias("component"))
+
+
+def spanning_forest(nodes: DataFrame, edges: DataFrame, seed: int = 42, *, id_col: str = "id",
+                    max_rounds: int = 64) -> DataFrame:
+    """The minimum spanning forest under unique md5 edge weights (Borůvka).
+
+    Each round every component picks its lightest outgoing edge (``min`` of a
+    (weight, a, b) struct: a hash aggregate, combined map-side), the picked edges
+    join the forest, and components merge: each points to the component at the
+    other end of its pick (a mutual pick is broken towards the smaller id), and
+    pointer jumping finds the roots in O(log depth) joins. O(log n) rounds, each
+    cut by a reliable checkpoint. Unique weights make the forest unique.
+    """
+    from citegraph.functions.hashing import hash64
+    from citegraph.session import cut_lineage
+
+    e = simple_graph(edges).select(
+        F.col("source").alias("a"), F.col("target").alias("b"),
+        hash64(F.lit(seed), "source", "target").alias("w"))
+    e = cut_lineage(e)
+    comp = cut_lineage(nodes.select(F.col(id_col).alias("v"), F.col(id_col).alias("c")))
+    forest = None
+    for _ in range(max_rounds):
+        ce = (e.join(comp.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a")
+              .join(comp.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b")
+              .where(F.col("ca") != F.col("cb")))
+        ce = cut_lineage(ce)
+        if ce.limit(1).count() == 0:
+            break
+        side = (ce.select(F.col("ca").alias("c"), "w", "a", "b", F.col("cb").alias("other"))
+                .unionByName(ce.select(F.col("cb").alias("c"), "w", "a", "b", F.col("ca").alias("other"))))
+        pick = (side.groupBy("c").agg(F.min(F.struct("w", "a", "b", "other")).alias("p"))
+                .select("c", F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("p.other").alias("other")))
+        pick = cut_lineage(pick)
+        chosen = pick.select("a", "b").distinct()
+        forest = chosen if forest is None else cut_lineage(forest.unionByName(chosen))
+        # parent pointers; a mutual pick (a 2-cycle) is rooted at the smaller id
+        rev = pick.select(F.col("c").alias("other"), F.col("other").alias("back"))
+        parent = (pick.join(rev, "other", "left")
+                  .select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("other")),
+                                      F.col("c")).otherwise(F.col("other")).alias("p")))
+        parent = cut_lineage(parent)
+        while True:
+            hop = (parent.join(parent.select(F.col("c").alias("p"), F.col("p").alias("pp")), "p", "left")
+                   .select("c", F.coalesce("pp", "p").alias("p2"), "p"))
+            hop = cut_lineage(hop)
+            moved = hop.where(F.col("p2") != F.col("p")).limit(1).count()
+            parent = hop.select("c", F.col("p2").alias("p"))
+            if not moved:
+                break
+        comp = cut_lineage(comp.join(parent.withColumnRenamed("c", "c0"), F.col("c") == F.col("c0"), "left")
+                           .select("v", F.coalesce("p", "c").alias("c")))
+    if forest is None:
+        return edges.sparkSession.createDataFrame([], "source bigint, target bigint")
+    return forest.select(F.col("a").alias("source"), F.col("b").alias("target"))
+
+
+# ---------------------------------------------------------------- G5, G6
+def split_links(nodes: DataFrame, edges: DataFrame, p: float = 0.1, seed: int = 42, *,
+                keep_connected: bool = True, id_col: str = "id"):
+    """(reduced edges, links(source, target, label)).
+
+    Positives: ``round(p * m)`` edges of smallest md5 weight among those outside
+    the spanning forest when ``keep_connected`` (removing them cannot split a
+    component), else among all edges. Negatives: as many non-edges (T9).
+    """
+    import math
+
+    from citegraph.operators.sampling import first_n, sample_negative_links
+    from citegraph.functions.hashing import hash64
+
+    e = simple_graph(edges)
+    m = e.count()
+    n_pos = int(math.floor(p * m + 0.5))
+    pool = e
+    if keep_connected:
+        pool = e.join(spanning_forest(nodes, e, seed, id_col=id_col), ["source", "target"], "left_anti")
+    keyed = pool.withColumn("_h", hash64(F.lit(seed), F.lit("split"), "source", "target"))
+    pos = first_n(keyed, n_pos, ["_h", "source", "target"]).select("source", "target")
+    from citegraph.session import cut_lineage
+    pos = cut_lineage(pos)
+    neg = sample_negative_links(nodes, e, pos.count(), seed, id_col=id_col)
+    links = (pos.withColumn("label", F.lit(1))
+             .unionByName(neg.select("source", "target", F.lit(0).alias("label"))))
+    return remove_edges(e, pos), links
+
+
+def chained_split(nodes: DataFrame, edges: DataFrame, p: float = 0.1, seed: int = 42, **kw):
+    """Split, then split the reduced graph again → (train_edges, train_links,
+    test_edges, test_links); the train graph is a subgraph of the test graph."""
+    test_edges, test_links = split_links(nodes, edges, p, seed, **kw)
+    train_edges, train_links = split_links(nodes, test_edges, p, seed + 1, **kw)
+    return train_edges, train_links, test_edges, test_links
+
+
+# ---------------------------------------------------------------- G7
+def two_hop_neighbourhood(edges: DataFrame, sizes: tuple[int, int] = (20, 10), seed: int = 42) -> DataFrame:
+    """Sampled 2-hop neighbourhood of every node: (node, hop1, hop2).
+
+    ``sizes[0]`` neighbours at hop 1 (T12, hop=1) and ``sizes[1]`` of each of
+    those at hop 2 (T12, hop=2); a hop-1 node without neighbours has hop2 NULL.
+    A link's input is the neighbourhoods of its two ends (join on node).
+    """
+    from citegraph.operators.sampling import sample_neighbours
+
+    sym = symmetric(edges)
+    h1 = sample_neighbours(sym, sizes[0], seed, hop=1).select(
+        F.col("source").alias("node"), F.col("target").alias("hop1"))
+    h2 = sample_neighbours(sym, sizes[1], seed, hop=2).select(
+        F.col("source").alias("hop1"), F.col("target").alias("hop2"))
+    return h1.join(h2, "hop1", "left").select("node", "hop1", "hop2")
