@@ -1 +1,118 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: models (M5 one Adam step with an exact oracle; training runs,
+document vectors, approximate search and the GCN as rows-only checks)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from citegraph.functions.hashing import sql_hash64 as H
+from citegraph.functions.text import tokenize
+from citegraph.operators import embed as EM
+from citegraph.operators import gnn
+from citegraph.operators import graph as G
+from citegraph.operators import sampling as S
+from citegraph.operators import vectors as VE
+from citegraph.plans import views as V
+from citegraph.plans.catalog import r6, register
+from citegraph.plans.q_sampling import (
+    CAND_SQL, KEPT_SQL, N_NEG, N_POSITIVE, SEED, _negative_pairs, _pair_sizes, links, und,
+)
+
+PAIR_DIM = 50  # pair-embedding width, as in the reference
+OPT = EM.Adam()
+_B1, _B2 = OPT.beta1, OPT.beta2
+
+
+def _batch(spark, d):
+    pos = S.sample_positive_pairs(V.pairs(spark, d), N_POSITIVE, SEED, 0)
+    return S.labelled_pairs(pos, _negative_pairs(spark, d), seed=SEED, epoch=0)
+
+
+def _init_sql(name: str, col: str) -> str:
+    return (f"({H(SEED, f"'{name}'", col, 'k')}::DOUBLE / {float(1 << 60)!r} - 0.5) * {2.0 * 0.05!r}")
+
+
+PAIR_STEP_SQL = V.sql_with(["pairs"], "SELECT tbl, idx, pos, round(w, 6) AS w FROM upd", [
+    CAND_SQL, KEPT_SQL,
+    ("neg", f"SELECT * FROM kept ORDER BY round, i LIMIT {N_NEG}"),
+    ("pos", f"""SELECT paper_idx, ref_idx, copy FROM (
+        SELECT paper_idx, ref_idx, unnest(range(0, c)) AS copy FROM (
+            SELECT paper_idx, ref_idx, count(*) AS c FROM pairs GROUP BY 1, 2))
+        ORDER BY {H(SEED, 0, 'paper_idx', 'ref_idx', 'copy')}, paper_idx, ref_idx, copy LIMIT {N_POSITIVE}"""),
+    ("batch", """SELECT row_number() OVER () AS rid, paper_idx, ref_idx, label FROM (
+        SELECT paper_idx, ref_idx, 1.0 AS label FROM pos UNION ALL SELECT paper_idx, ref_idx, -1.0 FROM neg)"""),
+    ("ks", f"SELECT unnest(generate_series(0, {PAIR_DIM - 1})) AS k"),
+    ("uv", f"""SELECT b.rid, b.paper_idx, b.ref_idx, b.label, ks.k, {_init_sql('P', 'b.paper_idx')} AS u,
+                      {_init_sql('R', 'b.ref_idx')} AS v FROM batch b, ks"""),
+    ("rs", """SELECT rid, sum(u * v) AS dp, sqrt(sum(u * u)) AS nu, sqrt(sum(v * v)) AS nv, any_value(label) AS y
+              FROM uv GROUP BY rid"""),
+    ("gr", """SELECT uv.paper_idx, uv.ref_idx, uv.k, uv.u, uv.v,
+                     2.0 * (rs.dp / (rs.nu * rs.nv) - rs.y) / (SELECT count(*) FROM batch) AS gc,
+                     rs.dp / (rs.nu * rs.nv) AS c, rs.nu, rs.nv
+              FROM uv JOIN rs ON rs.rid = uv.rid"""),
+    ("g", """SELECT 'P' AS tbl, paper_idx AS idx, k AS pos, any_value(u) AS w0,
+                    sum(gc * (v / (nu * nv) - c * u / (nu * nu))) AS g FROM gr GROUP BY 1, 2, 3
+             UNION ALL
+             SELECT 'R', ref_idx, k, any_value(v), sum(gc * (u / (nu * nv) - c * v / (nv * nv))) FROM gr GROUP BY 1, 2, 3"""),
+    ("upd", f"""SELECT tbl, idx, pos, w0 - {OPT.lr!r} * ((0.0 + {1.0 - _B1!r} * g) / {1.0 - _B1!r})
+                       / (sqrt((0.0 + {1.0 - _B2!r} * (g * g)) / {1.0 - _B2!r}) + {OPT.eps!r}) AS w FROM g"""),
+])
+
+
+@register("pair_step", PAIR_STEP_SQL)
+def q_pair_step(spark, d):
+    """M5: one Adam step of the cosine pair model from md5-initialised tables;
+    the rows touched by the batch, as (table, idx, position, weight) cells."""
+    n_p, n_r = _pair_sizes(spark, d)
+    batch = _batch(spark, d)
+    P0 = EM.init_table(spark.range(n_p).withColumnRenamed("id", "idx"), PAIR_DIM, SEED, "P")
+    R0 = EM.init_table(spark.range(n_r).withColumnRenamed("id", "idx"), PAIR_DIM, SEED, "R")
+    gP, gR, _rows = EM.pair_gradients(batch, P0, R0)
+    P1 = EM.adam_update(P0.join(gP.select("idx"), "idx", "left_semi"), gP, 1, OPT)
+    R1 = EM.adam_update(R0.join(gR.select("idx"), "idx", "left_semi"), gR, 1, OPT)
+    cells = lambda t, name: t.select(F.lit(name).alias("tbl"), "idx", F.posexplode("w").alias("pos", "w"))
+    return (cells(P1, "P").unionByName(cells(R1, "R"))
+            .select("tbl", "idx", F.col("pos").cast("bigint").alias("pos"), r6("w").alias("w")))
+
+
+@register("train_pairs")
+def q_train_pairs(spark, d):
+    """M5: three epochs of the pair model (one large synchronous batch each): loss history."""
+    n_p, n_r = _pair_sizes(spark, d)
+    _P, _R, hist = EM.train_pair_embeddings(V.pairs(spark, d), n_p, n_r, dim=PAIR_DIM, epochs=3, seed=SEED)
+    return hist
+
+
+@register("train_pairs_logloss")
+def q_train_pairs_logloss(spark, d):
+    """M6: the classification variant (labels 1/0, sigmoid over the cosine)."""
+    n_p, n_r = _pair_sizes(spark, d)
+    _P, _R, hist = EM.train_pair_embeddings(V.pairs(spark, d), n_p, n_r, dim=PAIR_DIM, epochs=2, seed=SEED,
+                                            objective="logloss")
+    return hist
+
+
+@register("doc_vectors")
+def q_doc_vectors(spark, d):
+    """M1 + M3 + M4: Word2Vec document vectors (100 dims) for every paper text."""
+    papers = V.papers(spark, d)
+    toks = papers.select("paper_id", tokenize(F.concat_ws(" ", "title", "abstract")).alias("tokens"))
+    model = EM.train_doc_vectors(toks, dim=100, passes=1, partitions=8)
+    return EM.infer_vectors(model, toks).select("id", F.size("embedding").alias("dim"))
+
+
+@register("ann_knn")
+def q_ann_knn(spark, d):
+    """LSH candidates + exact re-rank, 10 neighbours per paper."""
+    vec = V.vectors(spark, d)
+    return VE.ann_knn(vec, vec, 10)
+
+
+@register("train_gcn")
+def q_train_gcn(spark, d):
+    """G13 + G16: GCN link model on the held-out split, per-epoch loss / accuracy."""
+    v = V.vectors(spark, d)
+    e = und(spark, d)
+    reduced, test_links = G.split_links(v, e, 0.1, SEED, keep_connected=False)
+    _p, hist, _ax, _n = gnn.train_gcn(v, reduced, test_links, epochs=3, seed=SEED)
+    return hist
