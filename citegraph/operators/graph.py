@@ -216,14 +216,13 @@ def spanning_forest(nodes: DataFrame, edges: DataFrame, seed: int = 42, *, id_co
         ce = (e.join(comp.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a")
               .join(comp.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b")
               .where(F.col("ca") != F.col("cb")))
-        ce = cut_lineage(ce)
-        if ce.limit(1).count() == 0:
-            break
         side = (ce.select(F.col("ca").alias("c"), "w", "a", "b", F.col("cb").alias("other"))
                 .unionByName(ce.select(F.col("cb").alias("c"), "w", "a", "b", F.col("ca").alias("other"))))
         pick = (side.groupBy("c").agg(F.min(F.struct("w", "a", "b", "other")).alias("p"))
                 .select("c", F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("p.other").alias("other")))
         pick = cut_lineage(pick)
+        if pick.limit(1).count() == 0:
+            break
         chosen = pick.select("a", "b").distinct()
         forest = chosen if forest is None else cut_lineage(forest.unionByName(chosen))
         # parent pointers; a mutual pick (a 2-cycle) is rooted at the smaller id
