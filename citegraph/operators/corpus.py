@@ -165,7 +165,7 @@ def duplicate_texts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """A5: texts occurring more than once → (text_md5, n_chars, n)."""
     return (texts.groupBy(text_col).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
             .select(F.md5(F.col(text_col)).alias("text_md5"),
-                    F.length(F.col(text_col)).alias("n_chars"), "n"))
+                    F.length(F.col(text_col)).cast("bigint").alias("n_chars"), "n"))
 
 
 def corpus_counts(bib: DataFrame) -> DataFrame:

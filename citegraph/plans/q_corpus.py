@@ -37,7 +37,7 @@ def q_bib_parse(spark, d):
     parsed = C.parse_records(C.format_records(V.bib(spark, d)).withColumn("_order", F.lit(0)),
                              order_cols=["_order"])
     p = C.last_record_wins(parsed, "_order")
-    return p.select("paper_id", "title", "abstract", F.size("refs").alias("n_refs"),
+    return p.select("paper_id", "title", "abstract", F.size("refs").cast("bigint").alias("n_refs"),
                     F.array_join("refs", ",").alias("refs"))
 
 
@@ -141,8 +141,8 @@ def q_vocabulary(spark, d):
 def q_token_counts(spark, d):
     """F4 per paper: token and distinct-token counts."""
     toks = tokenize(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), "abstract"))
-    return V.papers(spark, d).select("paper_id", F.size(toks).alias("n_tokens"),
-                                     F.size(F.array_distinct(toks)).alias("n_distinct"))
+    return V.papers(spark, d).select("paper_id", F.size(toks).cast("bigint").alias("n_tokens"),
+                                     F.size(F.array_distinct(toks)).cast("bigint").alias("n_distinct"))
 
 
 @register("nonempty_abstracts", V.sql_with(["papers"], """
@@ -157,7 +157,7 @@ def q_nonempty(spark, d):
     SELECT paper_id, len(refs) AS n_refs FROM bib WHERE len(refs) > 0"""))
 def q_with_refs(spark, d):
     """P6."""
-    return C.papers_with_refs(V.bib(spark, d)).select("paper_id", F.size("refs").alias("n_refs"))
+    return C.papers_with_refs(V.bib(spark, d)).select("paper_id", F.size("refs").cast("bigint").alias("n_refs"))
 
 
 @register("lookup_papers", V.sql_with(["papers"], """

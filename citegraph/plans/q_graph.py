@@ -43,7 +43,7 @@ def _norm(spark, d):
 
 
 def _cells(h):
-    return gnn.exploded(h).select("id", "pos", r6("x").alias("x"))
+    return gnn.exploded(h).select("id", F.col("pos").cast("bigint").alias("pos"), r6("x").alias("x"))
 
 
 @register("simple_graph", V.sql_with(["vec_cites"], "SELECT source, target FROM und", [UND]))
@@ -57,7 +57,7 @@ def q_typed_nodes(spark, d):
     """G2 + G3 + J11: every node typed 'paper' with its feature row attached."""
     v = V.vectors(spark, d)
     g = G.attach_features(v.select("id"), v.select("id", F.col("embedding").alias("features")))
-    return G.typed_nodes(g).select("id", "node_type", F.size("features").alias("n_features"))
+    return G.typed_nodes(g).select("id", "node_type", F.size("features").cast("bigint").alias("n_features"))
 
 
 @register("graph_summary", V.sql_with(["vec_cites", "vectors"], """

@@ -122,8 +122,8 @@ def q_sample_negatives(spark, d):
 
 @register("labelled_pairs", V.sql_with(["pairs"], f"""
     SELECT paper_idx, ref_idx, label, {H(SEED, 0, 's', 'paper_idx', 'ref_idx', 'n')} AS shuffle_key FROM (
-        SELECT paper_idx, ref_idx, 1.0 AS label, 'p' AS s, copy AS n FROM pos
-        UNION ALL SELECT paper_idx, ref_idx, -1.0, 'n', round * {1 << 40} + i FROM neg)""",
+        SELECT paper_idx, ref_idx, 1.0::DOUBLE AS label, 'p' AS s, copy AS n FROM pos
+        UNION ALL SELECT paper_idx, ref_idx, -1.0::DOUBLE, 'n', round * {1 << 40} + i FROM neg)""",
     [CAND_SQL, KEPT_SQL,
      ("neg", f"SELECT * FROM kept ORDER BY round, i LIMIT {N_NEG}"),
      ("pos", f"""SELECT paper_idx, ref_idx, copy FROM (
