@@ -1,10 +1,10 @@
 """Dense numbering and dictionary encoding: A16, J4, J10.
 
 ``dense_index`` gives rows the numbers 0..n-1 in a total order without a
-single-partition window: range-partition and sort, cut lineage with a reliable
-checkpoint (so partition contents are fixed under retries), count rows per
-partition (one small row per partition reaches the driver), and add each
-partition's offset to ``monotonically_increasing_id``'s in-partition position.
+single-partition window: range-partition and sort, tag each row with its
+partition id and in-partition position, write the table to the shared folder
+(so the tags are fixed under retries), count rows per partition (one small row
+per partition reaches the driver), and add each partition's offset.
 """
 
 from __future__ import annotations
@@ -26,23 +26,23 @@ def dense_index(df: DataFrame, order_cols: list[str], *, index_col: str = "idx",
     """
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut_lineage(df.repartitionByRange(parts, *order_cols)
-                         .sortWithinPartitions(*order_cols))
-    tagged = ranged.withColumn("_mid", F.monotonically_increasing_id())
+    # partition id and in-partition position are fixed in the same task that
+    # writes the table, so re-reading (in any file grouping) cannot change them
+    ranged = (df.repartitionByRange(parts, *order_cols).sortWithinPartitions(*order_cols)
+              .withColumn("_pid", F.spark_partition_id())
+              .withColumn("_loc", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))))
+    tagged = cut_lineage(ranged)
     counts = {r["_pid"]: r["n"] for r in
-              tagged.groupBy(F.shiftright("_mid", _ROW_BITS).alias("_pid"))
-              .agg(F.count(F.lit(1)).alias("n")).collect()}
+              tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, running = [], 0
     for pid in range(max(counts) + 1 if counts else 0):
         offsets.append(running)
         running += counts.get(pid, 0)
     if not offsets:
-        return tagged.drop("_mid").withColumn(index_col, F.lit(None).cast("bigint"))
+        return tagged.drop("_pid", "_loc").withColumn(index_col, F.lit(None).cast("bigint"))
     offset_of = F.array(*[F.lit(o).cast("bigint") for o in offsets])
-    pid = F.shiftright("_mid", _ROW_BITS)
-    local = F.col("_mid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return (tagged.withColumn(index_col, F.element_at(offset_of, (pid + 1).cast("int")) + local)
-            .drop("_mid"))
+    return (tagged.withColumn(index_col, F.element_at(offset_of, F.col("_pid") + 1) + F.col("_loc"))
+            .drop("_pid", "_loc"))
 
 
 def dictionary_encode(ids: DataFrame, id_col: str = "paper_id", *,

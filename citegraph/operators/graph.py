@@ -193,7 +193,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, *, id_col: str = "i
 
 
 def spanning_forest(nodes: DataFrame, edges: DataFrame, seed: int = 42, *, id_col: str = "id",
-                    max_rounds: int = 64) -> DataFrame:
+                    max_rounds: int = 64, verbose: bool = False) -> DataFrame:
     """The minimum spanning forest under unique md5 edge weights (Borůvka).
 
     Each round every component picks its lightest outgoing edge (``min`` of a
@@ -221,6 +221,10 @@ def spanning_forest(nodes: DataFrame, edges: DataFrame, seed: int = 42, *, id_co
         pick = (side.groupBy("c").agg(F.min(F.struct("w", "a", "b", "other")).alias("p"))
                 .select("c", F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("p.other").alias("other")))
         pick = cut_lineage(pick)
+        if verbose:
+            import sys
+            import time
+            print(f"boruvka round: {pick.count()} components pick an edge {time.strftime('%X')}", file=sys.stderr, flush=True)
         if pick.limit(1).count() == 0:
             break
         chosen = pick.select("a", "b").distinct()
@@ -236,6 +240,9 @@ def spanning_forest(nodes: DataFrame, edges: DataFrame, seed: int = 42, *, id_co
                    .select("c", F.coalesce("pp", "p").alias("p2"), "p"))
             hop = cut_lineage(hop)
             moved = hop.where(F.col("p2") != F.col("p")).limit(1).count()
+            if verbose:
+                import sys
+                print(f"  jump: moved={moved}", file=sys.stderr, flush=True)
             parent = hop.select("c", F.col("p2").alias("p"))
             if not moved:
                 break

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (never ``localCheckpoint``)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a parquet table in the shared checkpoint folder and read it back.
+
+    Used between the rounds of iterative jobs. Unlike ``checkpoint()`` (which in
+    Spark 4 keeps the original plan for statistics, so size estimates of a loop
+    that joins its own output grow without bound), the re-read table has fresh
+    file-based statistics and no lineage. Never ``localCheckpoint``: a table in
+    the shared folder survives the loss of an executor.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/citegraph-tables/{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
