@@ -116,3 +116,13 @@ def q_train_gcn(spark, d):
     reduced, test_links = G.split_links(v, e, 0.1, SEED, keep_connected=False)
     _p, hist, _ax, _n = gnn.train_gcn(v, reduced, test_links, epochs=3, seed=SEED)
     return hist
+
+
+@register("train_sage")
+def q_train_sage(spark, d):
+    """G14 + G16: GraphSAGE link model (mean aggregator, samples [20, 10]) on the held-out split."""
+    v = V.vectors(spark, d)
+    e = und(spark, d)
+    reduced, test_links = G.split_links(v, e, 0.1, SEED, keep_connected=False)
+    _p, hist, _f = gnn.train_graphsage(v, reduced, test_links, epochs=2, seed=SEED)
+    return hist

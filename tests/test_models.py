@@ -57,3 +57,26 @@ def test_gcn_learns_planted_partition(spark):
     _p, hist, _ax, _n = gnn.train_gcn(nodes, e, links, units=(8, 8), epochs=6, lr=0.05, seed=3)
     losses = [r["loss"] for r in hist.orderBy("epoch").collect()]
     assert losses[-1] < losses[0]
+
+
+def test_graphsage_learns_planted_partition(spark):
+    from citegraph.operators import gnn
+    from citegraph.operators.sampling import sample_negative_links
+
+    rng = np.random.default_rng(2)
+    n, half = 40, 20
+    edges = set()
+    for a in range(n):
+        for b in range(a + 1, n):
+            if rng.random() < (0.35 if (a < half) == (b < half) else 0.01):
+                edges.add((a, b))
+    feats = [(i, [1.0 if i < half else 0.0, 0.0 if i < half else 1.0, float(rng.random())]) for i in range(n)]
+    nodes = spark.createDataFrame(feats, "id long, embedding array<double>")
+    e = spark.createDataFrame(sorted(edges), "source long, target long")
+    neg = sample_negative_links(nodes, e, len(edges), 5)
+    links = e.withColumn("label", F.lit(1)).unionByName(neg.select("source", "target", F.lit(0).alias("label")))
+    params, hist, predict = gnn.train_graphsage(nodes, e, links, units=(8, 8), num_samples=(5, 3),
+                                                epochs=6, lr=0.05, seed=3)
+    losses = [r["loss"] for r in hist.orderBy("epoch").collect()]
+    assert losses[-1] < losses[0]
+    assert predict(params, links).count() == links.count()
