@@ -38,7 +38,7 @@ NEG = [
 
 
 def und(spark, d):
-    return G.simple_graph(V.vec_cites(spark, d))
+    return V.stored(spark, d, "und", lambda: G.simple_graph(V.vec_cites(spark, d)))
 
 
 def positives(spark, d):
