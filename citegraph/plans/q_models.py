@@ -63,10 +63,10 @@ PAIR_STEP_SQL = V.sql_with(["pairs"], "SELECT tbl, idx, pos, round(w, 6) AS w FR
 def q_pair_step(spark, d):
     """M5: one Adam step of the cosine pair model from md5-initialised tables;
     the rows touched by the batch, as (table, idx, position, weight) cells."""
-    n_p, n_r = _pair_sizes(spark, d)
     batch = _batch(spark, d)
-    P0 = EM.init_table(spark.range(n_p).withColumnRenamed("id", "idx"), PAIR_DIM, SEED, "P")
-    R0 = EM.init_table(spark.range(n_r).withColumnRenamed("id", "idx"), PAIR_DIM, SEED, "R")
+    # initial rows are a pure function of (seed, idx): build only the rows the batch touches
+    P0 = EM.init_table(batch.select(F.col("paper_idx").alias("idx")), PAIR_DIM, SEED, "P")
+    R0 = EM.init_table(batch.select(F.col("ref_idx").alias("idx")), PAIR_DIM, SEED, "R")
     gP, gR, _rows = EM.pair_gradients(batch, P0, R0)
     P1 = EM.adam_update(P0.join(gP.select("idx"), "idx", "left_semi"), gP, 1, OPT)
     R1 = EM.adam_update(R0.join(gR.select("idx"), "idx", "left_semi"), gR, 1, OPT)
