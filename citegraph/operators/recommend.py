@@ -43,3 +43,28 @@ def recommend_citations(decisions: DataFrame, truth: DataFrame, papers: DataFram
     t = edges_of(truth, paper_id) if paper_id is not None else truth
     hits = hits_in_truth(decisions.where(F.col("pred") == 1), t)
     return titles_of(hits.select("source", "target"), papers)
+
+
+def recommend_by_text(query_ids: DataFrame, papers: DataFrame, citations: DataFrame, model,
+                      k: int = 10, *, sep: str = " ", exclude_self: bool = True) -> DataFrame:
+    """M8: the whole text route for listed papers.
+
+    P7 lookup → J1 text → F4 tokens → M3 inferred vector → T1 exact kNN against
+    every paper's vector (M4) → J8/U4 neighbours and their references → A11
+    precision / recall / F1 per query paper. ``model`` is a fitted MLlib
+    Word2Vec model (M1). Neighbours are keyed by paper id (SURVEY Q1) and the
+    query itself is excluded from its neighbours by default (Q2).
+    """
+    from citegraph.functions.text import tokenize
+    from citegraph.operators.corpus import lookup_papers, paper_text
+    from citegraph.operators.embed import infer_vectors
+    from citegraph.operators.metrics import recommendation_quality
+    from citegraph.operators.vectors import knn
+
+    all_text = paper_text(papers.select("paper_id"), papers, sep)
+    corpus = infer_vectors(model, all_text.select("paper_id", tokenize("text").alias("tokens")))
+    q_text = lookup_papers(all_text, query_ids)
+    q_vec = infer_vectors(model, q_text.select("paper_id", tokenize("text").alias("tokens")))
+    nn = knn(q_vec, corpus, k, exclude_self=exclude_self)
+    recs = expand_neighbours(nn, citations)
+    return recommendation_quality(recs, citations)

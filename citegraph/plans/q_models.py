@@ -126,3 +126,16 @@ def q_train_sage(spark, d):
     reduced, test_links = G.split_links(v, e, 0.1, SEED, keep_connected=False)
     _p, hist, _f = gnn.train_graphsage(v, reduced, test_links, epochs=2, seed=SEED)
     return hist
+
+
+@register("text_recs")
+def q_text_recs(spark, d):
+    """M8: text route for every paper: Word2Vec vectors → 10 nearest → their references → quality."""
+    from citegraph.operators.recommend import recommend_by_text
+
+    papers = V.papers(spark, d)
+    toks = papers.select("paper_id", tokenize(F.concat_ws(" ", "title", "abstract")).alias("tokens"))
+    model = EM.train_doc_vectors(toks, dim=100, passes=1, partitions=8)
+    q = recommend_by_text(papers.select("paper_id"), papers, V.doc_cites(spark, d), model, 10)
+    return q.select(F.col("query_id").alias("paper_id"), "n_true", "n_recommended", "n_matched",
+                    r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"))

@@ -76,3 +76,12 @@ def test_gcn_propagation_matches_dense(spark):
     Ah = (A / np.sqrt(np.outer(d, d))) @ np.stack([np.arange(n), np.ones(n)], 1)
     for i in range(n):
         assert np.allclose(out[i], Ah[i])
+
+
+def test_chained_split(spark):
+    nodes, edges, n, es = _random_graph(spark, n=40, m=150, seed=9)
+    train_e, train_l, test_e, test_l = G.chained_split(nodes, edges, 0.1, 42)
+    # train graph is a subgraph of the test graph; train positives come from the test graph
+    assert train_e.join(test_e, ["source", "target"], "left_anti").count() == 0
+    assert train_l.where("label = 1").join(test_e, ["source", "target"], "left_anti").count() == 0
+    assert train_l.where("label = 1").count() == train_l.where("label = 0").count()

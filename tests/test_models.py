@@ -80,3 +80,40 @@ def test_graphsage_learns_planted_partition(spark):
     losses = [r["loss"] for r in hist.orderBy("epoch").collect()]
     assert losses[-1] < losses[0]
     assert predict(params, links).count() == links.count()
+
+
+def test_gcn_gradient_finite_difference(spark):
+    from citegraph.operators import gnn
+    from citegraph.operators import graph as G
+
+    rng = np.random.default_rng(4)
+    n = 10
+    edges = sorted({(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.35})
+    nodes = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(n)],
+                                  "id long, embedding array<double>")
+    e = spark.createDataFrame(edges, "source long, target long")
+    links = spark.createDataFrame([(a, b, int(rng.random() < 0.5)) for a, b in
+                                   [(0, 1), (2, 5), (3, 7), (4, 9), (1, 8), (6, 2)]],
+                                  "source long, target long, label int")
+    norm = G.gcn_norm_edges(nodes, e)
+    x = nodes.select("id", F.col("embedding").alias("h"))
+    ax = G.propagate(norm, x, 3)
+    params = [rng.normal(size=(3, 4)), rng.normal(size=4) * 0.1 + 0.2,
+              rng.normal(size=(4, 3)), rng.normal(size=3) * 0.1 + 0.2]
+    _loss, _acc, grads, _h2 = gnn.gcn_loss_grads(ax, norm, links, 6, params)
+
+    def loss_of(ps):
+        _a, _b, h2 = gnn.gcn_forward(ax, norm, ps)
+        sc = gnn.score_links(links, h2)
+        pc = F.least(F.greatest(F.col("score"), F.lit(1e-7)), F.lit(1 - 1e-7))
+        y = F.col("label").cast("double")
+        return sc.agg(F.avg(-(y * F.log(pc) + (1 - y) * F.log(1 - pc)))).first()[0]
+
+    eps = 1e-5
+    for which, idx in [(0, (0, 1)), (0, (2, 3)), (1, (2,)), (2, (1, 0)), (3, (1,))]:
+        up = [p.copy() for p in params]
+        dn = [p.copy() for p in params]
+        up[which][idx] += eps
+        dn[which][idx] -= eps
+        fd = (loss_of(up) - loss_of(dn)) / (2 * eps)
+        assert abs(fd - grads[which][idx]) < 1e-5 + 1e-3 * abs(fd), (which, idx, fd, grads[which][idx])
