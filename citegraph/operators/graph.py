@@ -167,34 +167,28 @@ def link_score(links: DataFrame, emb: DataFrame, *, op: str = "ip", act: str = "
 
 # ---------------------------------------------------------------- components, G4
 def connected_components(nodes: DataFrame, edges: DataFrame, *, id_col: str = "id",
-                         max_rounds: int = 200, checkpoint_every: int = 1) -> DataFrame:
+                         seed: int = 42) -> DataFrame:
     """Component label = smallest node id in the component: (id, component).
 
-    Min-label propagation: each round every node takes the smallest label among
-    itself and its neighbours (join + hash-aggregate ``min``, combined map-side).
-    Lineage is cut by a reliable checkpoint; the loop stops when no label moves.
+    Components come out of the Borůvka rounds of :func:`spanning_forest`
+    (O(log n) rounds, each with pointer jumping), not from label propagation,
+    whose round count grows with the graph's diameter. Each component's root is
+    then relabelled to its smallest member by one hash aggregate.
     """
-    from citegraph.session import cut_lineage
-
-    sym = symmetric(edges).select(F.col("source").alias("src"), F.col("target").alias("dst"))
-    labels = cut_lineage(nodes.select(F.col(id_col).alias("v"), F.col(id_col).alias("c")))
-    for rnd in range(max_rounds):
-        msgs = (sym.join(labels.withColumnRenamed("v", "src"), "src")
-                .select(F.col("dst").alias("v"), "c").unionByName(labels))
-        new = msgs.groupBy("v").agg(F.min("c").alias("c"))
-        if (rnd + 1) % checkpoint_every == 0:
-            new = cut_lineage(new)
-        changed = (new.join(labels.withColumnRenamed("c", "old"), "v")
-                   .where(F.col("c") != F.col("old")).limit(1).count())
-        labels = new
-        if not changed:
-            break
-    return labels.select(F.col("v").alias(id_col), F.col("c").alias("component"))
+    _forest, comp = _boruvka(nodes, edges, seed, id_col=id_col)
+    low = comp.groupBy("c").agg(F.min("v").alias("component"))
+    return comp.join(low, "c").select(F.col("v").alias(id_col), "component")
 
 
 def spanning_forest(nodes: DataFrame, edges: DataFrame, seed: int = 42, *, id_col: str = "id",
                     max_rounds: int = 64, verbose: bool = False) -> DataFrame:
-    """The minimum spanning forest under unique md5 edge weights (Borůvka).
+    """The minimum spanning forest under unique md5 edge weights (Borůvka)."""
+    return _boruvka(nodes, edges, seed, id_col=id_col, max_rounds=max_rounds, verbose=verbose)[0]
+
+
+def _boruvka(nodes: DataFrame, edges: DataFrame, seed: int = 42, *, id_col: str = "id",
+             max_rounds: int = 64, verbose: bool = False):
+    """Borůvka rounds → (forest edges, component of every node).
 
     Each round every component picks its lightest outgoing edge (``min`` of a
     (weight, a, b) struct: a hash aggregate, combined map-side), the picked edges
@@ -249,8 +243,8 @@ def spanning_forest(nodes: DataFrame, edges: DataFrame, seed: int = 42, *, id_co
         comp = cut_lineage(comp.join(parent.withColumnRenamed("c", "c0"), F.col("c") == F.col("c0"), "left")
                            .select("v", F.coalesce("p", "c").alias("c")))
     if forest is None:
-        return edges.sparkSession.createDataFrame([], "source bigint, target bigint")
-    return forest.select(F.col("a").alias("source"), F.col("b").alias("target"))
+        return edges.sparkSession.createDataFrame([], "source bigint, target bigint"), comp
+    return forest.select(F.col("a").alias("source"), F.col("b").alias("target")), comp
 
 
 # ---------------------------------------------------------------- G5, G6
