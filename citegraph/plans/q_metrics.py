@@ -162,3 +162,28 @@ def q_hits(spark, d):
 def q_recommend(spark, d):
     """Every paper's predicted-positive true citations, with the cited title."""
     return R.recommend_citations(decisions(spark, d), und(spark, d), V.papers(spark, d))
+
+
+@register("edges_of", V.sql_with(VIEWS, """
+    SELECT source, target FROM truth WHERE source = (SELECT min(source) FROM truth)""", SCORED + [TRUTH]))
+def q_edges_of(spark, d):
+    """The true links of one paper (the paper with the smallest id that has links)."""
+    t = und(spark, d)
+    first = t.agg(F.min("source")).first()[0]
+    return M.edges_of(t, first).select("source", "target")
+
+
+@register("metrics_report", V.sql_with(VIEWS, """
+    SELECT 'precision' AS metric, round(coalesce(tp / nullif(tp + fp, 0), 0), 4) AS value FROM c
+    UNION ALL SELECT 'recall', round(coalesce(tp / nullif(tp + fn, 0), 0), 4) FROM c
+    UNION ALL SELECT 'f1', round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 4) FROM c""",
+    SCORED + [("c", """SELECT count(*) FILTER (WHERE label = 1 AND pred = 1) AS tp,
+                              count(*) FILTER (WHERE label = 0 AND pred = 1) AS fp,
+                              count(*) FILTER (WHERE label = 1 AND pred = 0) AS fn FROM dec""")]))
+def q_metrics_report(spark, d):
+    """S11 + F12: the printed report as a table: one row per metric, shown to 4 decimals."""
+    from citegraph.functions.text import format_metric
+
+    f = M.f1(decisions(spark, d))
+    return f.select(F.expr("stack(3, 'precision', precision, 'recall', recall, 'f1', f1) AS (metric, value)")) \
+        .select("metric", format_metric("value").alias("value"))
