@@ -51,9 +51,10 @@ def negatives(spark, d):
 
 
 def links(spark, d):
-    """Held-out positives (label 1) + as many sampled non-edges (label 0)."""
-    return (positives(spark, d).withColumn("label", F.lit(1))
-            .unionByName(negatives(spark, d).select("source", "target", F.lit(0).alias("label"))))
+    """Held-out positives (label 1) + as many sampled non-edges (label 0), stored once per session."""
+    return V.stored(spark, d, "links", lambda: (
+        positives(spark, d).withColumn("label", F.lit(1))
+        .unionByName(negatives(spark, d).select("source", "target", F.lit(0).alias("label")))))
 
 
 LINKS_CTES = [UND, POS] + NEG + [
