@@ -39,3 +39,32 @@ def test_entry_contract(spark):
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 60
+
+
+def test_rank_all_is_a_full_dense_order(spark):
+    from pyspark.sql import functions as F
+
+    u = VE.unit_embeddings(V.vectors(spark, SF))
+    q = u.where(F.col("id") == 7)
+    r = VE.rank_all(q, u).orderBy("rank").collect()
+    assert [x["rank"] for x in r] == list(range(1, u.count() + 1))
+    sims = [x["similarity"] for x in r]
+    assert all(a <= b + 1e-12 for a, b in zip(sims, sims[1:]))
+    assert r[-1]["neighbour_id"] == 7  # a unit row is most similar to itself
+
+
+def test_recommend_by_text_runs(spark):
+    from pyspark.sql import functions as F
+
+    from citegraph.functions.text import tokenize
+    from citegraph.operators import embed as EM
+    from citegraph.operators.recommend import recommend_by_text
+
+    papers = V.papers(spark, SF)
+    toks = papers.select("paper_id", tokenize(F.concat_ws(" ", "title", "abstract")).alias("tokens"))
+    model = EM.train_doc_vectors(toks, dim=16, passes=1, partitions=2)
+    ids = papers.select("paper_id").where("paper_id < 20")
+    q = recommend_by_text(ids, papers, V.doc_cites(spark, SF), model, 3)
+    rows = q.collect()
+    assert len(rows) == 20
+    assert all(r["n_recommended"] >= 3 and 0.0 <= r["precision"] <= 1.0 for r in rows)
