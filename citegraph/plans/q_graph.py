@@ -88,7 +88,7 @@ def q_held_out_removed(spark, d):
                                             UNION ALL SELECT target, source FROM und) e ON e.s = c.node""")]
     ).replace("WITH ", "WITH RECURSIVE ", 1))
 def q_components(spark, d):
-    """Connected components (min-label propagation), label = smallest id."""
+    """Connected components (Borůvka rounds), label = smallest id."""
     return G.connected_components(V.vectors(spark, d), und(spark, d))
 
 
