@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import table
+from citegraph.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,7 +31,54 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_decontaminate, op9_exact_dedup)}
+def _scored(scores: DataFrame, limit: float) -> DataFrame:
+    return scores.select("doc_id", _held_out(5, 0), "score", (F.col("score") >= limit).cast("int").alias("predicted"))
+
+
+def _held_out(folds: int, fold: int) -> F.Column:
+    return F.coalesce(crc_mod("doc_id", folds) == fold, F.lit(False)).alias("held_out")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, by neighbours in a latent space."""
+    from citegraph.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return _scored(quality.predict(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 0.3)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, by scaled character n-grams."""
+    from citegraph.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return _scored(toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.5)
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by nearest centroid; ``rejected`` where it is too far from all."""
+    from citegraph.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(crc_mod("doc_id", 4) != 2))
+    return (langid.predict(docs.select("doc_id", "text"), model)
+            .select("doc_id", _held_out(4, 2), "lang_pred", "score", "rejected"))
+
+
+#: The rules of the URL query.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
+             ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url, by rules and boosted trees."""
+    from citegraph.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+QUERIES |= {f.__name__: f for f in (op1_decontaminate, op5_quality, op6_toxicity, op7_language, op8_url_filter,
+                                    op9_exact_dedup)}
 
 WORDS_SQL = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
 ALNUM = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
