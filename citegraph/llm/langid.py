@@ -26,6 +26,10 @@ REJECT = 0.3
 LETTERS = byte_table(lambda b: 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A)
 
 
+def features(col: pa.Array) -> np.ndarray:
+    return counts(col, NS, BITS, LETTERS)
+
+
 def cluster(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """Unit centroids of spherical k-means, and the smallest cosine of each one's members. Starts
     are picked farthest first, so the result depends only on the order of rows."""
@@ -59,7 +63,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     them, centroids from the ``per_lang`` rows of each language with the smallest hash of the id."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").rlike("\\p{L}"))
-    idf = inverse_frequencies(rows, "text", NS, BITS, LETTERS)
+    idf = inverse_frequencies(rows, "text", features, 1 << BITS)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     chosen = rows.select("id", "lang").distinct().withColumn("k", rank).where(F.col("k") <= per_lang)
     sample = rows.join(F.broadcast(chosen), ["id", "lang"]).select("id", "lang", "text")
@@ -67,7 +71,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "text"])
-        x = np.concatenate([tf_idf(counts(pa.array(pdf["text"].iloc[s:s + 128], pa.string()), NS, BITS, LETTERS), bc.value)
+        x = np.concatenate([tf_idf(features(pa.array(pdf["text"].iloc[s:s + 128], pa.string())), bc.value)
                             for s in range(0, len(pdf), 128)])
         c, least = cluster(x, centroids)
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": list(c.astype(np.float32)), "least": least})
@@ -97,7 +101,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", rejec
         lang, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
         gone = ~ok
         if ok.any():
-            x = tf_idf(counts(batch.column(text_col), NS, BITS, LETTERS), m.idf)
+            x = tf_idf(features(batch.column(text_col)), m.idf)
             sim = x @ m.centroids.T
             best = sim.argmax(1)
             top = np.clip(sim[np.arange(len(best)), best].astype(float), 0, 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,26 +70,26 @@ def tf_idf(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return (out / np.maximum(norm, 1e-12)).astype(np.float32)
 
 
-def inverse_frequencies(docs: DataFrame, text_col: str, ns: tuple[int, ...], bits: int,
-                        table: bytes | None = None, rows: int = 128) -> np.ndarray:
-    """1 + log((1 + N) / (1 + df)) of every bucket over all rows of ``docs``: one partial
-    count for each bucket and task, summed by Spark; 2**bits numbers reach the driver."""
+def inverse_frequencies(docs: DataFrame, text_col: str, found: Callable[[pa.Array], np.ndarray], width: int,
+                        rows: int = 128) -> np.ndarray:
+    """1 + log((1 + N) / (1 + df)) of each of the ``width`` features that ``found`` counts, over all rows of
+    ``docs``: one partial count for each feature and task, summed by Spark; ``width`` numbers reach the driver."""
 
     def partial(batches):
-        df, n = np.zeros(1 << bits, np.int64), 0
+        df, n = np.zeros(width, np.int64), 0
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 part = batch.column(0).slice(start, rows)
-                df += (counts(part, ns, bits, table) > 0).sum(0)
+                df += (found(part) > 0).sum(0)
                 n += len(part)
         at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.append(at, -1).astype(np.int32)),
+        yield pa.RecordBatch.from_pydict({"feature": pa.array(np.append(at, -1).astype(np.int32)),
                                           "n": pa.array(np.append(df[at], n))})
 
-    got = (docs.select(F.col(text_col)).mapInArrow(partial, "bucket int, n long")
-           .groupBy("bucket").agg(F.sum("n").alias("n")).toPandas())
-    df = np.zeros(1 << bits)
-    inside = got[got["bucket"] >= 0]
-    df[inside["bucket"].to_numpy()] = inside["n"].to_numpy()
-    total = float(got.loc[got["bucket"] < 0, "n"].sum())
+    got = (docs.select(F.col(text_col)).mapInArrow(partial, "feature int, n long")
+           .groupBy("feature").agg(F.sum("n").alias("n")).toPandas())
+    df = np.zeros(width)
+    inside = got[got["feature"] >= 0]
+    df[inside["feature"].to_numpy()] = inside["n"].to_numpy()
+    total = float(got.loc[got["feature"] < 0, "n"].sum())
     return (1 + np.log((1 + total) / (1 + df))).astype(np.float32)

@@ -1,13 +1,15 @@
 """Quality classifier: nearest-neighbour voting in a latent semantic space.
 
-Texts become TF-IDF vectors of hashed byte 1- to 3-grams (weights from all documents). A
-truncated SVD of a bounded labelled sample gives the latent space; the sample's
+Texts become TF-IDF vectors of hashed byte 1- to 3-grams and of words that repeat the word
+before them (weights from all documents). A truncated SVD of a bounded labelled sample gives the latent space; the sample's
 vectors in it are broadcast. Every document is compared with all of them in blocks (exact
 cosines), and its nearest neighbours vote with their similarity as weight.
 """
 
 from __future__ import annotations
 
+from operator import eq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +21,14 @@ from citegraph.llm.ngrams import counts, inverse_frequencies, tf_idf
 NS, BITS = (1, 2, 3), 11
 #: Labelled documents a class, latent dimensions, voters.
 PER_CLASS, DIMS, VOTERS = 1500, 48, 15
+WIDTH = (1 << BITS) + 1
+
+
+def features(col: pa.Array) -> np.ndarray:
+    """n-gram counts, and in the last column the number of repeated words."""
+    words = [t.split() if t else [] for t in col.to_pylist()]
+    repeats = np.array([[sum(map(eq, w, w[1:]))] for w in words], np.float32).reshape(-1, 1)
+    return np.concatenate([counts(col, NS, BITS), repeats], 1)
 
 
 class QualityModel:
@@ -28,7 +38,7 @@ class QualityModel:
         self.idf, self.basis, self.vectors, self.y = idf, basis, vectors, y
 
     def latent(self, col: pa.Array) -> np.ndarray:
-        z = tf_idf(counts(col, NS, BITS), self.idf) @ self.basis
+        z = tf_idf(features(col), self.idf) @ self.basis
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def score(self, col: pa.Array) -> np.ndarray:
@@ -48,21 +58,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     """Labels are read only from documents whose crc32(id) modulo ``folds`` is not 0, at most ``per_class``
     of each class; n-gram weights come from all documents."""
     spark = docs.sparkSession
-    idf = inverse_frequencies(docs, "text", NS, BITS)
+    idf = inverse_frequencies(docs, "text", features, WIDTH)
     bc = spark.sparkContext.broadcast(idf)
 
     def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = tf_idf(counts(batch.column("text"), NS, BITS), bc.value)
+        x = tf_idf(features(batch.column("text")), bc.value)
         return pa.RecordBatch.from_pydict({"id": batch.column("id"), "y": batch.column("y"),
                                            "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
     got = (labelled_sample(docs, labels, label, per_class, folds)
            .mapInArrow(per_batch(vectors, 128), "id long, y int, x binary").toPandas())
     got = got.sort_values(["id", "x"])
-    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), 1 << BITS)
+    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), WIDTH)
     y = got["y"].to_numpy(dtype=float)
     if not len(y):
-        return QualityModel(idf, np.zeros((1 << BITS, 1), np.float32), np.zeros((0, 1), np.float32), y)
+        return QualityModel(idf, np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), y)
     _, v = np.linalg.eigh(x.T @ x)  # right singular vectors, the strongest last
     basis = np.ascontiguousarray(v[:, ::-1][:, :dims]).astype(np.float32)
     z = x @ basis
