@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,29 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents, on sets of two-word shingles."""
+    from citegraph.llm.near_dedup import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"), shingle_words=2)
+
+
+#: Where the public tokenizer files lie.
+TOKENIZER = os.environ.get("TOKENIZER_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document (their number and a digest), and whether decoding gives the text back."""
+    from citegraph.llm.sentencepiece import Model, decode, encode
+
+    model = Model.read(TOKENIZER)
+    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return decode(ids, model).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def _scored(scores: DataFrame, limit: float) -> DataFrame:
     return scores.select("doc_id", _held_out(5, 0), "score", (F.col("score") >= limit).cast("int").alias("predicted"))
 
@@ -77,7 +101,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES |= {f.__name__: f for f in (op1_decontaminate, op5_quality, op6_toxicity, op7_language, op8_url_filter,
+QUERIES |= {f.__name__: f for f in (op1_decontaminate, op2_near_dedup, op4_sentencepiece, op5_quality, op6_toxicity, op7_language, op8_url_filter,
                                     op9_exact_dedup)}
 
 WORDS_SQL = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
@@ -108,3 +132,22 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
        row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
 FROM t
 """
+
+# Documents that share a shingle are compared in full; the groups by repeated spreading of the least id.
+ORACLE["op2_near_dedup"] = """
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 OR w IS NULL THEN [] WHEN len(w) = 1 THEN w
+             ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s FROM w),
+classes AS (SELECT s, min(doc_id) AS rep FROM sets WHERE len(s) > 0 GROUP BY s),
+items AS (SELECT rep, len(s) AS n, unnest(s) AS item FROM classes),
+links AS (SELECT a.rep AS a, b.rep AS b FROM items a JOIN items b ON a.item = b.item AND a.rep <> b.rep
+              AND a.n * 10 >= b.n * 8 AND b.n * 10 >= a.n * 8
+          GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT rep AS node, rep AS root FROM classes UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node),
+tops AS (SELECT node, min(root) AS top FROM reach GROUP BY node)
+SELECT d.doc_id, len(d.s) AS n_shingles, coalesce(t.top, d.doc_id) AS component_id,
+       d.doc_id = coalesce(t.top, d.doc_id) AS kept
+FROM sets d LEFT JOIN classes c ON c.s = d.s LEFT JOIN tops t ON t.node = c.rep
+"""
