@@ -259,6 +259,10 @@ class Model:
         return [i for i in range(n) if alive[i]] + [n]
 
 
+def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+
+
 def _encoder(bc, text_col: str, out_col: str):
     cache: dict[str, list[int]] = {}
 
@@ -288,8 +292,7 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     column that is already called ``out_col`` is replaced."""
     docs = docs.drop(out_col)
     bc = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_encoder(bc, text_col, out_col),
-                           T.StructType([*docs.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(_encoder(bc, text_col, out_col), _with(docs, out_col, T.ArrayType(T.IntegerType())))
 
 
 def decode_ids(model: Model, ids: np.ndarray) -> str:
@@ -314,4 +317,4 @@ def decode(rows: DataFrame, model: Model, ids_col: str = "ids", out_col: str = "
     place, and one whose extra spaces the model squeezes without them; all others come back as they were."""
     rows = rows.drop(out_col)
     bc = rows.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_decoder(bc, ids_col, out_col), rows.schema.add(out_col, "string"))
+    return rows.mapInArrow(_decoder(bc, ids_col, out_col), _with(rows, out_col, T.StringType()))
