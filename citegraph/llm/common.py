@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,14 +53,24 @@ class Stored:
             path.getFileSystem(conf).delete(path, True)
 
 
-def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 512):
-    """An Arrow map function that hands ``fn`` slices of at most ``rows`` rows, so that
-    its working memory follows a slice and not Spark's batch size."""
+def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 512, max_bytes: int = 4 << 20):
+    """An Arrow map function that hands ``fn`` slices of at most ``rows`` rows and, beyond the first row, about
+    ``max_bytes`` of text, so that its working memory follows a slice and not Spark's batch size."""
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                yield fn(batch.slice(start, rows))
+            size = np.zeros(batch.num_rows, np.int64)
+            for col in batch.columns:
+                if pa.types.is_string(col.type) or pa.types.is_large_string(col.type):
+                    size += pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
+            total = np.cumsum(size)
+            start = 0
+            while start < batch.num_rows:
+                before = total[start - 1] if start else 0
+                end = min(start + rows, max(start + 1, int(np.searchsorted(total, before + max_bytes, "right"))))
+                end = min(end, batch.num_rows)
+                yield fn(batch.slice(start, end - start))
+                start = end
 
     return run
 

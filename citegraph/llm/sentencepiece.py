@@ -268,16 +268,17 @@ def _encoder(bc, text_col: str, out_col: str):
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = bc.value
-        offsets, values, null = [0], [], []
-        for text in batch.column(text_col).to_pylist():
-            null.append(text is None)
-            words = m.word.findall(m.normalise(text)) if text else []
-            new = [w for w in set(words) if w not in cache]
-            if len(cache) + len(new) > CACHED_WORDS:
-                cache.clear()
-                new = list(set(words))
-            cache.update(zip(new, m.encode_words(new)))
-            got = np.fromiter(chain.from_iterable(map(cache.__getitem__, words)), np.int32)
+        texts = batch.column(text_col).to_pylist()
+        words = [m.word.findall(m.normalise(t)) if t else [] for t in texts]
+        distinct = set().union(*words)
+        new = [w for w in distinct if w not in cache]
+        if len(cache) + len(new) > CACHED_WORDS:
+            cache.clear()
+            new = list(distinct)
+        cache.update(zip(new, m.encode_words(new)))
+        offsets, values, null = [0], [], [t is None for t in texts]
+        for row in words:
+            got = np.fromiter(chain.from_iterable(map(cache.__getitem__, row)), np.int32)
             values.append(got)
             offsets.append(offsets[-1] + len(got))
         ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values)),
