@@ -8,7 +8,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citegraph.session import ensure_checkpoint_dir
@@ -75,6 +75,16 @@ def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 512, m
     return run
 
 
+def smallest(df: DataFrame, by: str, k: int, *order: str, salts: int = 16) -> DataFrame:
+    """The ``k`` rows of each value of ``by`` that come first in ``order`` (of the columns' hash, then the columns).
+    Ranked within salted shares of a value first, so the last ranking reads at most salts * k rows of it."""
+    df = df.withColumn("_hash", F.xxhash64(*order))
+    for keys in ([by, F.pmod("_hash", F.lit(salts))], [by]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_hash", *order))
+        df = df.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+    return df.drop("_hash")
+
+
 def crc_mod(col: str, n: int) -> F.Column:
     """crc32 of the id as text, modulo ``n``: the fold of a document."""
     return F.crc32(F.col(col).cast("string")) % n

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import crc_mod
+from citegraph.llm.common import crc_mod, smallest
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int,
@@ -18,7 +18,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """
     one = (labels.where(crc_mod(id_col, folds) != 0).groupBy(F.col(id_col).alias("id"))
            .agg(F.round(F.avg(F.col(label))).cast("int").alias("y")).where("y in (0, 1)"))
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
-    chosen = one.withColumn("k", rank).where(F.col("k") <= per_class).select("id", "y")
+    chosen = smallest(one, "y", per_class, "id")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.join(F.broadcast(chosen), "id")

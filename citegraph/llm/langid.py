@@ -12,10 +12,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import byte_table, per_batch
+from citegraph.llm.common import byte_table, per_batch, smallest
 from citegraph.llm.ngrams import counts, inverse_frequencies, tf_idf
 
 NS, BITS = (1, 2, 3), 12
@@ -64,8 +64,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").rlike("\\p{L}"))
     idf = inverse_frequencies(rows, "text", features, 1 << BITS)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = rows.select("id", "lang").distinct().withColumn("k", rank).where(F.col("k") <= per_lang)
+    chosen = smallest(rows.select("id", "lang").distinct(), "lang", per_lang, "id")
     sample = rows.join(F.broadcast(chosen), ["id", "lang"]).select("id", "lang", "text")
     bc = docs.sparkSession.sparkContext.broadcast(idf)
 

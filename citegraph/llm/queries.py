@@ -39,6 +39,17 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), shingle_words=2)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat an earlier one (numbers of lines, digest of the text left)."""
+    from citegraph.llm.line_dedup import drop_lines, duplicate_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = drop_lines(docs.withColumn("clean", F.col("text")), duplicate_lines(docs), text_col="clean")
+    count = lambda c: F.when(F.col(c).isNull() | (F.col(c) == ""), 0).otherwise(F.size(F.split(c, "\n"))).cast("long")
+    return left.select("doc_id", count("text").alias("n_lines"), count("clean").alias("n_left"),
+                       F.sha2(F.coalesce("clean", F.lit("")), 256).alias("text_sha256"))
+
+
 #: Where the public tokenizer files lie.
 TOKENIZER = os.environ.get("TOKENIZER_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -101,7 +112,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES |= {f.__name__: f for f in (op1_decontaminate, op2_near_dedup, op4_sentencepiece, op5_quality, op6_toxicity, op7_language, op8_url_filter,
+QUERIES |= {f.__name__: f for f in (op1_decontaminate, op2_near_dedup, op3_line_dedup, op4_sentencepiece, op5_quality, op6_toxicity, op7_language, op8_url_filter,
                                     op9_exact_dedup)}
 
 WORDS_SQL = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
@@ -151,3 +162,24 @@ SELECT d.doc_id, len(d.s) AS n_shingles, coalesce(t.top, d.doc_id) AS component_
        d.doc_id = coalesce(t.top, d.doc_id) AS kept
 FROM sets d LEFT JOIN classes c ON c.s = d.s LEFT JOIN tops t ON t.node = c.rep
 """
+
+# One edit leaves a half of the line as it is: candidates share one, the edit distance decides.
+ORACLE["op3_line_dedup"] = """
+WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
+                    unnest(range(0, len(string_split(text, chr(10))))) AS no FROM documents),
+lines AS (SELECT doc_id, no, raw, lower(trim(regexp_replace(raw, '[\\x20\\x09-\\x0D]+', ' ', 'g'))) AS norm FROM raw),
+classes AS (SELECT norm, length(norm) AS n, min({'id': doc_id, 'no': no}) AS first FROM lines
+            WHERE length(norm) >= 16 GROUP BY norm),
+sized AS (SELECT *, unnest([n, n - 1]) AS size FROM classes),
+halves AS (SELECT *, 0 AS side, left(norm, size // 2) AS half FROM sized
+           UNION ALL SELECT *, 1, right(norm, size - size // 2) FROM sized),
+near AS (SELECT DISTINCT a.norm FROM halves a JOIN halves b ON a.size = b.size AND a.side = b.side AND a.half = b.half
+         WHERE (a.n = a.size OR b.n = b.size) AND b.first < a.first AND levenshtein(a.norm, b.norm) = 1),
+marked AS (SELECT l.*, c.norm IS NOT NULL AND (x.norm IS NOT NULL OR c.first <> {'id': l.doc_id, 'no': l.no}) AS gone
+           FROM lines l LEFT JOIN classes c ON c.norm = l.norm LEFT JOIN near x ON x.norm = l.norm),
+left_over AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY no) AS clean FROM marked WHERE NOT gone GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines,
+       CASE WHEN coalesce(l.clean, '') = '' THEN 0 ELSE len(string_split(l.clean, chr(10))) END AS n_left,
+       sha256(coalesce(l.clean, '')) AS text_sha256
+FROM documents d LEFT JOIN left_over l USING (doc_id)
+"""

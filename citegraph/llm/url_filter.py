@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import Stored
+from citegraph.llm.common import Stored, smallest
 
 #: Labelled URLs a verdict that the trees learn from.
 PER_CLASS = 4000
@@ -80,12 +80,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     rows = rows.withColumns({"host": host, "path": path})
     rows = rows.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules)).withColumns(lexical("url"))
 
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("url"), "url"))
-    sample = store.put(
-        rows.where("fit is not null")
-        .withColumn("y", (F.col("fit.verdict") == "block").cast("double"))
-        .withColumn("k", rank).where(F.col("k") <= per_class)
-        .select("y", "url", "suffix", *FEATURES[:-1]), "sample")
+    labelled = rows.where("fit is not null").withColumn("y", (F.col("fit.verdict") == "block").cast("double"))
+    sample = store.put(smallest(labelled.select("y", "url", "suffix", *FEATURES[:-1]), "y", per_class, "url"), "sample")
     classes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rate = classes.get(1.0, 0) / max(1, sum(classes.values()))
     suffixes = F.broadcast(sample.groupBy("suffix").agg(  # at most one row for each sampled url
