@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citegraph.llm import license_scan
 from citegraph.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,8 +113,15 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses whose notices a document holds."""
+    from citegraph.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES |= {f.__name__: f for f in (op1_decontaminate, op2_near_dedup, op3_line_dedup, op4_sentencepiece, op5_quality, op6_toxicity, op7_language, op8_url_filter,
-                                    op9_exact_dedup)}
+                                    op9_exact_dedup, op10_license_scan)}
 
 WORDS_SQL = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
 ALNUM = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -137,6 +145,8 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.
 FROM doc_words d LEFT JOIN hit_words h USING (r) LEFT JOIN hit_items i USING (r)
 """
 
+ORACLE["op10_license_scan"] = license_scan.oracle()
+
 ORACLE["op9_exact_dedup"] = """
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
