@@ -250,7 +250,7 @@ def _cutter(bc, span_limit: int, text_col: str, count_col: str):
         texts = batch.column(k).to_pylist()
         clean = [text if text is None else cut(text, bc.value, span_limit) for text in texts]
         before, after = batch.column(count_col).to_pylist(), [len(words_of(t)) for t in clean]
-        first = [len(words_of(t)) if n is None else n for t, n in zip(texts, (x["before"] for x in before))]
+        first = [len(words_of(t)) if n is None else n for t, n in zip(texts, (x and x["before"] for x in before))]
         batch = batch.set_column(k, batch.schema.field(k), pa.array(clean, pa.string()))
         k = batch.schema.get_field_index(count_col)
         counts = pa.StructArray.from_arrays(
