@@ -55,8 +55,8 @@ def tokenize(text) -> Column:
 
 
 def capitalize(x) -> Column:
-    """F11."""
-    return F.initcap(_c(x))
+    """first character raised, all others lowered."""
+    return F.concat(F.upper(F.substring(_c(x), 1, 1)), F.lower(F.substring(_c(x), 2, (1 << 31) - 1)))
 
 
 def format_metric(x, places: int = 4) -> Column:

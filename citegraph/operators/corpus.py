@@ -25,7 +25,8 @@ def parse_records(records: DataFrame, value_col: str = "value",
     ``#%<ref id>`` (repeatable); other lines are ignored. A record without a
     usable ``#index`` has ``_ok = false`` (rejected, SURVEY Q5/Q6). An absent
     title is NULL (no carry-over from the previous record), an absent or empty
-    abstract NULL, absent references an empty array.
+    abstract NULL, absent references an empty array. ``n_bad_refs`` counts the
+    references that are no integers; they are left out of ``refs``.
     """
     lines = record_lines(F.col(value_col))
     parsed = records.select(
@@ -35,6 +36,7 @@ def parse_records(records: DataFrame, value_col: str = "value",
         F.nullif(tag_value(lines, TAG_ABSTRACT), F.lit("")).alias("abstract"),
         F.filter(F.transform(tag_values(lines, TAG_REFERENCE), lambda x: to_id(x)),
                  lambda x: x.isNotNull()).alias("refs"),
+        F.size(F.filter(tag_values(lines, TAG_REFERENCE), lambda x: to_id(x).isNull())).alias("n_bad_refs"),
     )
     return parsed.withColumn("_ok", F.col("paper_id").isNotNull())
 
@@ -100,12 +102,19 @@ def restrict_corpus(papers: DataFrame, active: DataFrame) -> DataFrame:
     return papers.join(active.select("paper_id"), "paper_id", "left_semi")
 
 
-def reference_text(citations: DataFrame, papers: DataFrame, sep: str = " ") -> DataFrame:
-    """Text of each cited id, per citation edge: (source, target, has_title, text)."""
-    p = papers.select(F.col("paper_id").alias("target"), "title", "abstract")
+def reference_text(citations: DataFrame, papers: DataFrame, sep: str = " ", digest: bool = False) -> DataFrame:
+    """Text of each cited id, per citation edge: (source, target, has_title, text).
+
+    With ``digest`` the last column is ``text_md5``, taken before the join, so no text is copied per edge.
+    """
+    text = join_text("title", "abstract", sep)
+    last = "text_md5" if digest else "text"
+    p = papers.select(F.col("paper_id").alias("target"), F.col("title").isNotNull().alias("has_title"),
+                      (F.md5(text) if digest else text).alias(last))
+    absent = F.md5(F.lit(sep)) if digest else F.lit(sep)
     return (citations.select("source", "target").join(p, "target", "left")
-            .select("source", "target", F.col("title").isNotNull().alias("has_title"),
-                    join_text("title", "abstract", sep).alias("text")))
+            .select("source", "target", F.coalesce("has_title", F.lit(False)).alias("has_title"),
+                    F.coalesce(last, absent).alias(last)))
 
 
 # ---------------------------------------------------------------- U1, U2
@@ -121,6 +130,12 @@ def active_papers(bib: DataFrame) -> DataFrame:
     return cited.union(citing).distinct()
 
 
+def active_of(citations: DataFrame) -> DataFrame:
+    """U1 from the edge list itself: citing and cited ids, distinct."""
+    return (citations.select(F.col("source").alias("paper_id"))
+            .union(citations.select(F.col("target").alias("paper_id"))).distinct())
+
+
 def edge_endpoints(edges: DataFrame) -> DataFrame:
     """Unique node ids over both ends of an edge list."""
     return (edges.select(F.col("source").alias("id"))
@@ -157,15 +172,16 @@ def distinct_ids(df: DataFrame, col: str = "paper_id") -> DataFrame:
 
 def distinct_refs(citations: DataFrame, papers: DataFrame, sep: str = " ") -> DataFrame:
     """A4: distinct cited ids with their text; ``has_title`` marks those with a title."""
-    return (reference_text(citations, papers, sep)
-            .select(F.col("target").alias("paper_id"), "has_title", "text").distinct())
+    cited = citations.select(F.col("target").alias("paper_id")).distinct()
+    return (cited.join(papers.select("paper_id", "title", "abstract"), "paper_id", "left")
+            .select("paper_id", F.col("title").isNotNull().alias("has_title"),
+                    join_text("title", "abstract", sep).alias("text")))
 
 
 def duplicate_texts(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """A5: texts occurring more than once → (text_md5, n_chars, n)."""
-    return (texts.groupBy(text_col).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-            .select(F.md5(F.col(text_col)).alias("text_md5"),
-                    F.length(F.col(text_col)).cast("bigint").alias("n_chars"), "n"))
+    """A5: texts occurring more than once → (text_md5, n_chars, n). Digest and length are the key: no text is shuffled."""
+    return (texts.select(F.md5(F.col(text_col)).alias("text_md5"), F.length(F.col(text_col)).cast("bigint").alias("n_chars"))
+            .groupBy("text_md5", "n_chars").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
 
 
 def corpus_counts(bib: DataFrame) -> DataFrame:
@@ -177,9 +193,8 @@ def corpus_counts(bib: DataFrame) -> DataFrame:
         F.sum(F.when(F.size("refs") > 0, 1).otherwise(0)).cast("bigint").alias("n_citing"),
         F.sum(F.size("refs")).cast("bigint").alias("n_citations"),
     )
-    # the active-set size is a second aggregation; it reaches the plan as a scalar
-    n_active = active_papers(bib).count()
-    return base.withColumn("n_active", F.lit(n_active).cast("bigint"))
+    n_active = active_papers(bib).agg(F.count(F.lit(1)).alias("n_active"))
+    return base.join(n_active)  # one row each
 
 
 def vocabulary(tokens: DataFrame, tokens_col: str = "tokens", min_count: int = 1) -> DataFrame:

@@ -3,13 +3,14 @@
 ``dense_index`` gives rows the numbers 0..n-1 in a total order without a
 single-partition window: range-partition and sort, tag each row with its
 partition id and in-partition position, write the table to the shared folder
-(so the tags are fixed under retries), count rows per partition (one small row
-per partition reaches the driver), and add each partition's offset.
+(so the tags are fixed under retries), count rows per partition, and add each
+partition's offset by a join. Ids are numbered alone; text is joined afterwards, by
+the caller that wants it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegraph.functions.text import join_text
@@ -18,31 +19,23 @@ from citegraph.session import cut_lineage
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
-def dense_index(df: DataFrame, order_cols: list[str], *, index_col: str = "idx",
-                partitions: int | None = None) -> DataFrame:
+def dense_index(df: DataFrame, order_cols: list[str], *, index_col: str = "idx") -> DataFrame:
     """Add ``index_col`` = position (0-based) of the row in ``order_cols`` order.
 
-    The order should be total (make the last column a unique id).
+    The order should be total (make the last column a unique id). The number of range partitions is left to
+    adaptive execution.
     """
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # partition id and in-partition position are fixed in the same task that
     # writes the table, so re-reading (in any file grouping) cannot change them
-    ranged = (df.repartitionByRange(parts, *order_cols).sortWithinPartitions(*order_cols)
+    ranged = (df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_loc", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))))
     tagged = cut_lineage(ranged)
-    counts = {r["_pid"]: r["n"] for r in
-              tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, running = [], 0
-    for pid in range(max(counts) + 1 if counts else 0):
-        offsets.append(running)
-        running += counts.get(pid, 0)
-    if not offsets:
-        return tagged.drop("_pid", "_loc").withColumn(index_col, F.lit(None).cast("bigint"))
-    offset_of = F.array(*[F.lit(o).cast("bigint") for o in offsets])
-    return (tagged.withColumn(index_col, F.element_at(offset_of, F.col("_pid") + 1) + F.col("_loc"))
-            .drop("_pid", "_loc"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))  # one row a partition
+               .select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
+    return (tagged.join(offsets, "_pid")
+            .select(*df.columns, (F.col("_offset") + F.col("_loc")).alias(index_col)))
 
 
 def dictionary_encode(ids: DataFrame, id_col: str = "paper_id", *,
@@ -53,19 +46,30 @@ def dictionary_encode(ids: DataFrame, id_col: str = "paper_id", *,
     return out.select(index_col, *[c for c in out.columns if c != index_col])
 
 
+def paper_index(active: DataFrame) -> DataFrame:
+    """A16 over the active ids: (idx, paper_id)."""
+    return dictionary_encode(active.select("paper_id"), "paper_id")
+
+
+def ref_index(citations: DataFrame) -> DataFrame:
+    """A16 over the distinct cited ids: (idx, paper_id)."""
+    return dictionary_encode(citations.select(F.col("target").alias("paper_id")).distinct(), "paper_id")
+
+
+def with_text(dim: DataFrame, papers: DataFrame, sep: str = " ") -> DataFrame:
+    """(idx, paper_id, text): the text of every numbered id, '' where the corpus has none."""
+    return (dim.join(papers.select("paper_id", "title", "abstract"), "paper_id", "left")
+            .select("idx", "paper_id", join_text("title", "abstract", sep).alias("text")))
+
+
 def encode_papers(active: DataFrame, papers: DataFrame, sep: str = " ") -> DataFrame:
     """A16 + J1: dim_paper(idx, paper_id, text) for the active ids."""
-    from citegraph.operators.corpus import paper_text
-
-    return dictionary_encode(paper_text(active, papers, sep=sep), "paper_id")
+    return with_text(paper_index(active), papers, sep)
 
 
 def encode_refs(citations: DataFrame, papers: DataFrame, sep: str = " ") -> DataFrame:
     """A4 + A16: dim_ref(idx, paper_id, text) over distinct cited ids."""
-    cited = citations.select(F.col("target").alias("paper_id")).distinct()
-    with_text = (cited.join(papers.select("paper_id", "title", "abstract"), "paper_id", "left")
-                 .select("paper_id", join_text("title", "abstract", sep).alias("text")))
-    return dictionary_encode(with_text, "paper_id")
+    return with_text(ref_index(citations), papers, sep)
 
 
 def encode_pairs(citations: DataFrame, dim_paper: DataFrame, dim_ref: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ before the shuffle.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,14 +37,17 @@ def typed_nodes(nodes: DataFrame, node_type: str = "paper") -> DataFrame:
 
 def attach_features(graph_nodes: DataFrame, features: DataFrame, id_col: str = "id",
                     check: bool = True) -> DataFrame:
-    """Match features to graph nodes; a node without features is an error."""
-    out = graph_nodes.select(id_col).distinct().join(features, id_col, "left")
+    """Match features to graph nodes; a node without a feature row, or with a null in it, is an error
+    (raised by the query itself when it runs)."""
+    out = graph_nodes.select(id_col).distinct().join(features.withColumn("_has", F.lit(True)), id_col, "left")
     if check:
-        missing = out.where(F.col("features").isNull()).limit(1).count() if "features" in out.columns \
-            else 0
-        if missing:
-            raise ValueError("graph nodes without features")
-    return out
+        whole = F.col("_has")
+        for c in features.columns:
+            if c != id_col:
+                whole = whole & F.col(c).isNotNull()
+        out = out.where(F.when(F.coalesce(whole, F.lit(False)), F.lit(True)).otherwise(
+            F.raise_error(F.concat(F.lit("graph node without features: "), F.col(id_col).cast("string"))).cast("boolean")))
+    return out.drop("_has")
 
 
 @dataclass
@@ -72,15 +76,13 @@ def graph_summary(nodes: DataFrame, edges: DataFrame, id_col: str = "id",
                   feature_col: str | None = "embedding") -> DataFrame:
     """Nodes, edges, feature length, isolated nodes, min / mean / max degree."""
     deg = degrees(nodes, edges, id_col)
-    n_edges = edges.count()
     s = deg.agg(F.count(F.lit(1)).alias("n_nodes"),
                 F.sum(F.when(F.col("degree") == 0, 1).otherwise(0)).cast("bigint").alias("n_isolated"),
                 F.min("degree").alias("min_degree"), F.avg("degree").alias("mean_degree"),
                 F.max("degree").alias("max_degree"))
-    s = s.withColumn("n_edges", F.lit(n_edges).cast("bigint"))
+    s = s.join(edges.agg(F.count(F.lit(1)).alias("n_edges")))  # one row each
     if feature_col:
-        flen = nodes.agg(F.max(F.size(feature_col)).alias("l")).first()["l"]
-        s = s.withColumn("feature_length", F.lit(flen).cast("int"))
+        s = s.join(nodes.agg(F.max(F.size(feature_col)).cast("int").alias("feature_length")))
     return s
 
 
@@ -112,27 +114,31 @@ def propagate(norm_edges: DataFrame, h: DataFrame, dim: int, *, id_col: str = "i
               vec_col: str = "h") -> DataFrame:
     """One step H' = Â·H (weighted sum of neighbour rows, self included).
 
-    Vectors are summed element-wise by ``posexplode`` + a hash aggregate on
-    (node, position): the aggregate is partial map-side, so a hub receiving
-    millions of messages is combined before the shuffle, and no task holds a
-    node's whole neighbourhood.
+    Whole vectors are summed by a vector aggregate that is partial map-side: a hub receiving
+    millions of messages is combined before the one shuffle, and moves one vector per task.
     """
-    msg = (norm_edges.join(h.select(F.col(id_col).alias("src"), F.col(vec_col).alias("_v")), "src")
-           .select("dst", F.posexplode("_v").alias("pos", "x"), "w"))
-    summed = (msg.groupBy("dst", "pos").agg(F.sum(F.col("x").cast("double") * F.col("w")).alias("x")))
-    return (summed.groupBy("dst").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("_p"))
-            .select(F.col("dst").alias(id_col), F.transform("_p", lambda s: s["x"]).alias(vec_col)))
+    msg = norm_edges.join(h.select(F.col(id_col).alias("src"), F.col(vec_col).alias("_v")), "src")
+    return sum_vectors(msg.select(F.col("dst").alias(id_col), "_v", "w"), id_col, "_v", vec_col, "w")
+
+
+def sum_vectors(rows: DataFrame, key: str, vec_col: str, out_col: str, weight_col: str | None = None,
+                metric: str = "sum") -> DataFrame:
+    """Element-wise (weighted) sum or mean of array columns per key: (key, out_col)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    vec = array_to_vector(F.transform(vec_col, lambda x: x.cast("double")))
+    weight = F.col(weight_col) if weight_col else F.lit(1.0)
+    total = Summarizer.metrics(metric).summary(vec, weight).getField(metric)
+    return rows.groupBy(key).agg(total.alias("_s")).select(key, vector_to_array("_s").alias(out_col))
 
 
 def mean_aggregate(sampled: DataFrame, h: DataFrame, nodes: DataFrame, dim: int, *,
                    id_col: str = "id", vec_col: str = "h") -> DataFrame:
     """Mean of the (sampled) neighbours' rows; isolated node → zero vector."""
-    msg = (sampled.select(F.col("source").alias("dst"), F.col("target").alias("src"))
-           .join(h.select(F.col(id_col).alias("src"), F.col(vec_col).alias("_v")), "src")
-           .select("dst", F.posexplode("_v").alias("pos", "x")))
-    mean = msg.groupBy("dst", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    vecs = (mean.groupBy("dst").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("_p"))
-            .select(F.col("dst").alias(id_col), F.transform("_p", lambda s: s["x"]).alias("_m")))
+    msg = (sampled.select(F.col("source").alias(id_col), F.col("target").alias("src"))
+           .join(h.select(F.col(id_col).alias("src"), F.col(vec_col).alias("_v")), "src"))
+    vecs = sum_vectors(msg, id_col, "_v", "_m", metric="mean")
     zero = F.array_repeat(F.lit(0.0), dim)
     return (nodes.select(id_col).join(vecs, id_col, "left")
             .select(id_col, F.coalesce("_m", zero).alias(vec_col)))
@@ -141,7 +147,7 @@ def mean_aggregate(sampled: DataFrame, h: DataFrame, nodes: DataFrame, dim: int,
 # ---------------------------------------------------------------- G12
 def link_score(links: DataFrame, emb: DataFrame, *, op: str = "ip", act: str = "sigmoid",
                id_col: str = "id", vec_col: str = "h") -> DataFrame:
-    """Join both ends' vectors, combine, activate → ``score``.
+    """Join both ends' vectors, combine, activate → ``score``. A link end without a vector is an error.
 
     ``op``: ``ip`` (inner product; others return the link embedding array:
     ``hadamard``, ``l1``, ``l2``, ``avg``, ``concat``). ``act``: sigmoid, relu, linear.
@@ -150,7 +156,9 @@ def link_score(links: DataFrame, emb: DataFrame, *, op: str = "ip", act: str = "
 
     a = emb.select(F.col(id_col).alias("source"), F.col(vec_col).alias("_a"))
     b = emb.select(F.col(id_col).alias("target"), F.col(vec_col).alias("_b"))
-    j = links.join(a, "source").join(b, "target")
+    j = links.join(a, "source", "left").join(b, "target", "left").where(
+        F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.lit(True)).otherwise(F.raise_error(
+            F.concat_ws(" ", F.lit("link end without a vector:"), "source", "target")).cast("boolean")))
     if op == "ip":
         raw = dot("_a", "_b")
         score = {"sigmoid": sigmoid(raw), "relu": relu(raw), "linear": raw}[act]
@@ -180,70 +188,73 @@ def connected_components(nodes: DataFrame, edges: DataFrame, *, id_col: str = "i
     return comp.join(low, "c").select(F.col("v").alias(id_col), "component")
 
 
-def spanning_forest(nodes: DataFrame, edges: DataFrame, seed: int = 42, *, id_col: str = "id",
-                    max_rounds: int = 64, verbose: bool = False) -> DataFrame:
+def spanning_forest(nodes: DataFrame, edges: DataFrame, seed: int = 42, *, id_col: str = "id") -> DataFrame:
     """The minimum spanning forest under unique md5 edge weights (Borůvka)."""
-    return _boruvka(nodes, edges, seed, id_col=id_col, max_rounds=max_rounds, verbose=verbose)[0]
+    return _boruvka(nodes, edges, seed, id_col=id_col)[0]
 
 
-def _boruvka(nodes: DataFrame, edges: DataFrame, seed: int = 42, *, id_col: str = "id",
-             max_rounds: int = 64, verbose: bool = False):
+def _boruvka(nodes: DataFrame, edges: DataFrame, seed: int = 42, *, id_col: str = "id"):
     """Borůvka rounds → (forest edges, component of every node).
 
     Each round every component picks its lightest outgoing edge (``min`` of a
-    (weight, a, b) struct: a hash aggregate, combined map-side), the picked edges
-    join the forest, and components merge: each points to the component at the
-    other end of its pick (a mutual pick is broken towards the smaller id), and
-    pointer jumping finds the roots in O(log depth) joins. O(log n) rounds, each
-    cut by a reliable checkpoint. Unique weights make the forest unique.
+    (weight, a, b) struct, combined map-side), the picked edges join the forest, and components
+    merge: each points to the component at the other end of its pick (a mutual pick is broken
+    towards the smaller id), and pointer jumping finds the roots. The edge table is then contracted: edges
+    inside a component go, and of those between two components only the lightest stays, so it
+    shrinks with the components (at least by half a round). Each round's picks and root maps are written
+    once and put together at the end; tables that no later round reads are dropped.
     """
     from citegraph.functions.hashing import hash64
-    from citegraph.session import cut_lineage
-
-    e = simple_graph(edges).select(
-        F.col("source").alias("a"), F.col("target").alias("b"),
-        hash64(F.lit(seed), "source", "target").alias("w"))
-    e = cut_lineage(e)
-    comp = cut_lineage(nodes.select(F.col(id_col).alias("v"), F.col(id_col).alias("c")))
-    forest = None
-    for _ in range(max_rounds):
-        ce = (e.join(comp.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a")
-              .join(comp.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b")
-              .where(F.col("ca") != F.col("cb")))
-        side = (ce.select(F.col("ca").alias("c"), "w", "a", "b", F.col("cb").alias("other"))
-                .unionByName(ce.select(F.col("cb").alias("c"), "w", "a", "b", F.col("ca").alias("other"))))
-        pick = (side.groupBy("c").agg(F.min(F.struct("w", "a", "b", "other")).alias("p"))
-                .select("c", F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("p.other").alias("other")))
-        pick = cut_lineage(pick)
-        if verbose:
-            import sys
-            import time
-            print(f"boruvka round: {pick.count()} components pick an edge {time.strftime('%X')}", file=sys.stderr, flush=True)
-        if pick.limit(1).count() == 0:
+    from citegraph.session import RunTables
+
+    run = RunTables(edges.sparkSession)
+    e = run.put(simple_graph(edges).select(
+        F.col("source").alias("a"), F.col("target").alias("b"), F.col("source").alias("ca"), F.col("target").alias("cb"),
+        hash64(F.lit(seed), "source", "target").alias("w")))
+    picks, maps = [], []
+    while True:
+        side = (e.select(F.col("ca").alias("c"), "w", "a", "b", F.col("cb").alias("other"))
+                .unionByName(e.select(F.col("cb").alias("c"), "w", "a", "b", F.col("ca").alias("other"))))
+        pick = run.put(side.groupBy("c").agg(F.min(F.struct("w", "a", "b", "other")).alias("p"))
+                       .select("c", F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("p.other").alias("other")))
+        if pick.isEmpty():
             break
-        chosen = pick.select("a", "b").distinct()
-        forest = chosen if forest is None else cut_lineage(forest.unionByName(chosen))
+        picks.append(pick)
         # parent pointers; a mutual pick (a 2-cycle) is rooted at the smaller id
         rev = pick.select(F.col("c").alias("other"), F.col("other").alias("back"))
-        parent = (pick.join(rev, "other", "left")
-                  .select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("other")),
-                                      F.col("c")).otherwise(F.col("other")).alias("p")))
-        parent = cut_lineage(parent)
-        while True:
-            hop = (parent.join(parent.select(F.col("c").alias("p"), F.col("p").alias("pp")), "p", "left")
-                   .select("c", F.coalesce("pp", "p").alias("p2"), "p"))
-            hop = cut_lineage(hop)
-            moved = hop.where(F.col("p2") != F.col("p")).limit(1).count()
-            if verbose:
-                import sys
-                print(f"  jump: moved={moved}", file=sys.stderr, flush=True)
-            parent = hop.select("c", F.col("p2").alias("p"))
-            if not moved:
+        parent = run.put(pick.join(rev, "other", "left").select(
+            "c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("other")), F.col("c"))
+            .otherwise(F.col("other")).alias("p")).distinct())
+        while True:  # two jumps a write
+            up = parent.select(F.col("c").alias("p"), F.col("p").alias("p2"))
+            up2 = parent.select(F.col("c").alias("p2"), F.col("p").alias("p3"))
+            hop = run.put(parent.join(up, "p").join(up2, "p2").select("c", F.col("p3").alias("p"), (F.col("p3") != F.col("p")).alias("moved")))
+            run.drop(parent)
+            parent = hop
+            if hop.where("moved").isEmpty():
                 break
-        comp = cut_lineage(comp.join(parent.withColumnRenamed("c", "c0"), F.col("c") == F.col("c0"), "left")
-                           .select("v", F.coalesce("p", "c").alias("c")))
-    if forest is None:
+        root = parent.select("c", "p")
+        maps.append(root)
+        nxt = run.put(
+            e.join(root.select(F.col("c").alias("ca"), F.col("p").alias("pa")), "ca")
+            .join(root.select(F.col("c").alias("cb"), F.col("p").alias("pb")), "cb").where("pa <> pb")
+            .groupBy(F.least("pa", "pb").alias("ca"), F.greatest("pa", "pb").alias("cb"))
+            .agg(F.min(F.struct("w", "a", "b")).alias("m"))
+            .select("m.a", "m.b", "ca", "cb", "m.w"))
+        run.drop(e)
+        e = nxt
+    # the last round's roots, carried back through the (larger) maps of the rounds before
+    comp = nodes.select(F.col(id_col).alias("v"), F.col(id_col).alias("c"))
+    whole = None
+    for root in reversed(maps):
+        if whole is not None:
+            root = (root.join(whole.select(F.col("c").alias("p"), F.col("p").alias("q")), "p", "left")
+                    .select("c", F.coalesce("q", "p").alias("p")))
+        whole = root
+    if whole is None:
         return edges.sparkSession.createDataFrame([], "source bigint, target bigint"), comp
+    comp = comp.join(whole, "c", "left").select("v", F.coalesce("p", "c").alias("c"))
+    forest = reduce(DataFrame.unionByName, [p.select("a", "b") for p in picks]).distinct()
     return forest.select(F.col("a").alias("source"), F.col("b").alias("target")), comp
 
 
@@ -254,11 +265,11 @@ def split_links(nodes: DataFrame, edges: DataFrame, p: float = 0.1, seed: int =
 
     Positives: ``round(p * m)`` edges of smallest md5 weight among those outside
     the spanning forest when ``keep_connected`` (removing them cannot split a
-    component), else among all edges. Negatives: as many non-edges (T9).
+    component; all of them when there are fewer), else among all edges. Negatives: as many non-edges (T9).
     """
     import math
 
-    from citegraph.operators.sampling import first_n, sample_negative_links
+    from citegraph.operators.sampling import least_hashed, sample_negative_links
     from citegraph.functions.hashing import hash64
 
     e = simple_graph(edges)
@@ -268,10 +279,11 @@ def split_links(nodes: DataFrame, edges: DataFrame, p: float = 0.1, seed: int =
     if keep_connected:
         pool = e.join(spanning_forest(nodes, e, seed, id_col=id_col), ["source", "target"], "left_anti")
     keyed = pool.withColumn("_h", hash64(F.lit(seed), F.lit("split"), "source", "target"))
-    pos = first_n(keyed, n_pos, ["_h", "source", "target"]).select("source", "target")
+    pos = least_hashed(keyed, n_pos, "_h", ["source", "target"]).select("source", "target")
     from citegraph.session import cut_lineage
     pos = cut_lineage(pos)
-    neg = sample_negative_links(nodes, e, pos.count(), seed, id_col=id_col)
+    n_taken = pos.count()  # fewer than n_pos when the graph has fewer edges outside the forest
+    neg = sample_negative_links(nodes, e, n_taken, seed, id_col=id_col)
     links = (pos.withColumn("label", F.lit(1))
              .unionByName(neg.select("source", "target", F.lit(0).alias("label"))))
     return remove_edges(e, pos), links

@@ -116,40 +116,28 @@ def roc_curve(scored: DataFrame, label: str = "label", score: str = "score") ->
 
     Returns (threshold, fpr, tpr, n_pos, n_neg) where n_pos / n_neg are the counts
     at exactly that score. The origin (0, 0) is implicit, as in the usual curve.
-    Cumulative sums are two-pass: range partitions by score, per-partition totals
-    (one row each to the driver), then a window inside each partition.
+    Cumulative sums are two-pass: range partitions by score, running totals over the
+    partitions (one row each), then a window inside each partition.
     """
-    spark = scored.sparkSession
     grouped = scored.groupBy(F.col(score).alias("threshold")).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("bigint").alias("n_pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("bigint").alias("n_neg"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut_lineage(grouped.repartitionByRange(parts, F.col("threshold").desc())
+    ranged = cut_lineage(grouped.repartitionByRange(F.col("threshold").desc())
                          .withColumn("_pid", F.spark_partition_id()))
-    tot = {r["_pid"]: (r["p"], r["n"]) for r in ranged.groupBy("_pid").agg(
-        F.sum("n_pos").alias("p"), F.sum("n_neg").alias("n")).collect()}
-    P = sum(v[0] for v in tot.values())
-    N = sum(v[1] for v in tot.values())
-    off_p, off_n, rp, rn = [], [], 0, 0
-    for pid in range(max(tot) + 1 if tot else 0):
-        off_p.append(rp)
-        off_n.append(rn)
-        rp += tot.get(pid, (0, 0))[0]
-        rn += tot.get(pid, (0, 0))[1]
-    if not tot:
-        return ranged.select("threshold", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
-                             "n_pos", "n_neg")
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(F.lit(0))
+    totals = (ranged.groupBy("_pid").agg(F.sum("n_pos").alias("p"), F.sum("n_neg").alias("n"))
+              .select("_pid", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("_p0"),
+                      F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n0"),
+                      F.sum("p").over(every).alias("_P"), F.sum("n").over(every).alias("_N")))
     w = (Window.partitionBy("_pid").orderBy(F.col("threshold").desc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    op = F.element_at(F.array(*[F.lit(x).cast("bigint") for x in off_p]), F.col("_pid") + 1)
-    on = F.element_at(F.array(*[F.lit(x).cast("bigint") for x in off_n]), F.col("_pid") + 1)
-    cum_p = F.sum("n_pos").over(w) + op
-    cum_n = F.sum("n_neg").over(w) + on
-    return ranged.select(
-        "threshold",
-        (F.try_divide(cum_n.cast("double"), F.lit(float(N))) if N else F.lit(0.0)).alias("fpr"),
-        (F.try_divide(cum_p.cast("double"), F.lit(float(P))) if P else F.lit(0.0)).alias("tpr"),
-        "n_pos", "n_neg")
+
+    def rate(n: str, first: str, total: str):
+        return F.coalesce(F.try_divide((F.sum(n).over(w) + F.col(first)).cast("double"), F.col(total).cast("double")), F.lit(0.0))
+
+    return ranged.join(totals, "_pid").select(
+        "threshold", rate("n_neg", "_n0", "_N").alias("fpr"), rate("n_pos", "_p0", "_P").alias("tpr"), "n_pos", "n_neg")
 
 
 def auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:

@@ -20,7 +20,7 @@ TEXT_SQL = ("SELECT a.paper_id, coalesce(p.title, '') || ' ' || coalesce(p.abstr
 
 
 def _active(spark, d):
-    return C.active_papers(V.bib(spark, d))
+    return C.active_of(V.doc_cites(spark, d))
 
 
 def _texts(spark, d):
@@ -33,7 +33,7 @@ def _texts(spark, d):
            len(refs) AS n_refs, array_to_string(refs, ',') AS refs
     FROM bib"""))
 def q_bib_parse(spark, d):
-    """S3 core (F1, F2, P4, F5, Q7): format every paper as a tagged record and parse it back."""
+    """S3 core (F1, F2, P4, F5): format every paper as a tagged record and parse it back."""
     parsed = C.parse_records(C.format_records(V.bib(spark, d)).withColumn("_order", F.lit(0)),
                              order_cols=["_order"])
     p = C.last_record_wins(parsed, "_order")
@@ -75,8 +75,7 @@ def q_paper_text(spark, d):
     FROM doc_cites c LEFT JOIN papers p ON p.paper_id = c.target"""))
 def q_reference_text(spark, d):
     """Text of each cited id per citation (reported as md5)."""
-    r = C.reference_text(V.doc_cites(spark, d), V.papers(spark, d))
-    return r.select("source", "target", "has_title", F.md5("text").alias("text_md5"))
+    return C.reference_text(V.doc_cites(spark, d), V.papers(spark, d), digest=True)
 
 
 @register("adjacency", V.sql_with(["doc_cites"], """

@@ -18,26 +18,32 @@ DIMR = ("dimr", """SELECT row_number() OVER (ORDER BY c.paper_id) - 1 AS idx, c.
         FROM (SELECT DISTINCT target AS paper_id FROM doc_cites) c LEFT JOIN papers p ON p.paper_id = c.paper_id""")
 
 
+def active(spark, d):
+    return C.active_of(V.doc_cites(spark, d))
+
+
 def dim_paper(spark, d):
-    return E.encode_papers(C.active_papers(V.bib(spark, d)), V.papers(spark, d))
+    return E.paper_index(active(spark, d))
 
 
 def dim_ref(spark, d):
-    return E.encode_refs(V.doc_cites(spark, d), V.papers(spark, d))
+    return E.ref_index(V.doc_cites(spark, d))
 
 
 @register("encode_papers", V.sql_with(["papers", "doc_cites"],
                                       "SELECT idx, paper_id, md5(text) AS text_md5 FROM dimp", [ACTIVE, DIMP]))
 def q_encode_papers(spark, d):
     """Active papers numbered 0..n-1 in id order, with their text (md5)."""
-    return dim_paper(spark, d).select("idx", "paper_id", F.md5("text").alias("text_md5"))
+    out = E.encode_papers(active(spark, d), V.papers(spark, d))
+    return out.select("idx", "paper_id", F.md5("text").alias("text_md5"))
 
 
 @register("encode_refs", V.sql_with(["papers", "doc_cites"],
                                     "SELECT idx, paper_id, md5(text) AS text_md5 FROM dimr", [DIMR]))
 def q_encode_refs(spark, d):
     """A4 + A16: cited ids numbered 0..n-1."""
-    return dim_ref(spark, d).select("idx", "paper_id", F.md5("text").alias("text_md5"))
+    out = E.encode_refs(V.doc_cites(spark, d), V.papers(spark, d))
+    return out.select("idx", "paper_id", F.md5("text").alias("text_md5"))
 
 
 @register("encode_pairs", V.sql_with(["papers", "doc_cites"], """
@@ -58,6 +64,7 @@ def q_decode(spark, d):
     dp, dr = dim_paper(spark, d), dim_ref(spark, d)
     enc = E.encode_pairs(V.doc_cites(spark, d), dp, dr)
     out = E.decode(enc, dp.select("idx", "paper_id"), "paper_idx")
-    out = E.decode(out, dr.select("idx", F.col("paper_id").alias("ref_id"),
-                                  F.md5("text").alias("ref_text_md5")), "ref_idx")
+    ref = E.with_text(dr, V.papers(spark, d)).select(  # the digest is taken before the join with the pairs
+        "idx", F.col("paper_id").alias("ref_id"), F.md5("text").alias("ref_text_md5"))
+    out = E.decode(out, ref, "ref_idx")
     return out.select("paper_idx", "ref_idx", "paper_id", "ref_id", "ref_text_md5")

@@ -14,6 +14,7 @@ from citegraph.operators import sampling as S
 from citegraph.operators import vectors as VE
 from citegraph.plans import views as V
 from citegraph.plans.catalog import r6, register
+from citegraph.session import cut_lineage
 from citegraph.plans.q_sampling import (
     CAND_SQL, KEPT_SQL, N_NEG, N_POSITIVE, SEED, _negative_pairs, _pair_sizes, links, und,
 )
@@ -63,7 +64,7 @@ PAIR_STEP_SQL = V.sql_with(["pairs"], "SELECT tbl, idx, pos, round(w, 6) AS w FR
 def q_pair_step(spark, d):
     """M5: one Adam step of the cosine pair model from md5-initialised tables;
     the rows touched by the batch, as (table, idx, position, weight) cells."""
-    batch = _batch(spark, d)
+    batch = cut_lineage(_batch(spark, d))  # sampled once; every branch below reads it
     # initial rows are a pure function of (seed, idx): build only the rows the batch touches
     P0 = EM.init_table(batch.select(F.col("paper_idx").alias("idx")), PAIR_DIM, SEED, "P")
     R0 = EM.init_table(batch.select(F.col("ref_idx").alias("idx")), PAIR_DIM, SEED, "R")
@@ -77,9 +78,9 @@ def q_pair_step(spark, d):
 
 @register("train_pairs")
 def q_train_pairs(spark, d):
-    """M5: three epochs of the pair model (one large synchronous batch each): loss history."""
+    """M5: three epochs of the pair model, each a synchronous step over all pairs and two non-pairs for each: loss history."""
     n_p, n_r = _pair_sizes(spark, d)
-    _P, _R, hist = EM.train_pair_embeddings(V.pairs(spark, d), n_p, n_r, dim=PAIR_DIM, epochs=3, seed=SEED)
+    _P, _R, _dense, hist = EM.train_pair_embeddings(V.pairs(spark, d), n_p, n_r, dim=PAIR_DIM, epochs=3, seed=SEED)
     return hist
 
 
@@ -87,7 +88,7 @@ def q_train_pairs(spark, d):
 def q_train_pairs_logloss(spark, d):
     """M6: the classification variant (labels 1/0, sigmoid over the cosine)."""
     n_p, n_r = _pair_sizes(spark, d)
-    _P, _R, hist = EM.train_pair_embeddings(V.pairs(spark, d), n_p, n_r, dim=PAIR_DIM, epochs=2, seed=SEED,
+    _P, _R, _dense, hist = EM.train_pair_embeddings(V.pairs(spark, d), n_p, n_r, dim=PAIR_DIM, epochs=2, seed=SEED,
                                             objective="logloss")
     return hist
 
@@ -97,7 +98,7 @@ def q_doc_vectors(spark, d):
     """M1 + M3 + M4: Word2Vec document vectors (100 dims) for every paper text."""
     papers = V.papers(spark, d)
     toks = papers.select("paper_id", tokenize(F.concat_ws(" ", "title", "abstract")).alias("tokens"))
-    model = EM.train_doc_vectors(toks, dim=100, passes=1, partitions=8)
+    model = EM.train_doc_vectors(toks, dim=100, passes=1)
     return EM.infer_vectors(model, toks).select("id", F.size("embedding").alias("dim"))
 
 
@@ -135,7 +136,7 @@ def q_text_recs(spark, d):
 
     papers = V.papers(spark, d)
     toks = papers.select("paper_id", tokenize(F.concat_ws(" ", "title", "abstract")).alias("tokens"))
-    model = EM.train_doc_vectors(toks, dim=100, passes=1, partitions=8)
+    model = EM.train_doc_vectors(toks, dim=100, passes=1)
     q = recommend_by_text(papers.select("paper_id"), papers, V.doc_cites(spark, d), model, 10)
     return q.select(F.col("query_id").alias("paper_id"), "n_true", "n_recommended", "n_matched",
                     r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"))

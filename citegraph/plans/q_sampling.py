@@ -38,7 +38,7 @@ NEG = [
 
 
 def und(spark, d):
-    return V.stored(spark, d, "und", lambda: G.simple_graph(V.vec_cites(spark, d)))
+    return V.stored(spark, d, "und", ("lineitem", "embeddings"), lambda: G.simple_graph(V.vec_cites(spark, d)))
 
 
 def positives(spark, d):
@@ -52,7 +52,7 @@ def negatives(spark, d):
 
 def links(spark, d):
     """Held-out positives (label 1) + as many sampled non-edges (label 0), stored once per session."""
-    return V.stored(spark, d, "links", lambda: (
+    return V.stored(spark, d, "links", ("lineitem", "embeddings"), lambda: (
         positives(spark, d).withColumn("label", F.lit(1))
         .unionByName(negatives(spark, d).select("source", "target", F.lit(0).alias("label")))))
 

@@ -34,19 +34,28 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
+_STORED: dict[tuple, DataFrame] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A derived table written once per session to the shared folder and re-read.
+def _stamp(spark: SparkSession, path: str) -> tuple:
+    """Name, size and time of change of a table's files."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], build) -> DataFrame:
+    """A derived table written once to the shared folder and re-read while its input ``tables`` stay as they are.
 
     Edge lists are derived from lineitem by an aggregation; queries use them
     several times (both directions, degrees, joins), so they are stored once
-    instead of re-scanning and re-aggregating lineitem in every branch.
+    instead of re-scanning and re-aggregating lineitem in every branch. A changed
+    input file gives a new table.
     """
     from citegraph.session import cut_lineage
 
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name,
+           tuple(_stamp(spark, f"{sf_dir}/{t}.parquet") for t in tables))
     if key not in _STORED:
         _STORED[key] = cut_lineage(build())
     return _STORED[key]
@@ -61,7 +70,7 @@ def _mod_edges(spark: SparkSession, sf_dir: str, id_table: str) -> DataFrame:
                 .where(F.col("source") != F.col("target"))
                 .distinct())
 
-    return stored(spark, sf_dir, f"edges_{id_table}", build)
+    return stored(spark, sf_dir, f"edges_{id_table}", ("lineitem", id_table), build)
 
 
 def doc_cites(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,16 +53,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a parquet table in the shared checkpoint folder and read it back.
+class RunTables:
+    """Tables of one iterative run in the shared checkpoint folder.
 
-    Used between the rounds of iterative jobs. Unlike ``checkpoint()`` (which in
-    Spark 4 keeps the original plan for statistics, so size estimates of a loop
-    that joins its own output grow without bound), the re-read table has fresh
-    file-based statistics and no lineage. Never ``localCheckpoint``: a table in
-    the shared folder survives the loss of an executor.
+    ``put`` writes a frame as Parquet and reads it back. That cuts its lineage, and unlike ``checkpoint()`` (which in
+    Spark 4 keeps the original plan for statistics, so size estimates of a loop that joins its own output grow
+    without bound) the re-read table has fresh file-based statistics. A table in the shared folder survives the loss
+    of an executor. ``drop`` deletes tables that no later round reads.
     """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/citegraph-tables/{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/citegraph-tables"
+        self._paths: dict[int, str] = {}
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        df.write.mode("error").parquet(path)
+        out = self.spark.read.parquet(path)
+        self._paths[id(out)] = path
+        return out
+
+    def drop(self, *frames: DataFrame | None) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for df in frames:
+            path = self._paths.pop(id(df), None)
+            if path is not None:
+                target = jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(conf).delete(target, True)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """One stored table (see :class:`RunTables`) that nobody drops: for inputs that outlive a run."""
+    return RunTables(df.sparkSession).put(df)
