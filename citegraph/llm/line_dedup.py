@@ -25,15 +25,20 @@ MIN_CHARS = 16
 BLOCK = 128
 
 
-def normalised(line: F.Column) -> F.Column:
-    """Lower case, runs of white space as one space, none at the ends. (The pattern matches only runs that change.)"""
-    return F.lower(F.trim(F.regexp_replace(line, "[\\x09-\\x0D][\\x20\\x09-\\x0D]*|\\x20[\\x20\\x09-\\x0D]+", " ")))
+def normalised(text: str) -> F.Column:
+    """Lower case, and within a line each run of white space as one space. Most texts hold only single spaces, and
+    are not searched for runs."""
+    messy = F.contains(F.col(text), F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        messy = messy | F.contains(F.col(text), F.lit(c))
+    run = "[\\x09\\x0B-\\x0D][\\x20\\x09\\x0B-\\x0D]*|\\x20[\\x20\\x09\\x0B-\\x0D]+"
+    return F.lower(F.when(messy, F.regexp_replace(text, run, " ")).otherwise(F.col(text)))
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(id, no, norm, line, n) of every line that takes part; ``line`` is the digest of its normalised text."""
-    rows = docs.where("id is not null").select("id", F.posexplode(F.split("text", "\n")).alias("no", "raw"))
-    rows = rows.select("id", "no", normalised(F.col("raw")).alias("norm")).withColumn("n", F.length("norm"))
+    """(id, no, norm, n, line) of every line that takes part; ``line`` is the digest of its normalised text."""
+    rows = docs.where("id is not null").select("id", F.posexplode(F.split(normalised("text"), "\n")).alias("no", "norm"))
+    rows = rows.select("id", "no", F.trim("norm").alias("norm")).withColumn("n", F.length("norm"))
     return rows.where(F.col("n") >= min_chars).withColumn("line", F.unhex(F.md5("norm")))
 
 
@@ -48,8 +53,8 @@ def _half_keys() -> list[F.Column]:
     return out
 
 
-def _variants() -> F.Column:
-    """Hashed variants of a candidate line, over the halves where an edit is possible."""
+def _variants() -> tuple[F.Column, F.Column]:
+    """The blocks of a candidate line, and its hashed variants over the halves where an edit is possible."""
     n, b = F.col("n"), BLOCK
     blocks = F.sequence(F.lit(0), F.floor(n / b).cast("int"))
     norm = F.col("norm")
@@ -69,7 +74,6 @@ def _variants() -> F.Column:
 
     def over(flag: str, first: F.Column, last: F.Column, dropped: int) -> F.Column:
         gaps = F.sequence(first, last)
-        # struct of the block arrays, bound once per line and not once per variant
         return F.when(F.col(flag) & (last >= first),
                       F.transform(gaps, lambda g: key(F.col("from_left"), F.col("from_right"), g, n - g - dropped))
                       ).otherwise(none)
@@ -92,11 +96,10 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "
     """
     store = Stored(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    lines = _lines(rows, min_chars)
     place = F.struct("id", "no")
+    lines = store.put(_lines(rows, min_chars).select("line", "id", "no", "n", F.array(*_half_keys()).alias("halves")), "lines")
     classes = store.put(
-        lines.select("line", "n", place.alias("place"), F.array(*_half_keys()).alias("halves"))
-        .groupBy("line").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.first("n").alias("n"),
+        lines.select("line", "n", place.alias("place"), "halves").groupBy("line").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.first("n").alias("n"),
                              F.first("halves").alias("halves")), "classes")
 
     # lines that share a half with another of the same length, or one character longer or shorter
