@@ -7,10 +7,10 @@ filled below the next rank: after one or two ranks unless it is tiny.
 
 Documents with equal shingle sets form one class first. Classes that share a band are
 candidates. No pairs are made within a bucket: every member is first compared with one hub
-of its buckets, the member that meets most others. Only buckets whose members are
-still in different components then compare members across components, and only where the
-shingles that a document shares with any other at all could reach the similarity. All links are
-decided on full shingle sets.
+of its buckets, the member that meets most others. Documents of buckets whose members are
+still in different components are then compared across components, by an exact join on the rarest
+shingles of each (prefix filter), as most of what is left in a large group of copies
+is edited too much to have any link. All links are decided on full shingle sets.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegraph.llm.common import Stored, byte_table, per_batch
@@ -127,6 +127,21 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select("a", "b").distinct())
 
 
+def _prefixes(sets: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
+    """The rarest shingles of every document of ``mixed``, with their position in the order of rarity.
+
+    Two sets that reach the similarity have at least ``need = percent * (n_x + n_y) / (100 + percent)`` shingles in
+    common, so the rarest one they share is among the first ``n - need + 1`` of both. A heavily edited copy
+    has its own shingles there, which stand nowhere else (those are left out), and so meets nobody.
+    """
+    items = (sets.withColumnRenamed("id", "rep").join(mixed, "rep")
+             .select("rep", "n", "root", "apart", F.explode("items").alias("item")))
+    counts = items.groupBy("item").agg(F.count("*").alias("c"))
+    pos = F.row_number().over(Window.partitionBy("rep").orderBy("c", "item"))
+    return (items.join(counts, "item").withColumn("pos", pos)
+            .where(((F.col("n") - F.col("pos") + 1) * 100 >= F.col("n") * percent) & (F.col("c") > 1)).drop("c"))
+
+
 def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id",
                 text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``id_col, n_shingles, component_id, kept`` for every row.
@@ -165,25 +180,21 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_c
     stars = components(store.put(_linked(first, sets, percent).unionByName(same_id), "links1"), store, "stars")
     stars = store.put(stars, "roots1")
 
-    # buckets that still hold several components: compare across them
+    # buckets that still hold several components: compare their members across components
     bucket = (bucket.join(stars, bucket["rep"] == stars["node"], "left")
               .select("key", "rep", "n", F.coalesce("root", "rep").alias("root")))
     sizes = bucket.groupBy("key", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max_by("root", F.col("size")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = store.put(bucket.join(main, "key").select("key", "rep", "n", "root", "main"), "mixed")
-    own = (sets.join(mixed.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-           .select("id", F.explode("items").alias("item")).distinct()
-           .groupBy("item").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c = 1")
-           .groupBy("rep").agg(F.count("*").alias("own")))
-    # a document shares at most n - own shingles with any other of these
-    mixed = (mixed.join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
-             .where(F.col("most") * 100 >= F.col("n") * percent))
-    x = mixed.where("root <> main").select("key", *(F.col(c).alias(f"{c}_x") for c in ("rep", "n", "root", "most")))
-    y = mixed.select("key", "main", *(F.col(c).alias(f"{c}_y") for c in ("rep", "n", "root", "most")))
-    most = F.least("most_x", "most_y")
-    across = (x.join(y, "key")
-              .where((F.col("root_x") != F.col("root_y")) & ((F.col("root_y") == F.col("main")) | (F.col("rep_x") < F.col("rep_y")))
-                     & (most * 100 >= (F.col("n_x") + F.col("n_y") - most) * percent))
+    mixed = store.put(bucket.join(main, "key").groupBy("rep", "n", "root")
+                      .agg(F.max(F.col("root") != F.col("main")).alias("apart")), "mixed")
+    prefix = store.put(_prefixes(sets, mixed, percent), "prefixes")
+    x = prefix.where("apart").select("item", *(F.col(c).alias(f"{c}_x") for c in ("rep", "n", "root", "pos")))
+    y = prefix.select("item", *(F.col(c).alias(f"{c}_y") for c in ("rep", "n", "root", "pos", "apart")))
+    need = (F.col("n_x") + F.col("n_y")) * percent
+    across = (x.join(y, "item")
+              .where((F.col("root_x") != F.col("root_y")) & (~F.col("apart_y") | (F.col("rep_x") < F.col("rep_y")))
+                     & (need <= (F.col("n_x") - F.col("pos_x") + 1) * (100 + percent))
+                     & (need <= (F.col("n_y") - F.col("pos_y") + 1) * (100 + percent)))
               .select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct())
     late = store.put(_linked(store.put(across, "across"), sets, percent), "links2")
     for side in ("a", "b"):
@@ -192,7 +203,7 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_c
     joined = components(late, store, "joined").select(F.col("node").alias("root"), F.col("root").alias("top"))
     final = store.put(stars.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("top"))
                       .unionByName(joined.select(F.col("root").alias("node"), "top")).distinct(), "final")
-    store.drop("classes", "buckets", "sets", "first", "mixed", "across")
+    store.drop("classes", "buckets", "sets", "first", "mixed", "prefixes", "across")
     return (named.join(final, named["rep"] == final["node"], "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                     F.coalesce("top", "rep").alias("component_id"),
