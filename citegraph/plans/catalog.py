@@ -34,5 +34,5 @@ def r6(c) -> F.Column:
 def load_all() -> None:
     """Import every module that registers queries."""
     from citegraph.plans import (  # noqa: F401
-        q_corpus, q_encode, q_graph, q_metrics, q_models, q_sampling, q_vectors,
+        q_corpus, q_encode, q_graph, q_metrics, q_models, q_sampling, q_sources, q_vectors,
     )
