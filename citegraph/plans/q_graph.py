@@ -11,6 +11,7 @@ from citegraph.operators import sampling as S
 from citegraph.plans import views as V
 from citegraph.plans.catalog import r6, register
 from citegraph.plans.q_sampling import POS, SEED, UND, positives, und
+from citegraph.session import cut_lineage
 
 DIM = 64          # embedding width of the driver's vectors
 GCN_UNITS = 16    # GCN layer width, as in the reference
@@ -178,8 +179,70 @@ def q_spanning_forest(spark, d):
     return G.spanning_forest(V.vectors(spark, d), und(spark, d), SEED)
 
 
+CC = ("cc(node, label)", """SELECT id, id FROM vectors UNION
+    SELECT e.t, c.label FROM cc c JOIN (SELECT source AS s, target AS t FROM und
+                                        UNION ALL SELECT target, source FROM und) e ON e.s = c.node""")
+COMPONENTS = ("comps", "SELECT count(DISTINCT label) AS k FROM (SELECT node, min(label) AS label FROM cc GROUP BY node)")
+
+
+def _recursive(body, ctes):
+    return V.sql_with(["vec_cites", "vectors"], body, ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _n_components(nodes, edges):
+    return G.connected_components(nodes, edges).agg(F.countDistinct("component").alias("n_components"))
+
+
+def _n(df, name):
+    return df.agg(F.count("*").alias(name))
+
+
+@register("forest_check", _recursive("""
+    SELECT n - k AS n_edges, n - k AS n_in_graph, k AS n_components
+    FROM comps, (SELECT count(*) AS n FROM vectors)""", [UND, CC, COMPONENTS]))
+def q_forest_check(spark, d):
+    """A forest has nodes - components edges, all of the graph, and the graph's components."""
+    v, e = V.vectors(spark, d), und(spark, d)
+    forest = cut_lineage(G.spanning_forest(v, e, SEED))
+    inside = forest.join(e, ["source", "target"], "left_semi")
+    return _n(forest, "n_edges").join(_n(inside, "n_in_graph")).join(_n_components(v, forest))
+
+
+def _split_facts(nodes, graph, reduced, links):
+    """One row of facts about a split of ``graph``."""
+    pos, neg = links.where("label = 1"), links.where("label = 0")
+    pair = ["source", "target"]
+    return (_n(pos, "n_pos").join(_n(neg, "n_neg")).join(_n(reduced, "n_reduced"))
+            .join(_n(pos.join(graph, pair, "left_semi").join(reduced, pair, "left_anti"), "n_removed"))
+            .join(_n(neg.select(pair).distinct().join(graph, pair, "left_anti").where("source < target"), "n_non_edges"))
+            .join(_n_components(nodes, reduced)))
+
+
+def _split_sql(m: str) -> str:
+    return f"""SELECT held AS n_pos, held AS n_neg, m - held AS n_reduced, held AS n_removed, held AS n_non_edges, k AS n_components
+               FROM (SELECT m, CAST(floor(0.1 * m + 0.5) AS BIGINT) AS held FROM (SELECT {m} AS m)), comps"""
+
+
+@register("split_check", _recursive(_split_sql("(SELECT count(*) FROM und)"), [UND, CC, COMPONENTS]))
+def q_split_check(spark, d):
+    """0.1 m positives that are edges no more, as many non-edges, and no component split."""
+    v, e = V.vectors(spark, d), und(spark, d)
+    reduced, links = G.split_links(v, e, 0.1, SEED)
+    return _split_facts(v, e, cut_lineage(reduced), cut_lineage(links))
+
+
+@register("chained_split_check", _recursive(
+    _split_sql("(SELECT count(*) - CAST(floor(0.1 * count(*) + 0.5) AS BIGINT) FROM und)"), [UND, CC, COMPONENTS]))
+def q_chained_split_check(spark, d):
+    """The second split is one of the first one's reduced graph."""
+    from citegraph.plans.q_models import chained
+
+    train_edges, train_links, test_edges, _test_links = chained(spark, d)
+    return _split_facts(V.vectors(spark, d), test_edges, train_edges, train_links)
+
+
 @register("split_links")
 def q_split_links(spark, d):
-    """Held-out positives outside the forest + as many negatives (rows only)."""
+    """Held-out positives outside the forest + as many negatives (rows only; see ``split_check``)."""
     _reduced, links = G.split_links(V.vectors(spark, d), und(spark, d), 0.1, SEED)
     return links

@@ -14,9 +14,10 @@ from citegraph.operators import sampling as S
 from citegraph.operators import vectors as VE
 from citegraph.plans import views as V
 from citegraph.plans.catalog import r6, register
+from citegraph.plans.q_graph import DIM
 from citegraph.session import cut_lineage
 from citegraph.plans.q_sampling import (
-    CAND_SQL, KEPT_SQL, N_NEG, N_POSITIVE, SEED, _negative_pairs, _pair_sizes, links, und,
+    CAND_SQL, KEPT_SQL, N_NEG, N_POSITIVE, P_HELD_OUT, SEED, _negative_pairs, _pair_sizes, und,
 )
 
 PAIR_DIM = 50  # pair-embedding width, as in the reference
@@ -76,6 +77,34 @@ def q_pair_step(spark, d):
             .select("tbl", "idx", F.col("pos").cast("bigint").alias("pos"), r6("w").alias("w")))
 
 
+def _logloss_sql() -> str:
+    n = "(SELECT count(*) FROM batch)"
+    sql = PAIR_STEP_SQL.replace("-1.0 FROM neg", "0.0 FROM neg")
+    old = "2.0 * (rs.dp / (rs.nu * rs.nv) - rs.y) / (SELECT count(*) FROM batch) AS gc"
+    assert old in sql
+    sql = sql.replace(old, f"(1.0 / (1.0 + exp(-rs.dp / (rs.nu * rs.nv))) - rs.y) / {n} AS gc")
+    unit = f"""UNION ALL SELECT 'D', 0, 0, 1.0, sum((1.0 / (1.0 + exp(-dp / (nu * nv))) - y) * dp / (nu * nv)) / {n} FROM rs
+             UNION ALL SELECT 'D', 0, 1, 0.0, sum(1.0 / (1.0 + exp(-dp / (nu * nv))) - y) / {n} FROM rs"""
+    return sql.replace("FROM gr GROUP BY 1, 2, 3),\nupd", f"FROM gr GROUP BY 1, 2, 3 {unit}),\nupd")
+
+
+@register("pair_step_logloss", _logloss_sql())
+def q_pair_step_logloss(spark, d):
+    """M6: one Adam step of the classification variant: both tables' touched rows, and the dense unit's weight and
+    bias as the cells (D, 0, 0) and (D, 0, 1)."""
+    pos = S.sample_positive_pairs(V.pairs(spark, d), N_POSITIVE, SEED, 0)
+    batch = cut_lineage(S.labelled_pairs(pos, _negative_pairs(spark, d), classification=True, seed=SEED, epoch=0))
+    P0 = EM.init_table(batch.select(F.col("paper_idx").alias("idx")), PAIR_DIM, SEED, "P")
+    R0 = EM.init_table(batch.select(F.col("ref_idx").alias("idx")), PAIR_DIM, SEED, "R")
+    P1, R1, dense, _loss = EM.pair_step(batch, P0, R0, 1, OPT, "logloss")
+    unit = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(k).alias("pos"), F.lit(x).alias("w"))
+                                                     for k, x in enumerate((dense.w, dense.b))))).alias("c"))
+    cells = lambda t, name: t.select(F.lit(name).alias("tbl"), "idx", F.posexplode("w").alias("pos", "w"))
+    return (cells(P1, "P").unionByName(cells(R1, "R"))
+            .unionByName(unit.select(F.lit("D").alias("tbl"), F.lit(0).cast("bigint").alias("idx"), "c.pos", "c.w"))
+            .select("tbl", "idx", F.col("pos").cast("bigint").alias("pos"), r6("w").alias("w")))
+
+
 @register("train_pairs")
 def q_train_pairs(spark, d):
     """M5: three epochs of the pair model, each a synchronous step over all pairs and two non-pairs for each: loss history."""
@@ -109,23 +138,61 @@ def q_ann_knn(spark, d):
     return VE.ann_knn(vec, vec, 10)
 
 
+@register("ann_check", V.sql_with(["vectors"], "SELECT count(*) AS n_queries, 10 AS fewest, TRUE AS recall_ok FROM vectors"))
+def q_ann_check(spark, d):
+    """Every query has 10 neighbours, and recall against the exact search is at least 0.9."""
+    vec = V.vectors(spark, d)
+    got, want = cut_lineage(VE.ann_knn(vec, vec, 10)), VE.knn(vec, vec, 10)
+    per = got.groupBy("query_id").agg(F.count("*").alias("n"))
+    hits = want.join(got.select("query_id", "neighbour_id"), ["query_id", "neighbour_id"], "left_semi")
+    return (per.agg(F.count("*").alias("n_queries"), F.min("n").cast("int").alias("fewest"))
+            .join(hits.agg(F.count("*").alias("hits")))
+            .select("n_queries", "fewest", (F.col("hits") >= F.col("n_queries") * 9).alias("recall_ok")))
+
+
+def chained(spark, d):
+    """G6 on the vectors' graph, forests kept, stored once: (train edges, train links, test edges, test links)."""
+    v, e = V.vectors(spark, d), und(spark, d)
+    parts: list = []
+
+    def part(i):
+        if not parts:
+            parts.extend(G.chained_split(v, e, P_HELD_OUT, SEED))
+        return parts[i]
+
+    return [V.stored(spark, d, f"chained{i}", ("lineitem", "embeddings"), lambda i=i: part(i)) for i in range(4)]
+
+
+EPOCHS = 10  # of the registered training runs; the operators' defaults are the reference's 50 and 20
+
+
 @register("train_gcn")
 def q_train_gcn(spark, d):
-    """G13 + G16: GCN link model on the held-out split, per-epoch loss / accuracy."""
-    v = V.vectors(spark, d)
-    e = und(spark, d)
-    reduced, test_links = G.split_links(v, e, 0.1, SEED, keep_connected=False)
-    _p, hist, _ax, _n = gnn.train_gcn(v, reduced, test_links, epochs=3, seed=SEED)
+    """G13 + G16: GCN link model trained on the inner split of G6, with the outer test links as validation."""
+    train_edges, train_links, _test_edges, test_links = chained(spark, d)
+    _p, hist, _ax, _n = gnn.train_gcn(V.vectors(spark, d), train_edges, train_links, epochs=EPOCHS, seed=SEED,
+                                      val_links=test_links)
     return hist
 
 
+@register("gcn_link_scores")
+def q_gcn_link_scores(spark, d):
+    """G6 → G13 → G15 → P9: scores and decisions on the outer test links from a GCN trained on the inner split."""
+    from citegraph.operators import metrics as M
+
+    v = V.vectors(spark, d)
+    train_edges, train_links, test_edges, test_links = chained(spark, d)
+    params, _hist, _ax, _norm = gnn.train_gcn(v, train_edges, train_links, epochs=EPOCHS, seed=SEED)
+    norm = cut_lineage(G.gcn_norm_edges(v, test_edges))  # the test graph is propagated over
+    ax = G.propagate(norm, v.select("id", F.col("embedding").alias("h")), DIM)
+    return M.threshold(gnn.predict_links(ax, norm, params, test_links), 0.5)
+
+
 @register("train_sage")
 def q_train_sage(spark, d):
-    """G14 + G16: GraphSAGE link model (mean aggregator, samples [20, 10]) on the held-out split."""
-    v = V.vectors(spark, d)
-    e = und(spark, d)
-    reduced, test_links = G.split_links(v, e, 0.1, SEED, keep_connected=False)
-    _p, hist, _f = gnn.train_graphsage(v, reduced, test_links, epochs=2, seed=SEED)
+    """G14 + G16: GraphSAGE link model (mean aggregator, samples [20, 10]) trained on the inner split of G6."""
+    train_edges, train_links, _test_edges, _test_links = chained(spark, d)
+    _p, hist, _f = gnn.train_graphsage(V.vectors(spark, d), train_edges, train_links, epochs=EPOCHS // 2, seed=SEED)
     return hist
 
 
