@@ -18,10 +18,10 @@ from __future__ import annotations
 import heapq
 import re
 import struct
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -33,7 +33,7 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words encoded together are at most this long; longer ones are merged one by one with a heap.
 LONG = 48
-CACHED_WORDS = 200_000
+CACHED_WORDS = 300_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -84,6 +84,10 @@ class Model:
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
         self.surface = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode()
                         if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, t in pieces]
+        self.flat = np.frombuffer(b"".join(self.surface), np.uint8)
+        self.sizes = np.array(list(map(len, self.surface)), np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.key = xxhash.xxh3_128_hexdigest(repr((pieces, kind, byte_fallback, dummy_prefix, squeeze)))
         self.longest = max(map(len, self.ids), default=1)
         # a newline in no piece stands alone, which keeps words apart that a line end joins
         alone = "" if any("\n" in p for p in self.ids) else "\n"
@@ -152,25 +156,41 @@ class Model:
 
     # -- equal-length words together
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        out: list[list[int] | None] = [None] * len(words)
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of every word, as bytes of int32."""
+        out: list[bytes] = [b""] * len(words)
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_length.setdefault(len(w), []).append(i)
         for n, at in by_length.items():
             if self.kind == BPE and n > LONG:
-                cuts = [self._merge_long(words[i]) for i in at]
-            else:
-                code = np.array([words[i] for i in at], f"<U{n}").view(np.uint32).reshape(len(at), n)
-                prefix = np.zeros((len(at), n + 1), np.uint64)
-                for j in range(n):
-                    prefix[:, j + 1] = prefix[:, j] * BASE + code[:, j] + np.uint64(1)
-                cuts = self._viterbi(prefix) if self.kind == UNIGRAM else self._merge(prefix)
-            for i, c in zip(at, cuts):
-                out[i] = self.surface_ids(words[i], c)
+                for i in at:
+                    out[i] = np.array(self.surface_ids(words[i], self._merge_long(words[i])), np.int32).tobytes()
+                continue
+            code = np.array([words[i] for i in at], f"<U{n}").view(np.uint32).reshape(len(at), n)
+            prefix = np.zeros((len(at), n + 1), np.uint64)
+            for j in range(n):
+                prefix[:, j + 1] = prefix[:, j] * BASE + code[:, j] + np.uint64(1)
+            bound = self._viterbi(prefix) if self.kind == UNIGRAM else self._merge(prefix)
+            size = np.diff(bound, axis=1)
+            rows = np.arange(len(at))[:, None]
+            found = self.probe(prefix[rows, bound[:, 1:]] - prefix[rows, bound[:, :-1]] * self.powers[size])
+            used = size > 0  # a row's symbols, then empty ones
+            flat = found[used].astype(np.int32).tobytes()
+            ends = np.cumsum(used.sum(1)).tolist()
+            known = ((found >= 0) | ~used).all(1).tolist()
+            start = 0
+            for r, (i, end, whole) in enumerate(zip(at, ends, known)):
+                if whole:
+                    out[i] = flat[4 * start:4 * end]
+                else:
+                    cuts = [0, *bound[r, 1:][used[r]].tolist()]
+                    out[i] = np.array(self.surface_ids(words[i], cuts), np.int32).tobytes()
+                start = end
         return out
 
-    def _viterbi(self, prefix: np.ndarray) -> list[list[int]]:
+    def _viterbi(self, prefix: np.ndarray) -> np.ndarray:
+        """Boundaries of the best cut of every word, the last one repeated up to the matrix' width."""
         words, n = prefix.shape[0], prefix.shape[1] - 1
         best = np.full((words, n + 1), -np.inf)
         best[:, 0] = 0
@@ -183,13 +203,20 @@ class Model:
                 more = total > best[:, e]
                 best[more, e] = total[more]
                 back[more, e] = e - size
-        out = []
-        for row in back.tolist():
-            cut = [n]
-            while cut[-1]:
-                cut.append(row[cut[-1]])
-            out.append(cut[::-1])
-        return out
+        bound = np.full((words, n + 2), n)
+        at, left = np.full(words, n), np.arange(words)
+        steps = []
+        while len(left):  # all words walk back together
+            steps.append((left, at[left]))
+            at[left] = back[left, at[left]]
+            left = left[at[left] > 0]
+        count = np.zeros(words, np.int64)
+        for rows, _ in steps:
+            count[rows] += 1
+        for k, (rows, end) in enumerate(steps):
+            bound[rows, count[rows] - k] = end
+        bound[:, 0] = 0
+        return bound
 
     def _pair_scores(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Score of the piece made of the characters from start to end, -inf for none."""
@@ -200,11 +227,12 @@ class Model:
         found = np.where(ok, self.probe(h), -1)
         return np.where(found >= 0, self.scores[found], -np.inf)
 
-    def _merge(self, prefix: np.ndarray) -> list[list[int]]:
+    def _merge(self, prefix: np.ndarray) -> np.ndarray:
+        """Boundaries of every word's symbols after all merges, the last one repeated up to the matrix' width."""
         words, n = prefix.shape[0], prefix.shape[1] - 1
         bound = np.tile(np.arange(n + 2), (words, 1))
         bound[:, n + 1] = n  # after the last symbol only empty ones follow
-        out: list[list[int]] = [[]] * words
+        out = bound.copy()
         left = np.arange(words)
         score = self._pair_scores(prefix, bound[:, :-2], bound[:, 2:])
         score[:, n - 1] = -np.inf  # the last symbol has no partner
@@ -212,8 +240,7 @@ class Model:
         while True:
             pick = score.argmax(1)
             done = score[np.arange(len(left)), pick] == -np.inf
-            for r in np.flatnonzero(done):
-                out[left[r]] = np.unique(bound[r]).tolist()
+            out[left[done]] = bound[done]
             go = ~done
             if not go.any():
                 return out
@@ -263,11 +290,14 @@ def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
-def _encoder(bc, text_col: str, out_col: str):
-    cache: dict[str, list[int]] = {}
+#: Words already encoded in this Python worker, by model.
+_CACHE: dict[str, dict[str, bytes]] = {}
 
+
+def _encoder(bc, text_col: str, out_col: str):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = bc.value
+        cache = _CACHE.setdefault(m.key, {})
         texts = batch.column(text_col).to_pylist()
         words = [m.word.findall(m.normalise(t)) if t else [] for t in texts]
         distinct = set().union(*words)
@@ -276,13 +306,10 @@ def _encoder(bc, text_col: str, out_col: str):
             cache.clear()
             new = list(distinct)
         cache.update(zip(new, m.encode_words(new)))
-        offsets, values, null = [0], [], [t is None for t in texts]
-        for row in words:
-            got = np.fromiter(chain.from_iterable(map(cache.__getitem__, row)), np.int32)
-            values.append(got)
-            offsets.append(offsets[-1] + len(got))
-        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values)),
-                                       mask=pa.array(null))
+        values = [b"".join(map(cache.__getitem__, row)) for row in words]
+        offsets = np.cumsum([0, *(len(v) // 4 for v in values)])
+        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(values), np.int32)),
+                                       mask=pa.array([t is None for t in texts]))
         return pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out_col])
 
     return per_batch(run, 256)
@@ -297,7 +324,13 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
 
 
 def decode_ids(model: Model, ids: np.ndarray) -> str:
-    text = b"".join(map(model.surface.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    """The text of the ids: the bytes of all pieces, gathered at once."""
+    if not len(ids):
+        return ""
+    size = model.sizes[ids]
+    end = np.cumsum(size)
+    at = np.arange(end[-1]) + np.repeat(model.starts[ids] - (end - size), size)
+    text = model.flat[at].tobytes().decode("utf-8", "replace")
     return text[1:] if model.dummy_prefix and text.startswith(" ") else text
 
 
