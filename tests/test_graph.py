@@ -85,3 +85,41 @@ def test_chained_split(spark):
     assert train_e.join(test_e, ["source", "target"], "left_anti").count() == 0
     assert train_l.where("label = 1").join(test_e, ["source", "target"], "left_anti").count() == 0
     assert train_l.where("label = 1").count() == train_l.where("label = 0").count()
+
+
+def test_missing_vectors_are_errors(spark):
+    import pytest
+
+    from citegraph.operators import graph as G
+
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "source long, target long")
+    feats = spark.createDataFrame([(1, [1.0]), (2, [0.5])], "id long, embedding array<double>")
+    with pytest.raises(Exception, match="without features"):
+        G.AttributedGraph.build(edges, feats).nodes.collect()
+    with pytest.raises(Exception, match="without a vector"):
+        G.link_score(edges, feats, vec_col="embedding").collect()
+    whole = feats.union(spark.createDataFrame([(3, [2.0])], feats.schema))
+    assert G.AttributedGraph.build(edges, whole).nodes.count() == 3
+    for op in ("hadamard", "l1", "l2", "avg", "concat"):
+        assert G.link_score(edges, whole, op=op, vec_col="embedding").count() == 2
+
+
+def test_hub_is_split_into_parts(spark):
+    from pyspark.sql import functions as F
+
+    from citegraph.operators.corpus import adjacency
+
+    e = spark.range(3000).select(F.lit(1).cast("long").alias("source"), F.col("id").alias("target"))
+    parts = adjacency(e, chunk=1024).collect()
+    assert len(parts) == 3 and sum(r["n_targets"] for r in parts) == 3000
+    assert sorted(t for r in parts for t in r["targets"]) == list(range(3000))
+
+
+def test_forest_of_a_long_path_and_isolated_nodes(spark):
+    from citegraph.operators import graph as G
+
+    nodes = spark.range(210)
+    e = spark.createDataFrame([(i, i + 1) for i in range(200)], "source long, target long")
+    assert G.spanning_forest(nodes, e).count() == 200
+    comp = {r["id"]: r["component"] for r in G.connected_components(nodes, e).collect()}
+    assert comp == {i: 0 if i <= 200 else i for i in range(210)}

@@ -17,19 +17,77 @@ def test_pair_gradient_finite_difference(spark):
     P = spark.createDataFrame([(i, U[i].tolist()) for i in range(3)], "idx long, w array<double>")
     R = spark.createDataFrame([(i, W[i].tolist()) for i in range(2)], "idx long, w array<double>")
     b = spark.createDataFrame(batch, "paper_idx long, ref_idx long, label double")
-    gP, _gR, _ = EM.pair_gradients(b, P, R)
-    got = {r["idx"]: np.array(r["g"]) for r in gP.collect()}
+    gP, gR, _ = EM.pair_gradients(b, P, R)
+    got_p = {r["idx"]: np.array(r["g"]) for r in gP.collect()}
+    got_r = {r["idx"]: np.array(r["g"]) for r in gR.collect()}
 
-    def loss(U_):
-        return np.mean([(_cos(U_[p], W[r]) - y) ** 2 for p, r, y in batch])
+    def loss(U_, W_):
+        return np.mean([(_cos(U_[p], W_[r]) - y) ** 2 for p, r, y in batch])
 
     eps = 1e-6
-    for i in got:
-        for k in range(4):
-            Up, Um = U.copy(), U.copy()
-            Up[i, k] += eps
-            Um[i, k] -= eps
-            assert abs((loss(Up) - loss(Um)) / (2 * eps) - got[i][k]) < 1e-6
+    for table, got in ((0, got_p), (1, got_r)):
+        for i in got:
+            for k in range(4):
+                up, down = [U.copy(), W.copy()], [U.copy(), W.copy()]
+                up[table][i, k] += eps
+                down[table][i, k] -= eps
+                assert abs((loss(*up) - loss(*down)) / (2 * eps) - got[i][k]) < 1e-6
+
+
+def test_logloss_gradients_finite_difference(spark):
+    """M6: both tables, and the dense unit's weight and bias."""
+    rng = np.random.default_rng(1)
+    U, W, unit = rng.normal(size=(3, 4)), rng.normal(size=(2, 4)), [1.3, -0.4]
+    batch = [(0, 1, 1.0), (2, 0, 0.0), (1, 1, 1.0), (0, 0, 0.0)]
+    P = spark.createDataFrame([(i, U[i].tolist()) for i in range(3)], "idx long, w array<double>")
+    R = spark.createDataFrame([(i, W[i].tolist()) for i in range(2)], "idx long, w array<double>")
+    b = spark.createDataFrame(batch, "paper_idx long, ref_idx long, label double")
+    gP, gR, rows = EM.pair_gradients(b, P, R, objective="logloss", dense_w=unit[0], dense_b=unit[1])
+    got = rows.agg(F.sum("gw"), F.sum("gb")).first()
+    got_p = {r["idx"]: np.array(r["g"]) for r in gP.collect()}
+    got_r = {r["idx"]: np.array(r["g"]) for r in gR.collect()}
+
+    def loss(U_, W_, w, c):
+        p = [1 / (1 + np.exp(-(w * _cos(U_[a], W_[r]) + c))) for a, r, _ in batch]
+        return -np.mean([y * np.log(q) + (1 - y) * np.log(1 - q) for q, (_, _, y) in zip(p, batch)])
+
+    eps = 1e-6
+    for k in range(2):
+        up, down = list(unit), list(unit)
+        up[k] += eps
+        down[k] -= eps
+        assert abs((loss(U, W, *up) - loss(U, W, *down)) / (2 * eps) - got[k]) < 1e-6
+    for k in range(4):
+        up, down = U.copy(), U.copy()
+        up[0, k] += eps
+        down[0, k] -= eps
+        assert abs((loss(up, W, *unit) - loss(down, W, *unit)) / (2 * eps) - got_p[0][k]) < 1e-6
+        up, down = W.copy(), W.copy()
+        up[1, k] += eps
+        down[1, k] -= eps
+        assert abs((loss(U, up, *unit) - loss(U, down, *unit)) / (2 * eps) - got_r[1][k]) < 1e-6
+
+
+def test_pair_training_uses_all_pairs_and_loss_falls(spark):
+    pairs = spark.createDataFrame([(p, p % 3) for p in range(12)] * 2, "paper_idx long, ref_idx long")
+    for objective in ("mse", "logloss"):
+        P, R, dense, hist = EM.train_pair_embeddings(pairs, 12, 3, dim=4, epochs=5, objective=objective, opt=EM.Adam(lr=0.05))
+        losses = [r["loss"] for r in hist.orderBy("epoch").collect()]
+        assert losses[-1] < losses[0] and P.count() == 12 and R.count() == 3
+        assert (dense.w, dense.b) != (1.0, 0.0) if objective == "logloss" else (dense.w, dense.b) == (1.0, 0.0)
+
+
+def test_doc_vectors_same_text_same_vector(spark):
+    """M1, M3: equal texts have equal vectors, near copies are nearer than others."""
+    rng = np.random.default_rng(0)
+    texts = [" ".join(f"t{x}" for x in rng.integers(20 * (i % 3), 20 * (i % 3) + 20, 30)) for i in range(30)]
+    texts += [texts[0], texts[0] + " t1"]
+    rows = spark.createDataFrame([(i, t.split()) for i, t in enumerate(texts)], "paper_id long, tokens array<string>")
+    got = {r["id"]: np.array(r["embedding"]) for r in
+           EM.infer_vectors(EM.train_doc_vectors(rows, dim=16, passes=3, partitions=1), rows).collect()}
+    assert np.allclose(got[0], got[30])
+    near = np.linalg.norm(got[0] - got[31])
+    assert all(near < np.linalg.norm(got[0] - got[i]) for i in range(1, 30))
 
 
 def test_learning_rate_schedule():

@@ -48,3 +48,34 @@ def test_batches_cover_all(spark):
     b = S.assign_batches(rows, 20, ["source", "target"], seed=1)
     sizes = sorted(r["count"] for r in b.groupBy("batch").count().collect())
     assert sizes == [15, 20, 20, 20, 20]
+
+
+def test_nearly_complete_graph_gives_all_that_is_asked_for(spark):
+    import pytest
+
+    nodes = spark.range(12)
+    every = [(a, b) for a in range(12) for b in range(a + 1, 12)]
+    gaps = {(0, 1), (3, 7), (10, 11)}
+    e = spark.createDataFrame([x for x in every if x not in gaps], "source long, target long")
+    got = S.sample_negative_links(nodes, e, 3, 42)
+    assert {(r.source, r.target) for r in got.collect()} == gaps
+    with pytest.raises(ValueError):
+        S.sample_negative_links(nodes, e, 4, 42)
+
+
+def test_nearly_complete_pairs(spark):
+    import pytest
+
+    full = [(p, r) for p in range(30) for r in range(30)]
+    pairs = spark.createDataFrame(full[1:], "paper_idx long, ref_idx long")
+    got = S.sample_negative_pairs(pairs, 9, 30, 30, 42)
+    assert [(r.paper_idx, r.ref_idx) for r in got.collect()] == [(0, 0)] * 9
+    with pytest.raises(ValueError):
+        S.sample_negative_pairs(spark.createDataFrame(full, "paper_idx long, ref_idx long"), 5, 30, 30, 42)
+
+
+def test_exact_cut_is_the_same_plan_for_every_n(spark):
+    df = spark.range(5000).select(F.col("id").alias("source"), (F.col("id") * 7).alias("target"))
+    for p in (0.001, 0.5, 1.0):
+        got = S.sample_edges(df, p, 3, exact=True)
+        assert got.count() == int(p * 5000)
