@@ -1,8 +1,8 @@
 """Quality classifier: nearest-neighbour voting in a latent semantic space.
 
-Texts become TF-IDF vectors of hashed byte 1- to 3-grams and of words that repeat the word
-before them (weights from all documents). A truncated SVD of a bounded labelled sample gives the latent space; the sample's
-vectors in it are broadcast. Every document is compared with all of them in blocks (exact
+Texts become TF-IDF vectors of hashed byte 1- to 3-grams (weights from all documents), with the
+share of words that repeat the word before them as one more dimension. A truncated SVD of a
+bounded labelled sample gives the latent space; the sample's vectors in it are broadcast. Every document is compared with all of them in blocks (exact
 cosines), and its nearest neighbours vote with their similarity as weight.
 """
 
@@ -21,14 +21,20 @@ from citegraph.llm.ngrams import counts, inverse_frequencies, tf_idf
 NS, BITS = (1, 2, 3), 11
 #: Labelled documents a class, latent dimensions, voters.
 PER_CLASS, DIMS, VOTERS = 1500, 48, 15
+#: Length of the repetition part beside the n-gram part's 1, for a text of nothing but repeated words.
+REPEATS = 1.5
 WIDTH = (1 << BITS) + 1
 
 
 def features(col: pa.Array) -> np.ndarray:
-    """n-gram counts, and in the last column the number of repeated words."""
+    return counts(col, NS, BITS)
+
+
+def vectors(col: pa.Array, idf: np.ndarray) -> np.ndarray:
+    """The unit TF-IDF vector, and in the last column the share of words that repeat the one before."""
     words = [t.split() if t else [] for t in col.to_pylist()]
-    repeats = np.array([[sum(map(eq, w, w[1:]))] for w in words], np.float32).reshape(-1, 1)
-    return np.concatenate([counts(col, NS, BITS), repeats], 1)
+    share = np.array([[sum(map(eq, w, w[1:])) / max(1, len(w))] for w in words], np.float32).reshape(-1, 1)
+    return np.concatenate([tf_idf(features(col), idf), REPEATS * share], 1)
 
 
 class QualityModel:
@@ -38,7 +44,7 @@ class QualityModel:
         self.idf, self.basis, self.vectors, self.y = idf, basis, vectors, y
 
     def latent(self, col: pa.Array) -> np.ndarray:
-        z = tf_idf(features(col), self.idf) @ self.basis
+        z = vectors(col, self.idf) @ self.basis
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def score(self, col: pa.Array) -> np.ndarray:
@@ -58,16 +64,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     """Labels are read only from documents whose crc32(id) modulo ``folds`` is not 0, at most ``per_class``
     of each class; n-gram weights come from all documents."""
     spark = docs.sparkSession
-    idf = inverse_frequencies(docs, "text", features, WIDTH)
+    idf = inverse_frequencies(docs, "text", features, 1 << BITS)
     bc = spark.sparkContext.broadcast(idf)
 
-    def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = tf_idf(features(batch.column("text")), bc.value)
+    def sampled(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = vectors(batch.column("text"), bc.value)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
         return pa.RecordBatch.from_pydict({"id": batch.column("id"), "y": batch.column("y"),
                                            "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
     got = (labelled_sample(docs, labels, label, per_class, folds)
-           .mapInArrow(per_batch(vectors, 128), "id long, y int, x binary").toPandas())
+           .mapInArrow(per_batch(sampled, 128), "id long, y int, x binary").toPandas())
     got = got.sort_values(["id", "x"])
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), WIDTH)
     y = got["y"].to_numpy(dtype=float)
