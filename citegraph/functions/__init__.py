@@ -1,16 +1 @@
 """Column-expression helpers (JVM side, inside whole-stage codegen)."""
-
-from citegraph.functions.hashing import bernoulli, hash64, hash_threshold, sql_hash64, unit_hash
-from citegraph.functions.text import (
-    capitalize, format_metric, join_text, record_lines, tag_value, tag_values, to_id, tokenize,
-)
-from citegraph.functions.vector import (
-    cosine, dot, l2_distance, l2_norm, l2_normalize, relu, sigmoid, sq_norm,
-)
-
-__all__ = [
-    "bernoulli", "hash64", "hash_threshold", "sql_hash64", "unit_hash",
-    "capitalize", "format_metric", "join_text", "record_lines", "tag_value", "tag_values",
-    "to_id", "tokenize",
-    "cosine", "dot", "l2_distance", "l2_norm", "l2_normalize", "relu", "sigmoid", "sq_norm",
-]

@@ -46,8 +46,3 @@ def hash_threshold(p: float) -> int:
 def bernoulli(p: float, *parts) -> Column:
     """Deterministic Bernoulli(p) draw keyed on ``parts``."""
     return hash64(*parts) < F.lit(hash_threshold(p))
-
-
-def unit_hash(*parts) -> Column:
-    """Deterministic uniform draw in [0, 1)."""
-    return hash64(*parts).cast("double") / F.lit(float(HASH_RANGE))

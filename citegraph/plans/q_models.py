@@ -14,10 +14,10 @@ from citegraph.operators import sampling as S
 from citegraph.operators import vectors as VE
 from citegraph.plans import views as V
 from citegraph.plans.catalog import r6, register
-from citegraph.plans.q_graph import DIM
+from citegraph.plans.q_graph import DIM, GCN_UNITS, HX, NORM, _w_sql
 from citegraph.session import cut_lineage
 from citegraph.plans.q_sampling import (
-    CAND_SQL, KEPT_SQL, N_NEG, N_POSITIVE, P_HELD_OUT, SEED, _negative_pairs, _pair_sizes, und,
+    CAND_SQL, KEPT_SQL, LINKS_CTES, N_NEG, N_POSITIVE, P_HELD_OUT, SEED, _negative_pairs, _pair_sizes, links, und,
 )
 
 PAIR_DIM = 50  # pair-embedding width, as in the reference
@@ -175,6 +175,43 @@ def q_train_gcn(spark, d):
     return hist
 
 
+GCN_LR = 0.01
+_SIGN = lambda g: f"{GCN_LR!r} * ({g}) / (abs({g}) + 1e-7)"  # Adam's first step
+
+
+@register("gcn_train_step", V.sql_with(["vec_cites", "vectors"], f"""
+    SELECT part, i, j, round(w, 6) AS w FROM (
+        SELECT 'w1' AS part, W1.i, W1.j, W1.w - {_SIGN('g.g')} AS w FROM W1 JOIN dw1 g ON g.i = W1.i AND g.j = W1.j
+        UNION ALL SELECT 'w2', W2.i, W2.j, W2.w - {_SIGN('g.g')} FROM W2 JOIN dw2 g ON g.i = W2.i AND g.j = W2.j
+        UNION ALL SELECT 'b1', 0, j, -{_SIGN('sum(x)')} FROM dz1 GROUP BY j
+        UNION ALL SELECT 'b2', 0, j, -{_SIGN('sum(x)')} FROM dz2 GROUP BY j)""",
+    LINKS_CTES + NORM + [HX] + [
+    ("W1", _w_sql("gcn_w1", SEED, DIM, GCN_UNITS)), ("W2", _w_sql("gcn_w2", SEED, GCN_UNITS, GCN_UNITS)),
+    ("ax", "SELECT ne.dst AS id, hx.pos AS i, sum(ne.w * hx.x) AS x FROM ne JOIN hx ON hx.id = ne.src GROUP BY 1, 2"),
+    ("z1", "SELECT ax.id, W1.j, sum(ax.x * W1.w) AS x FROM ax JOIN W1 ON W1.i = ax.i GROUP BY 1, 2"),
+    ("hw", "SELECT z1.id, W2.j, sum(greatest(z1.x, 0.0) * W2.w) AS x FROM z1 JOIN W2 ON W2.i = z1.j GROUP BY 1, 2"),
+    ("z2", "SELECT ne.dst AS id, hw.j, sum(ne.w * hw.x) AS x FROM ne JOIN hw ON hw.id = ne.src GROUP BY 1, 2"),
+    ("lg", """SELECT l.source, l.target, any_value(l.label) AS y, sum(greatest(a.x, 0.0) * greatest(b.x, 0.0)) AS dp
+              FROM links l JOIN z2 a ON a.id = l.source JOIN z2 b ON b.id = l.target AND b.j = a.j GROUP BY 1, 2"""),
+    ("gl", "SELECT source, target, (1.0 / (1.0 + exp(-dp)) - y) / (SELECT count(*) FROM links) AS g FROM lg"),
+    ("dh2", """SELECT id, j, sum(x) AS x FROM (
+        SELECT gl.source AS id, z2.j, gl.g * greatest(z2.x, 0.0) AS x FROM gl JOIN z2 ON z2.id = gl.target
+        UNION ALL SELECT gl.target, z2.j, gl.g * greatest(z2.x, 0.0) FROM gl JOIN z2 ON z2.id = gl.source) GROUP BY 1, 2"""),
+    ("dz2", "SELECT d.id, d.j, CASE WHEN z2.x > 0 THEN d.x ELSE 0.0 END AS x FROM dh2 d JOIN z2 ON z2.id = d.id AND z2.j = d.j"),
+    ("g2", "SELECT ne.dst AS id, d.j, sum(ne.w * d.x) AS x FROM ne JOIN dz2 d ON d.id = ne.src GROUP BY 1, 2"),
+    ("dw2", "SELECT z1.j AS i, g2.j, sum(greatest(z1.x, 0.0) * g2.x) AS g FROM z1 JOIN g2 ON g2.id = z1.id GROUP BY 1, 2"),
+    ("dh1", "SELECT g2.id, W2.i AS j, sum(g2.x * W2.w) AS x FROM g2 JOIN W2 ON W2.j = g2.j GROUP BY 1, 2"),
+    ("dz1", "SELECT d.id, d.j, CASE WHEN z1.x > 0 THEN d.x ELSE 0.0 END AS x FROM dh1 d JOIN z1 ON z1.id = d.id AND z1.j = d.j"),
+    ("dw1", "SELECT ax.i, d.j, sum(ax.x * d.x) AS g FROM ax JOIN dz1 d ON d.id = ax.id GROUP BY 1, 2"),
+]))
+def q_gcn_train_step(spark, d):
+    """One full-batch Adam step of the GCN link model from md5 weights, every weight as a cell."""
+    params, _hist, _ax, _norm = gnn.train_gcn(V.vectors(spark, d), und(spark, d), links(spark, d), epochs=1, lr=GCN_LR, seed=SEED)
+    cells = [(name, i, j, float(x)) for name, w in zip(("w1", "b1", "w2", "b2"), params)
+             for i, row in enumerate(w.reshape(-1, w.shape[-1])) for j, x in enumerate(row)]
+    return spark.createDataFrame(cells, "part string, i long, j long, w double").withColumn("w", r6("w"))
+
+
 @register("gcn_link_scores")
 def q_gcn_link_scores(spark, d):
     """G6 → G13 → G15 → P9: scores and decisions on the outer test links from a GCN trained on the inner split."""
