@@ -175,3 +175,35 @@ def test_gcn_gradient_finite_difference(spark):
         dn[which][idx] -= eps
         fd = (loss_of(up) - loss_of(dn)) / (2 * eps)
         assert abs(fd - grads[which][idx]) < 1e-5 + 1e-3 * abs(fd), (which, idx, fd, grads[which][idx])
+
+
+def test_graphsage_step_follows_the_gradient(spark):
+    """Adam's first step moves every weight by lr * g / (|g| + eps), so its sign shows the gradient's."""
+    from citegraph.operators import gnn
+
+    rng = np.random.default_rng(6)
+    n, dim, units, seed, lr = 12, 3, (4, 4), 3, 0.01
+    edges = sorted({(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.4})
+    nodes = spark.createDataFrame([(i, rng.normal(size=dim).tolist()) for i in range(n)], "id long, embedding array<double>")
+    e = spark.createDataFrame(edges, "source long, target long")
+    links = spark.createDataFrame([(a, b, int(rng.random() < 0.5)) for a in range(n) for b in range(a + 1, n, 3)],
+                                  "source long, target long, label int")
+    after, _hist, predict = gnn.train_graphsage(nodes, e, links, units=units, num_samples=(4, 2), epochs=1, lr=lr, seed=seed)
+    before = [gnn.glorot(seed, "sage_ws1", dim, 2), gnn.glorot(seed, "sage_wn1", dim, 2), np.zeros(4),
+              gnn.glorot(seed, "sage_ws2", 4, 2), gnn.glorot(seed, "sage_wn2", 4, 2), np.zeros(4)]
+
+    def loss(ps):
+        got = predict(ps, links).select("label", "score").toPandas()
+        y, p = got["label"].to_numpy(), got["score"].to_numpy()
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    eps, seen = 1e-4, 0
+    for which, at in [(0, (0, 1)), (1, (2, 0)), (2, (1,)), (3, (1, 1)), (4, (2, 0)), (5, (3,))]:
+        up, down = [p.copy() for p in before], [p.copy() for p in before]
+        up[which][at] += eps
+        down[which][at] -= eps
+        slope = (loss(up) - loss(down)) / (2 * eps)
+        if abs(slope) > 1e-4:
+            seen += 1
+            assert np.isclose(before[which][at] - after[which][at], lr * np.sign(slope), rtol=0.02), (which, at, slope)
+    assert seen >= 4
