@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from citegraph.llm.common import Stored
 
-#: Shorter lines (characters after normalisation) are left alone.
+#: Shorter lines (characters after normalisation) go only when they repeat an earlier one exactly: one edit makes another
+#: word of them.
 MIN_CHARS = 16
 BLOCK = 128
 
@@ -35,11 +36,11 @@ def normalised(text: str) -> F.Column:
     return F.lower(F.when(messy, F.regexp_replace(text, run, " ")).otherwise(F.col(text)))
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(id, no, norm, n, line) of every line that takes part; ``line`` is the digest of its normalised text."""
+def _lines(docs: DataFrame, least: int = 1) -> DataFrame:
+    """(id, no, norm, n, line) of every line of ``least`` characters; ``line`` is the digest of its normalised text."""
     rows = docs.where("id is not null").select("id", F.posexplode(F.split(normalised("text"), "\n")).alias("no", "norm"))
     rows = rows.select("id", "no", F.trim("norm").alias("norm")).withColumn("n", F.length("norm"))
-    return rows.where(F.col("n") >= min_chars).withColumn("line", F.unhex(F.md5("norm")))
+    return rows.where(F.col("n") >= least).withColumn("line", F.unhex(F.md5("norm")))
 
 
 def _half_keys() -> list[F.Column]:
@@ -90,14 +91,15 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "
     edits between the two (0 or 1).
 
     Lines are the parts of a text between line feeds, numbered from 0, and compared after normalisation. A
-    line goes when an earlier line, by (id, line number), is within one edit of it, whether that line itself stays or
-    not. Lines of fewer than ``min_chars`` characters are never compared. Documents with a null id or text
+    line goes when an earlier line, by (id, line number), is equal to it, or within one edit of it where both have
+    ``min_chars`` characters, whether that line itself stays or not. Empty lines stay. Documents with a null id or text
     take no part. Rows that repeat an id share their line numbers: equal lines at one place are one line.
     """
     store = Stored(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     place = F.struct("id", "no")
-    lines = store.put(_lines(rows, min_chars).select("line", "id", "no", "n", F.array(*_half_keys()).alias("halves")), "lines")
+    halves = F.when(F.col("n") >= min_chars, F.array(*_half_keys()))  # null: exact repeats only
+    lines = store.put(_lines(rows).select("line", "id", "no", "n", halves.alias("halves")), "lines")
     classes = store.put(
         lines.select("line", "n", place.alias("place"), "halves").groupBy("line").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.first("n").alias("n"),
                              F.first("halves").alias("halves")), "classes")
