@@ -1,5 +1,8 @@
 """Cases that an operator once left out."""
 
+import random
+import string
+
 from tests.llm.helpers import edits, frame, norm_line
 
 
@@ -16,3 +19,21 @@ def test_short_lines_that_repeat_exactly_go(spark):
     assert {(r.doc_id, r.line_no) for r in gone.collect()} == want and (2, 0) in want and (2, 1) not in want
     left = {r.doc_id: r.text for r in drop_lines(docs, gone).collect()}
     assert left == {1: rows[0][1], 2: "short lime\n\nfifteen letterz", 3: "sixteen letters!\né", 4: " \nnew", None: "new"}
+
+
+def test_language_that_was_not_learned_is_rejected(spark):
+    from pyspark.sql import functions as F
+
+    from citegraph.llm import langid
+    from citegraph.llm.common import crc_mod
+
+    r = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null").select("doc_id", "text", "lang")
+    letters = spark.createDataFrame([(-i, "".join(r.choice(string.ascii_lowercase + "    ") for _ in range(300)), "letters")
+                                     for i in range(1, 101)], docs.schema)
+    model = langid.fit(docs.where((F.col("lang") != "de") & (crc_mod("doc_id", 4) != 2)))
+    got = langid.predict(docs.where((F.col("lang") == "de") | (crc_mod("doc_id", 4) == 2)).unionByName(letters), model)
+    n = {x.lang: (x.n, x.gone) for x in got.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.col("rejected").cast("int")).alias("gone")).collect()}
+    assert n["de"][1] >= 0.8 * n["de"][0] and n["letters"][1] >= 90
+    assert sum(n[k][1] for k in ("en", "es", "fr")) <= 0.03 * sum(n[k][0] for k in ("en", "es", "fr"))
+    print(n)
