@@ -111,33 +111,34 @@ def _shingler(k: int):
         sets = [shingle_set(t, k).view(np.int64) for t in batch.column("text").to_pylist()]
         offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
         return pa.RecordBatch.from_pydict({
-            "id": batch.column("id"), "items": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))})
+            "id": batch.column("id"), "fp": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+            "items": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))})
 
     return per_batch(run, 256)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets reach the similarity."""
-    left = sets.select(F.col("id").alias("a"), F.col("items").alias("left"))
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("right"))
+    """Those of the pairs (fp_a, fp_b) of classes whose sets reach the similarity, as ids (a, b)."""
+    left = sets.select(F.col("fp").alias("fp_a"), F.col("rep").alias("a"), F.col("items").alias("left"))
+    right = sets.select(F.col("fp").alias("fp_b"), F.col("rep").alias("b"), F.col("items").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
-    return (pairs.join(left, "a").join(right, "b")
+    return (pairs.join(left, "fp_a").join(right, "fp_b")
             .withColumn("both", both)
             .where(F.col("both") * 100 >= (F.size("left") + F.size("right") - F.col("both")) * percent)
             .select("a", "b").distinct())
 
 
 def _prefixes(sets: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
-    """The rarest shingles of every document of ``mixed``, with their position in the order of rarity.
+    """The rarest shingles of every class of ``mixed``, with their position in the order of rarity.
 
     Two sets that reach the similarity have at least ``need = percent * (n_x + n_y) / (100 + percent)`` shingles in
     common, so the rarest one they share is among the first ``n - need + 1`` of both. A heavily edited copy
     has its own shingles there, which stand nowhere else (those are left out), and so meets nobody.
     """
-    items = (sets.withColumnRenamed("id", "rep").join(mixed, "rep")
-             .select("rep", "n", "root", "apart", F.explode("items").alias("item")))
+    items = (sets.select("fp", "items").join(mixed, "fp")
+             .select("fp", "n", "root", "apart", F.explode("items").alias("item")))
     counts = items.groupBy("item").agg(F.count("*").alias("c"))
-    pos = F.row_number().over(Window.partitionBy("rep").orderBy("c", "item"))
+    pos = F.row_number().over(Window.partitionBy("fp").orderBy("c", "item"))
     return (items.join(counts, "item").withColumn("pos", pos)
             .where(((F.col("n") - F.col("pos") + 1) * 100 >= F.col("n") * percent) & (F.col("c") > 1)).drop("c"))
 
@@ -156,7 +157,8 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_c
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sig = store.put(source.mapInArrow(_signer(shingle_words, bands, rows),
                                       "id long, n long, fp binary, bands array<long>"), "signatures")
-    # classes of equal sets, named by their smallest id
+    # classes of equal sets; their fingerprint is their key, and their smallest id their node in the graph: an id with several
+    # texts can be the smallest one of several classes
     classes = store.put(sig.where("fp is not null and id is not null").groupBy("fp")
                         .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     named = store.put(sig.select("id", "n", "fp").join(classes.select("fp", "rep"), "fp", "left")
@@ -166,36 +168,40 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_c
     same_id = named.join(twice, "id").select(F.col("rep").alias("a"), F.col("lo").alias("b"))
 
     # buckets of several classes
-    members = classes.select("rep", "n", F.explode("bands").alias("key"))
+    members = classes.select("fp", "rep", "n", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    bucket = store.put(members.join(shared, "key").select("key", "rep", "n", "size"), "buckets")
-    meets = bucket.groupBy("rep").agg(F.sum("size").alias("meets"))
-    hubs = (bucket.join(meets, "rep").groupBy("key")
-            .agg(F.max_by("rep", F.col("meets")).alias("hub")))
-    votes = (bucket.join(hubs, "key").where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("votes")))
-    first = store.put(votes.groupBy("rep").agg(F.max_by("hub", F.col("votes")).alias("hub"))
-                      .select(F.col("rep").alias("a"), F.col("hub").alias("b")), "first")
-    sets = store.put(source.join(bucket.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-                     .mapInArrow(_shingler(shingle_words), "id long, items array<long>"), "sets")
+    bucket = store.put(members.join(shared, "key").select("key", "fp", "rep", "n", "size"), "buckets")
+    meets = bucket.groupBy("fp").agg(F.sum("size").alias("meets"))
+    hubs = (bucket.join(meets, "fp").groupBy("key")
+            .agg(F.max_by("fp", F.col("meets")).alias("hub")))
+    votes = (bucket.join(hubs, "key").where("fp <> hub").groupBy("fp", "hub").agg(F.count("*").alias("votes")))
+    first = store.put(votes.groupBy("fp").agg(F.max_by("hub", F.col("votes")).alias("hub"))
+                      .select(F.col("fp").alias("fp_a"), F.col("hub").alias("fp_b")), "first")
+    # one set for each class, however many rows hold it
+    taken = bucket.select("fp", "rep").distinct()
+    sets = (source.join(taken.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+            .mapInArrow(_shingler(shingle_words), "id long, fp binary, items array<long>")
+            .withColumnRenamed("id", "rep"))
+    sets = store.put(sets.join(taken, ["fp", "rep"]).select("fp", "rep", "items").dropDuplicates(["fp"]), "sets")
     stars = components(store.put(_linked(first, sets, percent).unionByName(same_id), "links1"), store, "stars")
     stars = store.put(stars, "roots1")
 
     # buckets that still hold several components: compare their members across components
     bucket = (bucket.join(stars, bucket["rep"] == stars["node"], "left")
-              .select("key", "rep", "n", F.coalesce("root", "rep").alias("root")))
+              .select("key", "fp", "n", F.coalesce("root", "rep").alias("root")))
     sizes = bucket.groupBy("key", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max_by("root", F.col("size")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = store.put(bucket.join(main, "key").groupBy("rep", "n", "root")
+    mixed = store.put(bucket.join(main, "key").groupBy("fp", "n", "root")
                       .agg(F.max(F.col("root") != F.col("main")).alias("apart")), "mixed")
     prefix = store.put(_prefixes(sets, mixed, percent), "prefixes")
-    x = prefix.where("apart").select("item", *(F.col(c).alias(f"{c}_x") for c in ("rep", "n", "root", "pos")))
-    y = prefix.select("item", *(F.col(c).alias(f"{c}_y") for c in ("rep", "n", "root", "pos", "apart")))
+    x = prefix.where("apart").select("item", *(F.col(c).alias(f"{c}_x") for c in ("fp", "n", "root", "pos")))
+    y = prefix.select("item", *(F.col(c).alias(f"{c}_y") for c in ("fp", "n", "root", "pos", "apart")))
     need = (F.col("n_x") + F.col("n_y")) * percent
     across = (x.join(y, "item")
-              .where((F.col("root_x") != F.col("root_y")) & (~F.col("apart_y") | (F.col("rep_x") < F.col("rep_y")))
+              .where((F.col("root_x") != F.col("root_y")) & (~F.col("apart_y") | (F.col("fp_x") < F.col("fp_y")))
                      & (need <= (F.col("n_x") - F.col("pos_x") + 1) * (100 + percent))
                      & (need <= (F.col("n_y") - F.col("pos_y") + 1) * (100 + percent)))
-              .select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct())
+              .select(F.col("fp_x").alias("fp_a"), F.col("fp_y").alias("fp_b")).distinct())
     late = store.put(_linked(store.put(across, "across"), sets, percent), "links2")
     for side in ("a", "b"):
         late = (late.join(stars, late[side] == stars["node"], "left")

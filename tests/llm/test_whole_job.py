@@ -3,7 +3,7 @@
 import random
 import string
 
-from tests.llm.helpers import edits, frame, norm_line
+from tests.llm.helpers import edits, frame, near_components, norm_line, words
 
 
 def test_short_lines_that_repeat_exactly_go(spark):
@@ -37,3 +37,27 @@ def test_language_that_was_not_learned_is_rejected(spark):
     assert n["de"][1] >= 0.8 * n["de"][0] and n["letters"][1] >= 90
     assert sum(n[k][1] for k in ("en", "es", "fr")) <= 0.03 * sum(n[k][0] for k in ("en", "es", "fr"))
     print(n)
+
+
+def test_near_copies_of_repeated_rows_meet(spark):
+    """Pairs that are linked to each other (178 of 222 shingles) and not to the hub of their buckets (175 of 225), of rows that
+    stand ten times and of ids with two texts."""
+    from citegraph.llm.near_dedup import near_groups
+
+    base = [f"w{i}" for i in range(201)]
+    rows = [(5000, " ".join(base))]
+    for p in range(30):
+        at = random.Random(p).sample(range(4, 198, 2), 11)
+        for side in "xy":
+            w = list(base)
+            w[0], w[2] = f"first{p}", f"second{p}"
+            for k in at:
+                w[k] = f"{side}{p}at{k}"
+            i = 2 * p + (side == "y")
+            rows += [(i, " ".join(w))] * (10 if side == "x" else 1)
+            if p % 3 == 0 and side == "x":
+                rows.append((i, " ".join(words(60, 5000, seed=100 + i))))
+    got = {}
+    for x in near_groups(frame(spark, rows, 5), shingle_words=2).collect():
+        got.setdefault(x.doc_id, set()).add(x.component_id)
+    assert got == {i: {c} for i, c in near_components(rows, 2).items()} and got[1] == {0}
