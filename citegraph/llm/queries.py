@@ -179,8 +179,8 @@ WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
                     unnest(range(0, len(string_split(text, chr(10))))) AS no FROM documents),
 lines AS (SELECT doc_id, no, raw, lower(trim(regexp_replace(raw, '[\\x20\\x09-\\x0D]+', ' ', 'g'))) AS norm FROM raw),
 classes AS (SELECT norm, length(norm) AS n, min({'id': doc_id, 'no': no}) AS first FROM lines
-            WHERE length(norm) >= 16 GROUP BY norm),
-sized AS (SELECT *, unnest([n, n - 1]) AS size FROM classes),
+            WHERE length(norm) >= 1 GROUP BY norm),
+sized AS (SELECT *, unnest([n, n - 1]) AS size FROM classes WHERE n >= 16),
 halves AS (SELECT *, 0 AS side, left(norm, size // 2) AS half FROM sized
            UNION ALL SELECT *, 1, right(norm, size - size // 2) FROM sized),
 near AS (SELECT DISTINCT a.norm FROM halves a JOIN halves b ON a.size = b.size AND a.side = b.side AND a.half = b.half

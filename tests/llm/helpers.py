@@ -62,11 +62,11 @@ def edits(a, b):
 
 
 def clean_lines(rows, least=16):
-    """doc_id -> text without the lines that are within one edit of an earlier one."""
+    """doc_id -> text without the lines that repeat an earlier one, or are one edit from one where both have ``least`` characters."""
     places = sorted((i, n, norm_line(x)) for i, t in rows if i is not None and t is not None for n, x in enumerate(t.split("\n")))
     gone = set()
     for k, (i, n, a) in enumerate(places):
-        if len(a) >= least and any(len(b) >= least and abs(len(a) - len(b)) < 2 and (a == b or edits(a, b) == 1)
-                                   for _, _, b in places[:k]):
+        if a and any(a == b or (min(len(a), len(b)) >= least and abs(len(a) - len(b)) < 2 and edits(a, b) == 1)
+                     for _, _, b in places[:k]):
             gone.add((i, n))
     return {i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in rows}

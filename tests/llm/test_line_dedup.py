@@ -50,3 +50,14 @@ def test_repeated_rows_and_empty_table(spark):
     assert sorted((r.doc_id, r.text) for r in drop_lines(docs, duplicate_lines(docs)).collect()) == [
         (1, rows[0][1]), (1, rows[0][1]), (2, "next one, also long enough")]
     assert duplicate_lines(frame(spark, [])).count() == 0
+
+
+def test_one_edit_matches_at_any_length(spark):
+    """With ``min_chars=1`` lines of any length match by one edit."""
+    from citegraph.llm.line_dedup import drop_lines, duplicate_lines
+
+    r = random.Random(3)
+    rows = [(i, "\n".join("".join(r.choice("abc") for _ in range(r.randrange(0, 9))) for _ in range(3))) for i in range(12)]
+    docs = frame(spark, rows)
+    left = drop_lines(docs, duplicate_lines(docs, min_chars=1))
+    assert {r.doc_id: r.text for r in left.collect()} == clean_lines(rows, least=1)
