@@ -120,8 +120,16 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, by packed integer products."""
+    from citegraph.llm.hard_negatives import mine_hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 QUERIES |= {f.__name__: f for f in (op1_decontaminate, op2_near_dedup, op3_line_dedup, op4_sentencepiece, op5_quality, op6_toxicity, op7_language, op8_url_filter,
-                                    op9_exact_dedup, op10_license_scan)}
+                                    op9_exact_dedup, op10_license_scan, op13_hard_negatives)}
 
 WORDS_SQL = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
 ALNUM = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -193,3 +201,20 @@ SELECT d.doc_id, CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE len(string_spli
        sha256(coalesce(l.clean, '')) AS text_sha256
 FROM documents d LEFT JOIN left_over l USING (doc_id)
 """
+
+ORACLE["op13_hard_negatives"] = """
+WITH r AS (SELECT row_number() OVER () AS rid, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rid AS a, a.id AS anchor_id, a.label = b.label AS same, b.rid, b.id,
+             CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+      FROM r a JOIN r b ON a.rid <> b.rid WHERE a.id % 100 = 0),
+p AS (SELECT a, rid AS p, anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id, rid) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score,
+       s.score AS negative_score
+FROM p JOIN s USING (a, anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+WINDOW w AS (PARTITION BY a, p ORDER BY s.score DESC, s.id, s.rid)
+QUALIFY row_number() OVER w <= 10
+"""
