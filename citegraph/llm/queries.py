@@ -53,6 +53,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Where the public tokenizer files lie.
 TOKENIZER = os.environ.get("TOKENIZER_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+BYTE_BPE = os.environ.get("BYTE_BPE_FILE", "/opt/tokenizers/byte_bpe_50k.json")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +121,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in sequences of 2,048, by bin completion."""
+    from citegraph.llm.byte_bpe import ByteBpe
+    from citegraph.llm.packing import place, token_pieces
+
+    pieces = token_pieces(table(spark, sf_dir, "documents"), ByteBpe.read(BYTE_BPE))
+    return place(pieces).withColumnRenamed("id", "doc_id")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector, by packed integer products."""
     from citegraph.llm.hard_negatives import mine_hard_negatives
@@ -129,7 +139,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op1_decontaminate, op2_near_dedup, op3_line_dedup, op4_sentencepiece, op5_quality, op6_toxicity, op7_language, op8_url_filter,
-                                    op9_exact_dedup, op10_license_scan, op13_hard_negatives)}
+                                    op9_exact_dedup, op10_license_scan, op12_best_fit_packing, op13_hard_negatives)}
 
 WORDS_SQL = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
 ALNUM = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
