@@ -121,6 +121,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizers' tokens of every document in groups that end together, and how common their links are."""
+    from citegraph.llm.alignment import ByteSide, PieceSide, align
+
+    out = align(table(spark, sf_dir, "documents"), ByteSide(BYTE_BPE), PieceSide(TOKENIZER), digest=True)
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens in sequences of 2,048, by bin completion."""
     from citegraph.llm.byte_bpe import ByteBpe
@@ -139,7 +147,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op1_decontaminate, op2_near_dedup, op3_line_dedup, op4_sentencepiece, op5_quality, op6_toxicity, op7_language, op8_url_filter,
-                                    op9_exact_dedup, op10_license_scan, op12_best_fit_packing, op13_hard_negatives)}
+                                    op9_exact_dedup, op10_license_scan, op11_alignment, op12_best_fit_packing, op13_hard_negatives)}
 
 WORDS_SQL = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
 ALNUM = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
