@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from citegraph.operators import vector_index as VI
 from citegraph.operators import vectors as VE
 from citegraph.plans import views as V
 
@@ -23,12 +24,69 @@ def test_knn_brute_force(spark):
             assert got[(ids[qi], rank)] == ids[j]
 
 
-def test_ann_recall(spark):
+def _recall(got, want):
+    got, want = ({(r["query_id"], r["neighbour_id"]) for r in x.collect()} for x in (got, want))
+    return len(got & want) / len(want)
+
+
+def test_index_recall_and_candidates(spark):
+    """T2 at two scales of the vectors: recall, few candidates, exact distances and ranks."""
+    from pyspark.sql import functions as F
+
     vec = V.vectors(spark, SF)
-    exact = VE.knn(vec, vec, 10).select("query_id", "neighbour_id")
-    approx = VE.ann_knn(vec, vec, 10, bucket_length=4.0, num_tables=12).select("query_id", "neighbour_id")
-    recall = approx.intersect(exact).count() / exact.count()
-    assert recall >= 0.9
+    for k in (1, 10):
+        by = vec.withColumn("embedding", F.transform("embedding", lambda x: x * F.lit(k)))
+        want = VE.knn(by, by, 10)
+        got = VI.ann_knn(by, by, 10).cache()
+        assert _recall(got, want) >= 0.9
+        assert got.agg(F.max("candidates")).first()[0] * 10 < by.count()
+        dist = {(r["query_id"], r["neighbour_id"]): r["distance"] for r in VE.knn(by, by, 500).collect()}
+        per = {}
+        for r in got.collect():
+            assert abs(r["distance"] - dist[r["query_id"], r["neighbour_id"]]) < 1e-6
+            per.setdefault(r["query_id"], []).append((r["rank"], round(r["distance"], 9), r["neighbour_id"]))
+        for rows in per.values():
+            rows.sort()
+            assert [x[0] for x in rows] == list(range(1, 11)) and [x[1:] for x in rows] == sorted(x[1:] for x in rows)
+
+
+def test_clusters_need_few_probes(spark):
+    """Where the vectors form clusters, a query scores only a small share of the codes."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(7)
+    middle = rng.normal(size=(40, 16)) * 10
+    df = spark.createDataFrame([(i, (middle[i % 40] + rng.normal(size=16)).tolist()) for i in range(1200)], "id long, embedding array<double>")
+    got = VI.ann_knn(df, df, 5).cache()
+    assert _recall(got, VE.knn(df, df, 5)) >= 0.9
+    assert got.agg(F.avg("scanned")).first()[0] < 1200 * 0.3
+
+
+def test_index_splits_hot_cells_and_copies_codes(spark, monkeypatch):
+    """A third of the vectors in one cell, and groups that take few queries: the same neighbours."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(240, 8))
+    x[:80] = x[0] + rng.normal(size=(80, 8)) * 1e-3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    whole = VI.ann_knn(df, df, 5, target_recall=1.0, refine=20).drop("scanned", "candidates")
+    monkeypatch.setattr(VI, "GROUP_ROWS", 30)
+    monkeypatch.setattr(VI, "GROUP_QUERIES", 16)
+    split = VI.ann_knn(df, df, 5, target_recall=1.0, refine=20).drop("scanned", "candidates")
+    key = lambda r: (r["query_id"], r["rank"], r["neighbour_id"])
+    assert sorted(map(key, whole.collect())) == sorted(map(key, split.collect()))
+    group, parts = VI._groups(np.array([10, 10, 95, 5, 20, 8]), 30)
+    assert group.tolist() == [0, 0, 1, 2, 2, 3] and parts.tolist() == [1, 4, 1, 1]
+
+
+def test_similar_through_the_index(spark):
+    """T3 / T4 by inner product, with vectors of unequal length."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 6)) * rng.uniform(0.2, 3, size=(300, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    for least in (False, True):
+        got = VI.ann_similar(df, df, 5, least=least).cache()
+        assert _recall(got, VE.find_similar(df, df, 5, least=least)) >= 0.9
+        assert all(abs(r["similarity"] - x[r["query_id"]] @ x[r["neighbour_id"]]) < 1e-6 for r in got.collect())
 
 
 def test_entry_contract(spark):
@@ -91,12 +149,17 @@ def test_near_copies_are_ranked_by_exact_distance(spark):
             assert [i for _, i in sorted(got[q])] == want.tolist()
 
 
-def test_ann_is_complete_at_any_scale(spark):
+def test_ann_is_complete(spark):
+    """Every query has k rows, or as many as there are vectors."""
     from pyspark.sql import functions as F
 
     vec = V.vectors(spark, SF)
-    scaled = vec.withColumn("embedding", F.transform("embedding", lambda x: x * 10))
-    assert VE.ann_knn(scaled.where("id < 10"), scaled, 10).count() == 100
     mixed = vec.withColumn("embedding", F.transform("embedding", lambda x: F.when(F.col("id") % 97 == 0, x * 8).otherwise(x)))
-    assert VE.ann_knn(mixed, mixed, 10, bucket_length=0.5).count() == 10 * vec.count()
-    assert VE.ann_knn(vec.where("id < 3"), vec.where("id < 4"), 10).count() == 12
+    assert VI.ann_knn(mixed, mixed, 10).count() == 10 * vec.count()
+    assert VI.ann_knn(vec.where("id < 3"), vec.where("id < 4"), 10).count() == 12
+    assert VI.ann_knn(vec.where("id < 4"), vec.where("id < 4"), 10, exclude_self=True).count() == 12
+    assert VI.ann_knn(vec.where("id < 0"), vec, 10).count() == 0
+    assert VI.ann_knn(vec, vec.where("id < 0"), 10).count() == 0
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(50)], "id long, embedding array<double>")
+    got = VI.ann_knn(same, same, 5).collect()
+    assert sorted((r["query_id"], r["neighbour_id"]) for r in got) == [(q, i) for q in range(50) for i in range(5)]
