@@ -77,7 +77,8 @@ class Aligner:
         self.a, self.b = a, b
         self.bytes_a, self.bytes_b = a.token_bytes(), b.token_bytes()
         self.size_a, self.size_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
-        self.names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        self.ids = max(len(self.bytes_a), len(self.bytes_b))
+        self.names = [f"{i}{mark}" for mark in ",|;" for i in range(self.ids)]
 
     def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index after the last token of every group, in both lists."""
@@ -94,13 +95,17 @@ class Aligner:
                 and b"".join(map(self.bytes_b.__getitem__, b.tolist())) == whole)
 
     def written(self, a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray) -> str:
-        """``a1,a2|b1;a3|b2,b3``"""
-        na, nb = [self.names[i] for i in a.tolist()], [self.names[i] for i in b.tolist()]
-        out, i, j = [], 0, 0
-        for p, q in zip(end_a.tolist(), end_b.tolist()):
-            out.append(f"{','.join(na[i:p])}|{','.join(nb[j:q])}")
-            i, j = p, q
-        return ";".join(out)
+        """``a1,a2|b1;a3|b2,b3``: every id with the mark that follows it, in one gather."""
+        if not len(end_a):
+            return ""
+        start_a, start_b = np.append(0, end_a[:-1]), np.append(0, end_b[:-1])
+        name_a, name_b = a.copy(), b.copy()
+        name_a[end_a - 1] += self.ids
+        name_b[end_b - 1] += 2 * self.ids
+        out = np.empty(len(a) + len(b), np.int64)
+        out[np.arange(len(a)) + np.repeat(start_b, end_a - start_a)] = name_a
+        out[np.arange(len(b)) + np.repeat(end_a, end_b - start_b)] = name_b
+        return "".join(map(self.names.__getitem__, out.tolist()))[:-1]
 
     def links(self, a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct id pairs (as a * number of b ids + b) that share a group, and how many token pairs are such a link."""
