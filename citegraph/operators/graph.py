@@ -313,3 +313,24 @@ def two_hop_neighbourhood(edges: DataFrame, sizes: tuple[int, int] = (20, 10), s
     h2 = sample_neighbours(sym, sizes[1], seed, hop=2).select(
         F.col("source").alias("hop1"), F.col("target").alias("hop2"))
     return h1.join(h2, "hop1", "left").select("node", "hop1", "hop2")
+
+
+def link_neighbourhoods(links: DataFrame, edges: DataFrame, sizes: tuple[int, int] = (20, 10), seed: int = 42) -> DataFrame:
+    """G7 for links: ``links`` with ``source_hops`` and ``target_hops``: for both ends the sampled neighbours in the order of
+    their draws, each as (hop1, hop2: its own sampled neighbours). An end without neighbours has a null there.
+
+    Lists are bounded by ``sizes``. A node's neighbourhood is built once and joined to all links it ends.
+    """
+    from citegraph.operators.sampling import sample_neighbours
+
+    sym = symmetric(edges)
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("slot", c))), lambda x: x[c])
+    hop2 = (sample_neighbours(sym, sizes[1], seed, hop=2).groupBy(F.col("source").alias("hop1"))
+            .agg(in_order("target").alias("hop2")))
+    hop1 = sample_neighbours(sym, sizes[0], seed, hop=1).select(F.col("source").alias("node"), F.col("target").alias("hop1"), "slot")
+    block = F.struct("slot", "hop1", "hop2")
+    hops = (hop1.join(hop2, "hop1").groupBy("node").agg(F.array_sort(F.collect_list(block)).alias("b"))
+            .select("node", F.transform("b", lambda x: F.struct(x["hop1"].alias("hop1"), x["hop2"].alias("hop2"))).alias("hops")))
+    for end in ("source", "target"):
+        links = links.join(hops.select(F.col("node").alias(end), F.col("hops").alias(f"{end}_hops")), end, "left")
+    return links

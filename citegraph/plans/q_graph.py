@@ -9,7 +9,7 @@ from citegraph.operators import gnn
 from citegraph.operators import graph as G
 from citegraph.operators import sampling as S
 from citegraph.plans import views as V
-from citegraph.plans.catalog import r6, register
+from citegraph.plans.catalog import ORACLE, r6, register
 from citegraph.plans.q_sampling import POS, SEED, UND, positives, und
 from citegraph.session import cut_lineage
 
@@ -152,6 +152,32 @@ def q_sage_layer(spark, d):
     return _cells(gnn.sage_layer(_sampled(spark, d), _h(spark, d), V.vectors(spark, d), Ws, Wn, b))
 
 
+@register("link_blocks", V.sql_with(["vec_cites", "vectors"], f"""
+    SELECT l.source, l.target, e.side, h1.rn AS slot, h1.target AS hop1, string_agg(CAST(h2.target AS VARCHAR), ',' ORDER BY h2.rn) AS hop2
+    FROM pos l, (VALUES ('source'), ('target')) e(side)
+    JOIN h1 ON h1.source = CASE WHEN e.side = 'source' THEN l.source ELSE l.target END JOIN h2 ON h2.source = h1.target
+    GROUP BY 1, 2, 3, 4, 5""",
+    [UND, POS, ("s", "SELECT source, target FROM und UNION ALL SELECT target, source FROM und")] + [
+        (f"h{hop}", f"""SELECT source, target, rn FROM (SELECT source, target, row_number() OVER (PARTITION BY source
+            ORDER BY {H(SEED, hop, 'source', 'target')}, target) - 1 AS rn FROM s) WHERE rn < {k}""") for hop, k in ((1, K1), (2, K2))]))
+def q_link_blocks(spark, d):
+    """The sampled 2-hop neighbourhoods [20, 10] of both ends of every held-out link, in the order of the draws."""
+    blocks = G.link_neighbourhoods(positives(spark, d), und(spark, d), (K1, K2), SEED)
+    sides = [blocks.select("source", "target", F.lit(s).alias("side"), F.posexplode(f"{s}_hops").alias("slot", "b")) for s in ("source", "target")]
+    return (sides[0].unionByName(sides[1])
+            .select("source", "target", "side", F.col("slot").cast("bigint").alias("slot"), "b.hop1",
+                    F.array_join(F.col("b.hop2").cast("array<string>"), ",").alias("hop2")))
+
+
+@register("sage_layer_unit", "SELECT id, pos, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY id)), 1e-6), 6) AS x FROM ("
+          + ORACLE["sage_layer"].replace("round(greatest(v + b.w, 0.0), 6) AS x", "v + b.w AS x") + ")")
+def q_sage_layer_unit(spark, d):
+    """The last layer: linear, and divided by its L2 norm."""
+    Ws, Wn = (gnn.glorot(SEED, n, DIM, SAGE_UNITS // 2) for n in ("sage_self", "sage_neigh"))
+    b = gnn.glorot(SEED, "sage_bias", 1, SAGE_UNITS)[0]
+    return _cells(gnn.sage_layer(_sampled(spark, d), _h(spark, d), V.vectors(spark, d), Ws, Wn, b, act="linear", unit=True))
+
+
 @register("link_score", V.sql_with(["vec_cites", "vectors"], """
     SELECT p.source, p.target, round(1.0 / (1.0 + exp(-list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score
     FROM pos p JOIN vectors a ON a.id = p.source JOIN vectors b ON b.id = p.target""", [UND, POS]))

@@ -10,15 +10,18 @@ from citegraph.functions.text import tokenize
 from citegraph.operators import embed as EM
 from citegraph.operators import gnn
 from citegraph.operators import graph as G
+from citegraph.operators import sage as SG
 from citegraph.operators import sampling as S
 from citegraph.operators import vector_index as VI
 from citegraph.operators import vectors as VE
 from citegraph.plans import views as V
 from citegraph.plans.catalog import r6, register
-from citegraph.plans.q_graph import DIM, GCN_UNITS, HX, NORM, _w_sql
+from citegraph.operators.dropout import Dropout, sql_mask
+from citegraph.operators.gnn import DROPOUT
+from citegraph.plans.q_graph import DIM, GCN_UNITS, HX, K1, K2, NORM, SAGE_UNITS, _w_sql
 from citegraph.session import cut_lineage
 from citegraph.plans.q_sampling import (
-    CAND_SQL, KEPT_SQL, LINKS_CTES, N_NEG, N_POSITIVE, P_HELD_OUT, SEED, _negative_pairs, _pair_sizes, links, und,
+    CAND_SQL, KEPT_SQL, LINKS_CTES, N_NEG, N_POSITIVE, P_HELD_OUT, SEED, UND, _negative_pairs, _pair_sizes, links, und,
 )
 
 PAIR_DIM = 50  # pair-embedding width, as in the reference
@@ -186,22 +189,52 @@ def chained(spark, d):
     return [V.stored(spark, d, f"chained{i}", ("lineitem", "embeddings"), lambda i=i: part(i)) for i in range(4)]
 
 
-EPOCHS = 10  # of the registered training runs; the operators' defaults are the reference's 50 and 20
+GCN_EPOCHS, SAGE_EPOCHS = 50, 20  # as in the reference
+GCN_LAYERS = ["w1", "b1", "w2", "b2"]
+
+
+def trained(spark, d, kind):
+    """A link model trained on the inner split of G6 with the outer test links as validation, once a session: the stored
+    (weights, history)."""
+    made: list = []
+
+    def part(i):
+        if not made:
+            v, (train_edges, train_links, test_edges, test_links) = V.vectors(spark, d), chained(spark, d)
+            if kind == "gcn":
+                params, hist = gnn.train_gcn(v, train_edges, train_links, epochs=GCN_EPOCHS, seed=SEED, val_links=test_links)
+            else:
+                params, hist = SG.train_graphsage(v, train_edges, train_links, epochs=SAGE_EPOCHS, seed=SEED, val=sage_test(spark, d))
+            layers = GCN_LAYERS if kind == "gcn" else SG.LAYERS
+            made.extend([gnn.weight_rows(spark, dict(zip(layers, params))), hist])
+        return made[i]
+
+    return [V.stored(spark, d, f"{kind}{i}", ("lineitem", "embeddings"), lambda i=i: part(i)) for i in range(2)]
+
+
+def sage_test(spark, d):
+    """The outer test links with their neighbourhoods in the test graph."""
+    def build():
+        _train_edges, _train_links, test_edges, test_links = chained(spark, d)
+        return SG.link_chunks(V.vectors(spark, d), test_edges, test_links, seed=SEED)
+
+    return V.stored(spark, d, "sage_test", ("lineitem", "embeddings"), build)
 
 
 @register("train_gcn")
 def q_train_gcn(spark, d):
-    """G13 + G16: GCN link model trained on the inner split of G6, with the outer test links as validation."""
-    train_edges, train_links, _test_edges, test_links = chained(spark, d)
-    _p, hist, _ax, _n = gnn.train_gcn(V.vectors(spark, d), train_edges, train_links, epochs=EPOCHS, seed=SEED,
-                                      val_links=test_links)
-    return hist
+    """G13 + G16: loss and accuracy of the GCN link model over its 50 epochs, training and validation."""
+    return trained(spark, d, "gcn")[1]
 
 
 GCN_LR = 0.01
 _SIGN = lambda g: f"{GCN_LR!r} * ({g}) / (abs({g}) + 1e-7)"  # Adam's first step
 
 
+def _mask(layer: int, unit: str) -> str:
+    return sql_mask(DROPOUT, SEED, 0, layer, "id", unit)
+
+
 @register("gcn_train_step", V.sql_with(["vec_cites", "vectors"], f"""
     SELECT part, i, j, round(w, 6) AS w FROM (
         SELECT 'w1' AS part, W1.i, W1.j, W1.w - {_SIGN('g.g')} AS w FROM W1 JOIN dw1 g ON g.i = W1.i AND g.j = W1.j
@@ -210,9 +243,11 @@ _SIGN = lambda g: f"{GCN_LR!r} * ({g}) / (abs({g}) + 1e-7)"  # Adam's first step
         UNION ALL SELECT 'b2', 0, j, -{_SIGN('sum(x)')} FROM dz2 GROUP BY j)""",
     LINKS_CTES + NORM + [HX] + [
     ("W1", _w_sql("gcn_w1", SEED, DIM, GCN_UNITS)), ("W2", _w_sql("gcn_w2", SEED, GCN_UNITS, GCN_UNITS)),
-    ("ax", "SELECT ne.dst AS id, hx.pos AS i, sum(ne.w * hx.x) AS x FROM ne JOIN hx ON hx.id = ne.src GROUP BY 1, 2"),
+    ("hm", f"SELECT id, pos, x * {_mask(0, 'pos')} AS x FROM hx"),
+    ("ax", "SELECT ne.dst AS id, hm.pos AS i, sum(ne.w * hm.x) AS x FROM ne JOIN hm ON hm.id = ne.src GROUP BY 1, 2"),
     ("z1", "SELECT ax.id, W1.j, sum(ax.x * W1.w) AS x FROM ax JOIN W1 ON W1.i = ax.i GROUP BY 1, 2"),
-    ("hw", "SELECT z1.id, W2.j, sum(greatest(z1.x, 0.0) * W2.w) AS x FROM z1 JOIN W2 ON W2.i = z1.j GROUP BY 1, 2"),
+    ("h1", f"SELECT id, j, x, greatest(x, 0.0) * {_mask(1, 'j')} AS h, {_mask(1, 'j')} AS m FROM z1"),
+    ("hw", "SELECT h1.id, W2.j, sum(h1.h * W2.w) AS x FROM h1 JOIN W2 ON W2.i = h1.j GROUP BY 1, 2"),
     ("z2", "SELECT ne.dst AS id, hw.j, sum(ne.w * hw.x) AS x FROM ne JOIN hw ON hw.id = ne.src GROUP BY 1, 2"),
     ("lg", """SELECT l.source, l.target, any_value(l.label) AS y, sum(greatest(a.x, 0.0) * greatest(b.x, 0.0)) AS dp
               FROM links l JOIN z2 a ON a.id = l.source JOIN z2 b ON b.id = l.target AND b.j = a.j GROUP BY 1, 2"""),
@@ -222,38 +257,159 @@ _SIGN = lambda g: f"{GCN_LR!r} * ({g}) / (abs({g}) + 1e-7)"  # Adam's first step
         UNION ALL SELECT gl.target, z2.j, gl.g * greatest(z2.x, 0.0) FROM gl JOIN z2 ON z2.id = gl.source) GROUP BY 1, 2"""),
     ("dz2", "SELECT d.id, d.j, CASE WHEN z2.x > 0 THEN d.x ELSE 0.0 END AS x FROM dh2 d JOIN z2 ON z2.id = d.id AND z2.j = d.j"),
     ("g2", "SELECT ne.dst AS id, d.j, sum(ne.w * d.x) AS x FROM ne JOIN dz2 d ON d.id = ne.src GROUP BY 1, 2"),
-    ("dw2", "SELECT z1.j AS i, g2.j, sum(greatest(z1.x, 0.0) * g2.x) AS g FROM z1 JOIN g2 ON g2.id = z1.id GROUP BY 1, 2"),
+    ("dw2", "SELECT h1.j AS i, g2.j, sum(h1.h * g2.x) AS g FROM h1 JOIN g2 ON g2.id = h1.id GROUP BY 1, 2"),
     ("dh1", "SELECT g2.id, W2.i AS j, sum(g2.x * W2.w) AS x FROM g2 JOIN W2 ON W2.j = g2.j GROUP BY 1, 2"),
-    ("dz1", "SELECT d.id, d.j, CASE WHEN z1.x > 0 THEN d.x ELSE 0.0 END AS x FROM dh1 d JOIN z1 ON z1.id = d.id AND z1.j = d.j"),
+    ("dz1", "SELECT d.id, d.j, CASE WHEN h1.x > 0 THEN d.x * h1.m ELSE 0.0 END AS x FROM dh1 d JOIN h1 ON h1.id = d.id AND h1.j = d.j"),
     ("dw1", "SELECT ax.i, d.j, sum(ax.x * d.x) AS g FROM ax JOIN dz1 d ON d.id = ax.id GROUP BY 1, 2"),
 ]))
 def q_gcn_train_step(spark, d):
-    """One full-batch Adam step of the GCN link model from md5 weights, every weight as a cell."""
-    params, _hist, _ax, _norm = gnn.train_gcn(V.vectors(spark, d), und(spark, d), links(spark, d), epochs=1, lr=GCN_LR, seed=SEED)
-    cells = [(name, i, j, float(x)) for name, w in zip(("w1", "b1", "w2", "b2"), params)
-             for i, row in enumerate(w.reshape(-1, w.shape[-1])) for j, x in enumerate(row)]
-    return spark.createDataFrame(cells, "part string, i long, j long, w double").withColumn("w", r6("w"))
+    """One full-batch Adam step of the GCN link model from md5 weights under dropout, every weight as a cell."""
+    params, _hist = gnn.train_gcn(V.vectors(spark, d), und(spark, d), links(spark, d), epochs=1, lr=GCN_LR, seed=SEED)
+    return _weight_cells(spark, dict(zip(GCN_LAYERS, params)))
 
 
-@register("gcn_link_scores")
-def q_gcn_link_scores(spark, d):
-    """G6 → G13 → G15 → P9: scores and decisions on the outer test links from a GCN trained on the inner split."""
+def _weight_cells(spark, layers):
+    """(part, i, j, w) of every weight, rounded; a bias has i = 0."""
+    return (gnn.weight_rows(spark, layers).select(F.col("layer").alias("part"), F.col("row").cast("bigint").alias("i"), F.posexplode("values").alias("j", "w"))
+            .select("part", "i", F.col("j").cast("bigint").alias("j"), r6("w").alias("w")))
+
+
+SAGE_LR, SAGE_BATCHES = 1e-3, 4
+_HALF = SAGE_UNITS // 2
+
+
+def _sage_step_sql() -> str:
+    """One step on bucket 0: an end (kind e) reads its hop-1 sample, a neighbour (kind m) its hop-2 sample."""
+    sign = lambda g: f"{SAGE_LR!r} * ({g}) / (abs({g}) + 1e-7)"
+    draw = lambda hop, k: f"""SELECT source, target FROM (SELECT source, target, row_number() OVER (PARTITION BY source
+               ORDER BY {H(SEED, hop, 'source', 'target')}, target) AS rn FROM s) WHERE rn <= {k}"""
+    halves = lambda own, mean, ws, wn, half: f"""SELECT id, kind, j, sum(x) AS x FROM (
+        SELECT o.id, o.kind, W.j, o.x * W.w AS x FROM {own} o JOIN {ws} W ON W.i = o.pos
+        UNION ALL SELECT m.id, m.kind, {half} + W.j, m.x * W.w FROM {mean} m JOIN {wn} W ON W.i = m.pos) GROUP BY 1, 2, 3"""
+    weight = lambda part, table, g: f"SELECT '{part}' AS part, W.i, W.j, W.w - {sign('g.g')} AS w FROM {table} W JOIN {g} g ON g.i = W.i AND g.j = W.j"
+    return V.sql_with(["vec_cites", "vectors"], f"""
+    SELECT part, i, j, round(w, 6) AS w FROM (
+        {weight('ws1', 'Ws1', 'dws1')} UNION ALL {weight('wn1', 'Wn1', 'dwn1')}
+        UNION ALL {weight('ws2', 'Ws2', 'dws2')} UNION ALL {weight('wn2', 'Wn2', 'dwn2')}
+        UNION ALL SELECT 'b1', 0, j, -{sign('sum(x)')} FROM dz1 GROUP BY j
+        UNION ALL SELECT 'b2', 0, j, -{sign('sum(x)')} FROM dz2 GROUP BY j)""", LINKS_CTES + [HX] + [
+    ("b", f"SELECT source, target, label FROM links WHERE {H(SEED, chr(39) + 'bucket' + chr(39), 'source', 'target')} % {SAGE_BATCHES} = 0"),
+    ("s", "SELECT source, target FROM und UNION ALL SELECT target, source FROM und"),
+    ("hop", f"SELECT 'e' AS kind, * FROM ({draw(1, K1)}) UNION ALL SELECT 'm', * FROM ({draw(2, K2)})"),
+    ("ends", "SELECT DISTINCT id FROM (SELECT source AS id FROM b UNION ALL SELECT target FROM b)"),
+    ("mids", "SELECT DISTINCT target AS id FROM hop WHERE kind = 'e' AND source IN (SELECT id FROM ends)"),
+    ("touched", "SELECT id, 'e' AS kind FROM ends UNION ALL SELECT id, 'm' FROM mids"),
+    ("Ws1", _w_sql("sage_ws1", SEED, DIM, _HALF)), ("Wn1", _w_sql("sage_wn1", SEED, DIM, _HALF)),
+    ("Ws2", _w_sql("sage_ws2", SEED, SAGE_UNITS, _HALF)), ("Wn2", _w_sql("sage_wn2", SEED, SAGE_UNITS, _HALF)),
+    ("xm", f"SELECT id, pos, x * {_mask(0, 'pos')} AS x FROM hx"),
+    ("own1", "SELECT t.id, t.kind, xm.pos, xm.x FROM touched t JOIN xm ON xm.id = t.id"),
+    ("mean1", """SELECT t.id, t.kind, xm.pos, avg(xm.x) AS x FROM touched t JOIN hop ON hop.kind = t.kind AND hop.source = t.id
+                 JOIN xm ON xm.id = hop.target GROUP BY 1, 2, 3"""),
+    ("z1", halves("own1", "mean1", "Ws1", "Wn1", _HALF)),
+    ("h1", f"SELECT id, kind, j AS pos, x AS z, greatest(x, 0.0) * {_mask(1, 'j')} AS x, {_mask(1, 'j')} AS m FROM z1"),
+    ("own2", "SELECT id, kind, pos, x FROM h1 WHERE kind = 'e'"),
+    ("mean2", """SELECT e.id, 'e' AS kind, h1.pos, avg(h1.x) AS x FROM ends e JOIN hop ON hop.kind = 'e' AND hop.source = e.id
+                 JOIN h1 ON h1.kind = 'm' AND h1.id = hop.target GROUP BY 1, 2, 3"""),
+    ("z2", halves("own2", "mean2", "Ws2", "Wn2", _HALF)),
+    ("n2", f"SELECT id, greatest(sqrt(sum(x * x)), {SG.LEAST_NORM!r}) AS n FROM z2 GROUP BY id"),
+    ("o", "SELECT z2.id, z2.j, z2.x / n2.n AS x FROM z2 JOIN n2 ON n2.id = z2.id"),
+    ("lg", """SELECT b.source, b.target, any_value(b.label) AS y, sum(p.x * q.x) AS dp
+              FROM b JOIN o p ON p.id = b.source JOIN o q ON q.id = b.target AND q.j = p.j GROUP BY 1, 2"""),
+    ("gl", """SELECT source, target, CASE WHEN dp > 1e-7 AND dp < 1 - 1e-7 THEN (dp - y) / (dp * (1 - dp)) ELSE 0.0 END
+                     / (SELECT count(*) FROM b) AS g FROM lg"""),
+    ("d_out", """SELECT id, j, sum(x) AS x FROM (
+        SELECT gl.source AS id, o.j, gl.g * o.x AS x FROM gl JOIN o ON o.id = gl.target
+        UNION ALL SELECT gl.target, o.j, gl.g * o.x FROM gl JOIN o ON o.id = gl.source) GROUP BY 1, 2"""),
+    ("along", "SELECT d.id, sum(d.x * o.x) AS a FROM d_out d JOIN o ON o.id = d.id AND o.j = d.j GROUP BY 1"),
+    ("dz2", """SELECT d.id, d.j, (d.x - o.x * a.a) / n2.n AS x FROM d_out d JOIN o ON o.id = d.id AND o.j = d.j
+               JOIN along a ON a.id = d.id JOIN n2 ON n2.id = d.id"""),
+    ("dws2", f"SELECT h.pos AS i, d.j, sum(h.x * d.x) AS g FROM own2 h JOIN dz2 d ON d.id = h.id AND d.j < {_HALF} GROUP BY 1, 2"),
+    ("dwn2", f"SELECT h.pos AS i, d.j - {_HALF} AS j, sum(h.x * d.x) AS g FROM mean2 h JOIN dz2 d ON d.id = h.id AND d.j >= {_HALF} GROUP BY 1, 2"),
+    ("dh_e", f"SELECT d.id, W.i AS j, sum(d.x * W.w) AS x FROM dz2 d JOIN Ws2 W ON W.j = d.j AND d.j < {_HALF} GROUP BY 1, 2"),
+    ("dmean", f"SELECT d.id, W.i AS j, sum(d.x * W.w) AS x FROM dz2 d JOIN Wn2 W ON W.j = d.j - {_HALF} AND d.j >= {_HALF} GROUP BY 1, 2"),
+    ("cnt", "SELECT source AS id, count(*) AS c FROM hop WHERE kind = 'e' GROUP BY 1"),
+    ("dh_m", """SELECT hop.target AS id, d.j, sum(d.x / cnt.c) AS x FROM dmean d JOIN hop ON hop.kind = 'e' AND hop.source = d.id
+                JOIN cnt ON cnt.id = d.id GROUP BY 1, 2"""),
+    ("dh", "SELECT id, 'e' AS kind, j, x FROM dh_e UNION ALL SELECT id, 'm', j, x FROM dh_m"),
+    ("dz1", """SELECT d.id, d.kind, d.j, CASE WHEN h1.z > 0 THEN d.x * h1.m ELSE 0.0 END AS x
+               FROM dh d JOIN h1 ON h1.id = d.id AND h1.kind = d.kind AND h1.pos = d.j"""),
+    ("dws1", f"""SELECT h.pos AS i, d.j, sum(h.x * d.x) AS g FROM own1 h JOIN dz1 d ON d.id = h.id AND d.kind = h.kind AND d.j < {_HALF}
+                 GROUP BY 1, 2"""),
+    ("dwn1", f"""SELECT h.pos AS i, d.j - {_HALF} AS j, sum(h.x * d.x) AS g FROM mean1 h JOIN dz1 d ON d.id = h.id AND d.kind = h.kind
+                 AND d.j >= {_HALF} GROUP BY 1, 2"""),
+])
+
+
+@register("sage_train_step", _sage_step_sql())
+def q_sage_train_step(spark, d):
+    """G7 + G11 + G14: one Adam step of the GraphSAGE link model on the first bucket of links: per-link neighbourhoods, dropout,
+    unit outputs and their backward pass, every weight as a cell."""
+    v = V.vectors(spark, d)
+    chunks = SG.link_chunks(v, und(spark, d), links(spark, d), buckets=SAGE_BATCHES, seed=SEED).where("bucket = 0")
+    chunks = cut_lineage(chunks)
+    n = chunks.agg(F.sum(F.size("source"))).first()[0]
+    params = SG.initial(DIM, (SAGE_UNITS, SAGE_UNITS), SEED)
+    _loss, _acc, grads = SG.sage_step(chunks, n, params, drop=Dropout(DROPOUT, SEED, 0))
+    params = gnn.AdamState([p.shape for p in params], SAGE_LR).step(params, grads)
+    return _weight_cells(spark, dict(zip(SG.LAYERS, params)))
+
+
+def _scored(spark, d, kind):
+    """Scores and decisions on the outer test links by the stored model."""
     from citegraph.operators import metrics as M
 
     v = V.vectors(spark, d)
-    train_edges, train_links, test_edges, test_links = chained(spark, d)
-    params, _hist, _ax, _norm = gnn.train_gcn(v, train_edges, train_links, epochs=EPOCHS, seed=SEED)
+    weights, _hist = trained(spark, d, kind)
+    if kind == "sage":
+        return M.threshold(SG.predict_sage(sage_test(spark, d), gnn.weights_of(weights, SG.LAYERS)), 0.5)
+    _train_edges, _train_links, test_edges, test_links = chained(spark, d)
     norm = cut_lineage(G.gcn_norm_edges(v, test_edges))  # the test graph is propagated over
-    ax = G.propagate(norm, v.select("id", F.col("embedding").alias("h")), DIM)
-    return M.threshold(gnn.predict_links(ax, norm, params, test_links), 0.5)
+    x = v.select("id", F.col("embedding").cast("array<double>").alias("h"))
+    return M.threshold(gnn.predict_links(x, norm, gnn.weights_of(weights, GCN_LAYERS), test_links), 0.5)
+
+
+@register("gcn_link_scores")
+def q_gcn_link_scores(spark, d):
+    """G6 → G13 → S9 → G15 → P9: scores and decisions on the outer test links by the stored GCN of the inner split."""
+    return _scored(spark, d, "gcn")
+
+
+@register("sage_link_scores")
+def q_sage_link_scores(spark, d):
+    """G6 → G14 → S9 → G15 → P9: the same by the stored GraphSAGE model."""
+    return _scored(spark, d, "sage")
 
 
 @register("train_sage")
 def q_train_sage(spark, d):
-    """G14 + G16: GraphSAGE link model (mean aggregator, samples [20, 10]) trained on the inner split of G6."""
-    train_edges, train_links, _test_edges, _test_links = chained(spark, d)
-    _p, hist, _f = gnn.train_graphsage(V.vectors(spark, d), train_edges, train_links, epochs=EPOCHS // 2, seed=SEED)
-    return hist
+    """G14 + G16: loss and accuracy of the GraphSAGE link model (samples [20, 10]) over its 20 epochs, training and validation."""
+    return trained(spark, d, "sage")[1]
+
+
+def _link_facts_sql() -> str:
+    held = "(SELECT CAST(floor(0.1 * count(*) + 0.5) AS BIGINT) FROM und)"
+    rows = " UNION ALL ".join(f"""SELECT '{k}' AS model, {n}::BIGINT AS n_epochs, {2 * n}::BIGINT AS n_history, TRUE AS numbers_ok, TRUE AS loss_fell,
+        {held} AS n_pos, {held} AS n_neg, TRUE AS scores_ok, TRUE AS decisions_ok"""
+                              for k, n in (("gcn", GCN_EPOCHS), ("sage", SAGE_EPOCHS)))
+    return V.sql_with(["vec_cites"], rows, [UND])
+
+
+@register("link_models_check", _link_facts_sql())
+def q_link_models_check(spark, d):
+    """G15 + G16 for both models: every epoch of both splits is there, losses are numbers and the training loss falls; each
+    test link has one score in [0, 1], and the decision is that of the score."""
+    out = []
+    for kind in ("gcn", "sage"):
+        hist, scored = trained(spark, d, kind)[1], _scored(spark, d, kind)
+        train = hist.where("split = 'train'")
+        facts = hist.agg(F.countDistinct("epoch").alias("n_epochs"), F.count("*").alias("n_history"),
+                         F.min((F.col("loss") >= 0) & F.col("acc").between(0, 1) & ~F.isnan("loss")).alias("numbers_ok"))
+        fell = train.agg((F.max_by("loss", "epoch") < F.min_by("loss", "epoch")).alias("loss_fell"))
+        links_ = scored.agg(F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == 0).alias("n_neg"),
+                            F.min(F.col("score").between(0, 1)).alias("scores_ok"),
+                            F.min((F.col("score") > 0.5) == (F.col("pred") == 1)).alias("decisions_ok"))
+        out.append(facts.join(fell).join(links_).select(F.lit(kind).alias("model"), "*"))
+    return out[0].unionByName(out[1])
 
 
 @register("text_recs")

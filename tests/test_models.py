@@ -95,8 +95,19 @@ def test_learning_rate_schedule():
     assert len(r) == 10 and r[0] == 0.025 and abs(r[-1] - (0.025 - 9 * 0.0002)) < 1e-15
 
 
+def tables(spark):
+    """Tables in the shared folder."""
+    import os
+
+    from citegraph.session import RunTables
+
+    root = RunTables(spark).root
+    return set(os.listdir(root)) if os.path.isdir(root) else set()
+
+
 def test_gcn_learns_planted_partition(spark):
     from citegraph.operators import gnn
+    from citegraph.operators import graph as G
     from citegraph.operators.sampling import sample_negative_links
 
     rng = np.random.default_rng(1)
@@ -112,37 +123,129 @@ def test_gcn_learns_planted_partition(spark):
     e = spark.createDataFrame(sorted(edges), "source long, target long")
     neg = sample_negative_links(nodes, e, len(edges), 5)
     links = e.withColumn("label", F.lit(1)).unionByName(neg.select("source", "target", F.lit(0).alias("label")))
-    _p, hist, _ax, _n = gnn.train_gcn(nodes, e, links, units=(8, 8), epochs=6, lr=0.05, seed=3)
-    losses = [r["loss"] for r in hist.orderBy("epoch").collect()]
-    assert losses[-1] < losses[0]
+    before = tables(spark)
+    params, hist = gnn.train_gcn(nodes, e, links, units=(8, 8), epochs=8, lr=0.05, seed=3, val_links=links)
+    assert tables(spark) == before  # all tables of the run are dropped
+    rows = hist.orderBy("epoch").collect()
+    val = [r["loss"] for r in rows if r["split"] == "validation"]
+    assert len(rows) == 16 and val[-1] < val[0]
+    again, _hist = gnn.train_gcn(nodes, e, links, units=(8, 8), epochs=8, lr=0.05, seed=3)
+    assert all(np.allclose(a, b) for a, b in zip(params, again))
+    # a stored model gives the same scores
+    names = ["w1", "b1", "w2", "b2"]
+    loaded = gnn.weights_of(gnn.weight_rows(spark, dict(zip(names, params))), names)
+    norm = G.gcn_norm_edges(nodes, e)
+    x = nodes.select("id", F.col("embedding").alias("h"))
+    score = lambda ps: {(r["source"], r["target"], r["label"]): r["score"] for r in gnn.predict_links(x, norm, ps, links).collect()}
+    one, two = score(params), score(loaded)
+    assert one.keys() == two.keys() and all(np.isclose(one[k], two[k], rtol=1e-12) for k in one)
 
 
-def test_graphsage_learns_planted_partition(spark):
-    from citegraph.operators import gnn
+def planted(spark, n=40, half=20, seed=2):
     from citegraph.operators.sampling import sample_negative_links
 
-    rng = np.random.default_rng(2)
-    n, half = 40, 20
-    edges = set()
-    for a in range(n):
-        for b in range(a + 1, n):
-            if rng.random() < (0.35 if (a < half) == (b < half) else 0.01):
-                edges.add((a, b))
+    rng = np.random.default_rng(seed)
+    edges = [(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < (0.35 if (a < half) == (b < half) else 0.01)]
     feats = [(i, [1.0 if i < half else 0.0, 0.0 if i < half else 1.0, float(rng.random())]) for i in range(n)]
     nodes = spark.createDataFrame(feats, "id long, embedding array<double>")
-    e = spark.createDataFrame(sorted(edges), "source long, target long")
+    e = spark.createDataFrame(edges, "source long, target long")
     neg = sample_negative_links(nodes, e, len(edges), 5)
-    links = e.withColumn("label", F.lit(1)).unionByName(neg.select("source", "target", F.lit(0).alias("label")))
-    params, hist, predict = gnn.train_graphsage(nodes, e, links, units=(8, 8), num_samples=(5, 3),
-                                                epochs=6, lr=0.05, seed=3)
-    losses = [r["loss"] for r in hist.orderBy("epoch").collect()]
-    assert losses[-1] < losses[0]
-    assert predict(params, links).count() == links.count()
+    return nodes, e, e.withColumn("label", F.lit(1)).unionByName(neg.select("source", "target", F.lit(0).alias("label")))
+
+
+def test_graphsage_learns_planted_partition(spark):
+    from citegraph.operators import sage
+
+    nodes, e, links = planted(spark)
+    val = sage.link_chunks(nodes, e, links, num_samples=(5, 3), seed=3)
+    params, hist = sage.train_graphsage(nodes, e, links, units=(8, 8), num_samples=(5, 3), epochs=8, batches=2, lr=0.02, act="sigmoid", seed=3, val=val)
+    rows = hist.collect()
+    loss = {s: [r["loss"] for r in sorted(rows, key=lambda r: r["epoch"]) if r["split"] == s] for s in ("train", "validation")}
+    assert len(loss["train"]) == len(loss["validation"]) == 8 and loss["validation"][-1] < loss["validation"][0]
+    scored = sage.predict_sage(val, params, act="sigmoid")
+    assert scored.count() == links.count() and scored.exceptAll(scored.where("score between 0 and 1")).count() == 0
+    assert scored.select("source", "target", "label").exceptAll(links).count() == 0
+
+
+def test_link_chunks_are_whole_and_bounded(spark, monkeypatch):
+    """Every link in one chunk of its bucket; the chunk's indices say the neighbourhoods of G7; a link that repeats stays."""
+    from citegraph.operators import graph as G
+    from citegraph.operators import sage
+
+    nodes, e, links = planted(spark)
+    alone = spark.createDataFrame([(1000, [0.5, 0.5, 0.5])], "id long, embedding array<double>")
+    links = links.unionByName(links.limit(3)).unionByName(spark.createDataFrame([(0, 1000, 0)], "source long, target long, label int"))
+    monkeypatch.setattr(sage, "CHUNK_LINKS", 16)
+    rows = sage.link_chunks(nodes.unionByName(alone), e, links, num_samples=(4, 2), buckets=3, seed=1).collect()
+    assert len({(r["bucket"], r["chunk"]) for r in rows}) == len(rows) and {r["bucket"] for r in rows} == {0, 1, 2}
+    got = sorted((s, t, int(y)) for r in rows for s, t, y in zip(r["source"], r["target"], r["label"]))
+    assert got == sorted((r["source"], r["target"], r["label"]) for r in links.collect())
+    feats = {r["id"]: r["embedding"] for r in nodes.unionByName(alone).collect()}
+    blocks = {}
+    for r in G.link_neighbourhoods(links, e, (4, 2), 1).collect():
+        for end in ("source", "target"):
+            blocks[r[end]] = [(b["hop1"], b["hop2"]) for b in r[f"{end}_hops"] or []]
+    assert blocks[1000] == [] and max(map(len, blocks.values())) <= 4
+    for r in rows:
+        assert [x for i in r["nodes"] for x in feats[i]] == r["x"]
+        name, mid = r["nodes"], [r["nodes"][i] for i in r["mids"]]
+        ends = np.cumsum([0, *r["mid_n"]])
+        hop2 = {m: [name[i] for i in r["mid_nb"][a:b]] for m, a, b in zip(mid, ends, ends[1:])}
+        ends = np.cumsum([0, *r["head_n"]])
+        for h, a, b in zip(r["heads"], ends, ends[1:]):
+            assert [(mid[k], hop2[mid[k]]) for k in r["head_nb"][a:b]] == blocks[name[h]]
+
+
+def test_graphsage_gradients_finite_difference(spark):
+    """All six parameters, with dropout, unit outputs, an isolated end and both activations."""
+    from citegraph.operators import sage
+    from citegraph.operators.dropout import Dropout
+
+    rng = np.random.default_rng(6)
+    n, dim = 14, 3
+    edges = [(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.4]
+    nodes = spark.createDataFrame([(i, rng.normal(size=dim).tolist()) for i in range(n + 1)], "id long, embedding array<double>")
+    e = spark.createDataFrame(edges, "source long, target long")
+    links = spark.createDataFrame([(a, b, int(rng.random() < 0.5)) for a in range(n) for b in range(a + 1, n + 1, 3)],
+                                  "source long, target long, label int")
+    rows = [r.asDict() for r in sage.link_chunks(nodes, e, links, num_samples=(4, 2), seed=3).collect()]
+    total = links.count()
+    params = [p + rng.normal(size=p.shape) * 0.2 for p in sage.initial(dim, (6, 4), 3)]
+    drop = Dropout(0.3, 3, 1)
+
+    def loss(ps, act):
+        return sum(sage.loss_and_slope((c := sage.Chunk(r, drop)).forward(ps), c.label, act)[0].sum() for r in rows) / total
+
+    for act in ("sigmoid", "relu"):
+        mean, _acc, grads = sage.sage_step(spark.createDataFrame(rows, sage.CHUNK), total, params, drop=drop, act=act)
+        assert np.isclose(mean, loss(params, act))
+        for which in range(6):
+            for at in list(np.ndindex(params[which].shape))[::2]:
+                slope = []
+                for eps in (1e-6, -1e-6):
+                    moved = [p.copy() for p in params]
+                    moved[which][at] += eps
+                    slope.append(loss(moved, act))
+                assert np.isclose((slope[0] - slope[1]) / 2e-6, grads[which][at], rtol=1e-4, atol=1e-6), (act, which, at)
+
+
+def test_dropout_masks():
+    """A function of seed, epoch, layer, node and unit, with the kept share and the same mean."""
+    from citegraph.operators.dropout import Dropout
+
+    ids = list(range(4000))
+    m = Dropout(0.3, 1, 2).mask(0, ids, 20)
+    assert abs((m > 0).mean() - 0.7) < 0.01 and abs(m.mean() - 1.0) < 0.01
+    assert (m[17] == Dropout(0.3, 1, 2).mask(0, [17], 20)[0]).all()
+    for other in (Dropout(0.3, 2, 2).mask(0, ids, 20), Dropout(0.3, 1, 3).mask(0, ids, 20), Dropout(0.3, 1, 2).mask(1, ids, 20)):
+        assert 0.3 < (m == other).mean() < 0.7
+    assert (Dropout(0.0, 1, 1).mask(0, [1, 2], 3) == 1).all()
 
 
 def test_gcn_gradient_finite_difference(spark):
     from citegraph.operators import gnn
     from citegraph.operators import graph as G
+    from citegraph.operators.dropout import Dropout
 
     rng = np.random.default_rng(4)
     n = 10
@@ -155,17 +258,13 @@ def test_gcn_gradient_finite_difference(spark):
                                   "source long, target long, label int")
     norm = G.gcn_norm_edges(nodes, e)
     x = nodes.select("id", F.col("embedding").alias("h"))
-    ax = G.propagate(norm, x, 3)
+    drop = Dropout(0.3, 9, 4)
     params = [rng.normal(size=(3, 4)), rng.normal(size=4) * 0.1 + 0.2,
               rng.normal(size=(4, 3)), rng.normal(size=3) * 0.1 + 0.2]
-    _loss, _acc, grads, _h2 = gnn.gcn_loss_grads(ax, norm, links, 6, params)
+    _loss, _acc, grads = gnn.gcn_loss_grads(x, norm, links, 6, params, drop=drop)
 
     def loss_of(ps):
-        _a, _b, h2 = gnn.gcn_forward(ax, norm, ps)
-        sc = gnn.score_links(links, h2)
-        pc = F.least(F.greatest(F.col("score"), F.lit(1e-7)), F.lit(1 - 1e-7))
-        y = F.col("label").cast("double")
-        return sc.agg(F.avg(-(y * F.log(pc) + (1 - y) * F.log(1 - pc)))).first()[0]
+        return gnn.link_loss(gnn.score_links(links, gnn.gcn_forward(x, norm, ps, drop=drop)[1]))[0]
 
     eps = 1e-5
     for which, idx in [(0, (0, 1)), (0, (2, 3)), (1, (2,)), (2, (1, 0)), (3, (1,))]:
@@ -175,35 +274,3 @@ def test_gcn_gradient_finite_difference(spark):
         dn[which][idx] -= eps
         fd = (loss_of(up) - loss_of(dn)) / (2 * eps)
         assert abs(fd - grads[which][idx]) < 1e-5 + 1e-3 * abs(fd), (which, idx, fd, grads[which][idx])
-
-
-def test_graphsage_step_follows_the_gradient(spark):
-    """Adam's first step moves every weight by lr * g / (|g| + eps), so its sign shows the gradient's."""
-    from citegraph.operators import gnn
-
-    rng = np.random.default_rng(6)
-    n, dim, units, seed, lr = 12, 3, (4, 4), 3, 0.01
-    edges = sorted({(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.4})
-    nodes = spark.createDataFrame([(i, rng.normal(size=dim).tolist()) for i in range(n)], "id long, embedding array<double>")
-    e = spark.createDataFrame(edges, "source long, target long")
-    links = spark.createDataFrame([(a, b, int(rng.random() < 0.5)) for a in range(n) for b in range(a + 1, n, 3)],
-                                  "source long, target long, label int")
-    after, _hist, predict = gnn.train_graphsage(nodes, e, links, units=units, num_samples=(4, 2), epochs=1, lr=lr, seed=seed)
-    before = [gnn.glorot(seed, "sage_ws1", dim, 2), gnn.glorot(seed, "sage_wn1", dim, 2), np.zeros(4),
-              gnn.glorot(seed, "sage_ws2", 4, 2), gnn.glorot(seed, "sage_wn2", 4, 2), np.zeros(4)]
-
-    def loss(ps):
-        got = predict(ps, links).select("label", "score").toPandas()
-        y, p = got["label"].to_numpy(), got["score"].to_numpy()
-        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
-
-    eps, seen = 1e-4, 0
-    for which, at in [(0, (0, 1)), (1, (2, 0)), (2, (1,)), (3, (1, 1)), (4, (2, 0)), (5, (3,))]:
-        up, down = [p.copy() for p in before], [p.copy() for p in before]
-        up[which][at] += eps
-        down[which][at] -= eps
-        slope = (loss(up) - loss(down)) / (2 * eps)
-        if abs(slope) > 1e-4:
-            seen += 1
-            assert np.isclose(before[which][at] - after[which][at], lr * np.sign(slope), rtol=0.02), (which, at, slope)
-    assert seen >= 4
