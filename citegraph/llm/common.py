@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -75,6 +77,25 @@ def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 512, m
     return run
 
 
+def released() -> None:
+    """Hand memory that a task has freed back to the system: a reused Python worker keeps it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim is not None:
+        trim(0)
+
+
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores behind it until it is none of the columns."""
+    out = []
+    for n in names:
+        while n in columns:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def smallest(df: DataFrame, by: str, k: int, *order: str, salts: int = 16) -> DataFrame:
     """The ``k`` rows of each value of ``by`` that come first in ``order`` (of the columns' hash, then the columns).
     Ranked within salted shares of a value first, so the last ranking reads at most salts * k rows of it."""

@@ -6,14 +6,16 @@ suffix that occurs in some item. A length of ``window`` words (or the whole of a
 item) is a hit. Words outside the items' vocabulary, and runs of word pairs that no
 item holds, cannot carry a match of that length; they are found with numpy and skipped.
 
-The items are broadcast in blocks of at most ``block_bytes`` of text: a larger benchmark
-is searched block after block, so what a worker holds does not grow with it.
+The items are broadcast in blocks of about ``block_bytes`` of text. A larger benchmark is searched block after block: one
+block's automaton is built, its pass over the documents is written, and it is given up before the next one is built, so
+neither driver nor workers hold more than one. Where texts are cut, the passes go round until no block finds anything more.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import byte_table, per_batch
+from citegraph.llm.common import Stored, byte_table, free_names, per_batch
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -158,17 +160,19 @@ class Automaton:
         return spans, found
 
 
-def automata(items: DataFrame, window: int, block_bytes: int, id_col: str, text_col: str) -> list:
-    """Broadcast automata, one for each block of items. Items without an id or a text are left out."""
-    items = items.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).dropna()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    out = []
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()
-        out.append(items.sparkSession.sparkContext.broadcast(
-            Automaton(sorted((r.item, words_of(r.text)) for r in rows), window)))
-    return out
+class Blocks:
+    """Items in blocks, and the broadcast automaton of one of them. Items without an id or a text are left out."""
+
+    def __init__(self, items: DataFrame, window: int, block_bytes: int, id_col: str, text_col: str):
+        self.window = window
+        self.items = items.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).dropna()
+        total = self.items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.n = max(1, math.ceil(total / block_bytes))
+
+    def automaton(self, block: int):
+        rows = self.items.where(F.pmod(F.xxhash64("item"), F.lit(self.n)) == block).collect()  # about block_bytes
+        return self.items.sparkSession.sparkContext.broadcast(
+            Automaton(sorted((r.item, words_of(r.text)) for r in rows), self.window))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -222,10 +226,15 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
                       F.lit(None).cast("array<long>").alias("items"),
                       F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"))
-    blocks = automata(items, window, block_bytes, item_col, "text")
-    for k, bc in enumerate(blocks):
-        carry = k < len(blocks) - 1
+    blocks, store = Blocks(items, window, block_bytes, item_col, "text"), Stored(docs.sparkSession)
+    for k in range(blocks.n):
+        bc, carry = blocks.automaton(k), k < blocks.n - 1
         out = out.mapInArrow(_finder(bc, carry), FOUND + ", text string" * carry)
+        if blocks.n > 1:
+            out = store.put(out, f"found{k}")
+            bc.destroy()
+            if k:
+                store.drop(f"found{k - 1}")
     return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "items", "spans")
 
 
@@ -244,17 +253,20 @@ def cut(text: str, automaton: Automaton, span_limit: int) -> str:
         text = "".join(kept) + text[end:]
 
 
-def _cutter(bc, span_limit: int, text_col: str, count_col: str):
+def _cutter(bc, span_limit: int, text_col: str, count_col: str, blocks: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         k = batch.schema.get_field_index(text_col)
         texts = batch.column(k).to_pylist()
-        clean = [text if text is None else cut(text, bc.value, span_limit) for text in texts]
-        before, after = batch.column(count_col).to_pylist(), [len(words_of(t)) for t in clean]
-        first = [len(words_of(t)) if n is None else n for t, n in zip(texts, (x and x["before"] for x in before))]
+        state = batch.column(count_col).to_pylist()
+        clean = [text if text is None or (x and not x["left"]) else cut(text, bc.value, span_limit) for text, x in zip(texts, state)]
+        first = [len(words_of(t)) if x is None else x["before"] for t, x in zip(texts, state)]
+        after = [x["after"] if x and c == t else len(words_of(c)) for t, c, x in zip(texts, clean, state)]
+        # blocks still to pass: all others after a cut, one less otherwise
+        left = [blocks - 1 if c != t else (x["left"] if x else blocks) - 1 for t, c, x in zip(texts, clean, state)]
         batch = batch.set_column(k, batch.schema.field(k), pa.array(clean, pa.string()))
         k = batch.schema.get_field_index(count_col)
-        counts = pa.StructArray.from_arrays(
-            [pa.array(first, pa.int64()), pa.array(after, pa.int64())], names=["before", "after"])
+        counts = pa.StructArray.from_arrays([pa.array(first, pa.int64()), pa.array(after, pa.int64()), pa.array(left, pa.int32())],
+                                            names=["before", "after", "left"])
         return batch.set_column(k, pa.field(count_col, counts.type), counts)
 
     return per_batch(run)
@@ -266,14 +278,31 @@ def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW
     """``docs`` with every hit span of more than ``span_limit`` words cut out of the text; a document
     that would lose more than ``coverage_limit`` of its words goes as a whole.
 
-    All columns of ``docs`` are kept as they are, whatever their names. Documents without hits, null
-    and empty texts stay unchanged.
+    A cut can bring words together that form a window of another block of items, so a text goes round the blocks until all
+    have passed it unchanged; each pass is written, and reads only texts that are not done. All columns of ``docs`` are kept as
+    they are, whatever their names. Documents without hits, null and empty texts stay unchanged.
     """
-    count_col = "words"
-    while count_col in docs.columns:
-        count_col += "_"
-    out = docs.withColumn(count_col, F.lit(None).cast("struct<before:long,after:long>"))
-    for bc in automata(items, window, block_bytes, item_col, "text"):
-        out = out.mapInArrow(_cutter(bc, span_limit, text_col, count_col), out.schema)
+    count_col, = free_names(docs.columns, "words")
+    rest = docs.withColumn(count_col, F.lit(None).cast("struct<before:long,after:long,left:int>"))
+    blocks, store, done, k = Blocks(items, window, block_bytes, item_col, "text"), Stored(docs.sparkSession), [], 0
+    left = F.col(f"{count_col}.left")
+    while True:
+        bc = blocks.automaton(k % blocks.n)
+        out = rest.mapInArrow(_cutter(bc, span_limit, text_col, count_col, blocks.n), rest.schema)
+        if blocks.n == 1:  # a text is cut until this block finds nothing
+            done.append(out)
+            break
+        out = store.put(out, f"cut{k}")
+        bc.destroy()
+        if 0 < k < blocks.n:  # the former pass has no text that is done
+            store.drop(f"cut{k - 1}")
+        k += 1
+        if k >= blocks.n:
+            done.append(out.where(left <= 0))
+            out = out.where(left > 0)
+            if out.isEmpty():
+                break
+        rest = out
+    out = reduce(DataFrame.unionByName, done)
     before, after = F.col(f"{count_col}.before"), F.col(f"{count_col}.after")
     return out.where((before - after) <= before * coverage_limit).drop(count_col)

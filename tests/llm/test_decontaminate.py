@@ -76,6 +76,29 @@ def test_removal(spark):
             assert left[d] == t  # clean documents stay as they are
 
 
+def test_removal_does_not_depend_on_the_blocks(spark):
+    """Cutting item B joins the halves of item A, which may be in a block that has passed: nothing is left with any number of
+    blocks, and the texts are the same."""
+    from citegraph.llm.decontaminate import Blocks, remove_contamination
+
+    items = [(k, " ".join(f"{c}{k}x{i}" for i in range(12))) for k in range(6) for c in "a"]
+    items += [(10 + k, " ".join(f"b{k}x{i}" for i in range(12))) for k in range(6)]
+    filler = " ".join(f"f{i}" for i in range(60))
+    docs = []
+    for d in range(30):
+        a, b = items[d % 6][1].split(), items[6 + d % 5][1].split()
+        docs.append((d, f"{filler} " + " ".join(a[:6] + b + a[6:]) + f" end{d}"))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    out = []
+    for size in (1 << 23, 300, 100):
+        blocks = Blocks(table, 10, size, "item_id", "text").n
+        assert (blocks == 1) == (size > 1000)
+        left = {r.doc_id: r.text for r in remove_contamination(clashing(frame(spark, docs), "words"), table, block_bytes=size).collect()}
+        assert len(left) == 30 and not any(n for _, _, n, _ in brute(left.items(), items))
+        out.append({d: t.split() for d, t in left.items()})
+    assert out[0] == out[1] == out[2]
+
+
 def test_empty_tables(spark):
     from citegraph.llm.decontaminate import find_contamination, remove_contamination
 
