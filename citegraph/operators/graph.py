@@ -188,15 +188,50 @@ def connected_components(nodes: DataFrame, edges: DataFrame, *, id_col: str = "i
     return comp.join(low, "c").select(F.col("v").alias(id_col), "component")
 
 
-def spanning_forest(nodes: DataFrame, edges: DataFrame, seed: int = 42, *, id_col: str = "id") -> DataFrame:
-    """The minimum spanning forest under unique md5 edge weights (Borůvka)."""
-    return _boruvka(nodes, edges, seed, id_col=id_col)[0]
-
-
-def _boruvka(nodes: DataFrame, edges: DataFrame, seed: int = 42, *, id_col: str = "id"):
+def spanning_forest(nodes: DataFrame, edges: DataFrame, seed: int = 42, *, id_col: str = "id", simple: bool = False) -> DataFrame:
+    """The minimum spanning forest under unique md5 edge weights (Borůvka). ``simple`` says that the edges are a
+    simple graph already (G1)."""
+    return _boruvka(nodes, edges, seed, id_col=id_col, simple=simple)[0]
+
+
+#: Edges of a contracted graph that one task takes (five numbers each).
+FINISH_EDGES = 1 << 20
+
+
+def _kruskal(batches):
+    """The spanning forest's edges among the components of a contracted graph, lightest first, and the root of every
+    component: rows ('edge', a, b) and ('root', component, root)."""
+    import numpy as np
+    import pandas as pd
+
+    parts = [pdf for pdf in batches if len(pdf)]
+    if not parts:
+        return
+    e = pd.concat(parts).sort_values(["w", "a", "b"])
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while (p := parent.setdefault(root, root)) != root:
+            root = p
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    taken = np.zeros(len(e), bool)
+    for k, (x, y) in enumerate(zip(e["ca"].tolist(), e["cb"].tolist())):
+        x, y = find(x), find(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            taken[k] = True
+    yield pd.DataFrame({"kind": "edge", "a": e["a"][taken], "b": e["b"][taken]})
+    yield pd.DataFrame({"kind": "root", "a": list(parent), "b": [find(x) for x in parent]})
+
+
+def _boruvka(nodes: DataFrame, edges: DataFrame, seed: int = 42, *, id_col: str = "id", simple: bool = False):
     """Borůvka rounds → (forest edges, component of every node).
 
-    Each round every component picks its lightest outgoing edge (``min`` of a
+    A contracted graph of at most ``FINISH_EDGES`` edges is finished by one task (:func:`_kruskal`). Above that, each round every component picks its lightest outgoing edge (``min`` of a
     (weight, a, b) struct, combined map-side), the picked edges join the forest, and components
     merge: each points to the component at the other end of its pick (a mutual pick is broken
     towards the smaller id), and pointer jumping finds the roots. The edge table is then contracted: edges
@@ -208,17 +243,21 @@ def _boruvka(nodes: DataFrame, edges: DataFrame, seed: int = 42, *, id_col: str
     from citegraph.session import RunTables
 
     run = RunTables(edges.sparkSession)
-    e = run.put(simple_graph(edges).select(
+    e = run.put((edges if simple else simple_graph(edges)).select(
         F.col("source").alias("a"), F.col("target").alias("b"), F.col("source").alias("ca"), F.col("target").alias("cb"),
         hash64(F.lit(seed), "source", "target").alias("w")))
     picks, maps = [], []
-    while True:
+    while (left := e.count()):
+        if left <= FINISH_EDGES:
+            rest = run.put(e.select("w", "a", "b", "ca", "cb").coalesce(1).mapInPandas(
+                _kruskal, "kind string, a long, b long"))
+            picks.append(rest.where("kind = 'edge'").select("a", "b"))
+            maps.append(rest.where("kind = 'root'").select(F.col("a").alias("c"), F.col("b").alias("p")))
+            break
         side = (e.select(F.col("ca").alias("c"), "w", "a", "b", F.col("cb").alias("other"))
                 .unionByName(e.select(F.col("cb").alias("c"), "w", "a", "b", F.col("ca").alias("other"))))
         pick = run.put(side.groupBy("c").agg(F.min(F.struct("w", "a", "b", "other")).alias("p"))
                        .select("c", F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("p.other").alias("other")))
-        if pick.isEmpty():
-            break
         picks.append(pick)
         # parent pointers; a mutual pick (a 2-cycle) is rooted at the smaller id
         rev = pick.select(F.col("c").alias("other"), F.col("other").alias("back"))
@@ -272,16 +311,16 @@ def split_links(nodes: DataFrame, edges: DataFrame, p: float = 0.1, seed: int =
     from citegraph.operators.sampling import least_hashed, sample_negative_links
     from citegraph.functions.hashing import hash64
 
-    e = simple_graph(edges)
+    from citegraph.session import cut_lineage
+
+    e = cut_lineage(simple_graph(edges))
     m = e.count()
     n_pos = int(math.floor(p * m + 0.5))
     pool = e
     if keep_connected:
-        pool = e.join(spanning_forest(nodes, e, seed, id_col=id_col), ["source", "target"], "left_anti")
+        pool = e.join(spanning_forest(nodes, e, seed, id_col=id_col, simple=True), ["source", "target"], "left_anti")
     keyed = pool.withColumn("_h", hash64(F.lit(seed), F.lit("split"), "source", "target"))
-    pos = least_hashed(keyed, n_pos, "_h", ["source", "target"]).select("source", "target")
-    from citegraph.session import cut_lineage
-    pos = cut_lineage(pos)
+    pos = cut_lineage(least_hashed(keyed, n_pos, "_h", ["source", "target"]).select("source", "target"))
     n_taken = pos.count()  # fewer than n_pos when the graph has fewer edges outside the forest
     neg = sample_negative_links(nodes, e, n_taken, seed, id_col=id_col)
     links = (pos.withColumn("label", F.lit(1))

@@ -14,10 +14,31 @@ def expand_neighbours(knn: DataFrame, citations: DataFrame, *, query_col: str =
     query's references, SURVEY Q1). Returns (query_id, rec_id).
     """
     nb = knn.select(F.col(query_col).alias("query_id"), F.col(neighbour_col).alias("rec_id"))
-    refs = (knn.select(F.col(query_col).alias("query_id"), F.col(neighbour_col).alias("source"))
-            .join(citations.select("source", F.col("target").alias("rec_id")), "source")
-            .select("query_id", "rec_id"))
-    return nb.unionByName(refs).distinct()
+    asks, refs = spread(nb.withColumnRenamed("rec_id", "source"), citations.select("source", "target"))
+    found = asks.join(refs, ["source", "salt", "part"]).select("query_id", F.col("target").alias("rec_id"))
+    return nb.unionByName(found).distinct()
+
+
+#: Rows of one join key on either side; a key with more is dealt over several.
+KEY_ROWS = 4096
+
+
+def spread(asks: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join of (query_id, source) with (source, target), with the further keys ``salt`` and ``part``.
+
+    A neighbour of many queries has its askers dealt by salt, and a copy of its references for each; a paper of many
+    references has these dealt into parts, and a copy of each asker for each. So no key has more than about KEY_ROWS rows on
+    either side. Who is that large is counted first (a map-side combined aggregate; few rows pass).
+    """
+    heavy = lambda df, name: (df.groupBy("source").agg(F.count("*").alias("n")).where(F.col("n") > KEY_ROWS)
+                              .select("source", F.ceil(F.col("n") / KEY_ROWS).cast("int").alias(name)))
+    salts, parts = heavy(asks, "salts"), heavy(refs, "parts")
+    sized = lambda df: df.join(salts, "source", "left").join(parts, "source", "left").fillna(1, ["salts", "parts"])
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    left = sized(asks).withColumn("salt", of("query_id", "salts")).withColumn("part", every("parts"))
+    right = sized(refs).withColumn("part", of("target", "parts")).withColumn("salt", every("salts"))
+    return left.drop("salts", "parts"), right.drop("salts", "parts")
 
 
 def matched_references(recs: DataFrame, truth: DataFrame) -> DataFrame:
@@ -46,25 +67,25 @@ def recommend_citations(decisions: DataFrame, truth: DataFrame, papers: DataFram
 
 
 def recommend_by_text(query_ids: DataFrame, papers: DataFrame, citations: DataFrame, model,
-                      k: int = 10, *, sep: str = " ", exclude_self: bool = True) -> DataFrame:
+                      k: int = 10, *, sep: str = " ", exclude_self: bool = True, exact: bool = False) -> DataFrame:
     """M8: the whole text route for listed papers.
 
-    P7 lookup → J1 text → F4 tokens → M3 inferred vector → T1 exact kNN against
-    every paper's vector (M4) → J8/U4 neighbours and their references → A11
-    precision / recall / F1 per query paper. ``model`` is a fitted MLlib
-    Word2Vec model (M1). Neighbours are keyed by paper id (SURVEY Q1) and the
-    query itself is excluded from its neighbours by default (Q2).
+    P7 lookup → J1 text → F4 tokens → M3 inferred paragraph vector → T2 search through the index (T1 with ``exact``)
+    among every paper's vector (M4) → J8/U4 neighbours and their references → A11 precision / recall / F1 per query
+    paper. ``model`` is a word model (M1). Neighbours are keyed by paper id (SURVEY Q1) and the query itself is
+    excluded from its neighbours by default (Q2).
     """
     from citegraph.functions.text import tokenize
-    from citegraph.operators.corpus import lookup_papers, paper_text
-    from citegraph.operators.embed import infer_vectors
+    from citegraph.operators.corpus import paper_text
     from citegraph.operators.metrics import recommendation_quality
+    from citegraph.operators.paragraphs import infer_paragraphs
+    from citegraph.operators.vector_index import ann_knn
     from citegraph.operators.vectors import knn
+    from citegraph.session import RunTables
 
     all_text = paper_text(papers.select("paper_id"), papers, sep)
-    corpus = infer_vectors(model, all_text.select("paper_id", tokenize("text").alias("tokens")))
-    q_text = lookup_papers(all_text, query_ids)
-    q_vec = infer_vectors(model, q_text.select("paper_id", tokenize("text").alias("tokens")))
-    nn = knn(q_vec, corpus, k, exclude_self=exclude_self)
-    recs = expand_neighbours(nn, citations)
-    return recommendation_quality(recs, citations)
+    corpus = RunTables(papers.sparkSession).put(infer_paragraphs(model, all_text.select("paper_id", tokenize("text").alias("tokens"))))
+    # a listed paper's vector is that of its text, which the corpus has
+    q_vec = corpus.join(query_ids.select(F.col("paper_id").alias("id")).distinct(), "id", "left_semi")
+    nn = (knn if exact else ann_knn)(q_vec, corpus, k, exclude_self=exclude_self)
+    return recommendation_quality(expand_neighbours(nn, citations), citations)

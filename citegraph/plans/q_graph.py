@@ -61,6 +61,18 @@ def q_typed_nodes(spark, d):
     return G.typed_nodes(g).select("id", "node_type", F.size("features").cast("bigint").alias("n_features"))
 
 
+@register("attributed_graph", V.sql_with(["vec_cites", "vectors"], """
+    SELECT u.source, u.target, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS product,
+           (SELECT count(DISTINCT id) FROM (SELECT source AS id FROM und UNION ALL SELECT target FROM und)) AS n_nodes
+    FROM und u JOIN vectors a ON a.id = u.source JOIN vectors b ON b.id = u.target""", [UND]))
+def q_attributed_graph(spark, d):
+    """Graph and features as one object: its edges with the inner product of their ends' features, and its number of nodes."""
+    g = G.AttributedGraph.build(V.vec_cites(spark, d), V.vectors(spark, d).select("id", "embedding"))
+    n = g.nodes.agg(F.count("*").alias("n_nodes"))
+    scored = G.link_score(g.edges, g.nodes, act="linear", vec_col="embedding")
+    return scored.select("source", "target", r6("score").alias("product")).join(n)  # one row
+
+
 @register("graph_summary", V.sql_with(["vec_cites", "vectors"], """
     SELECT count(*) AS n_nodes, sum(CASE WHEN degree = 0 THEN 1 ELSE 0 END)::BIGINT AS n_isolated,
            min(degree) AS min_degree, avg(degree) AS mean_degree, max(degree) AS max_degree,

@@ -3,6 +3,10 @@ document vectors, approximate search and the GCN as rows-only checks)."""
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from citegraph.functions.hashing import sql_hash64 as H
@@ -10,6 +14,8 @@ from citegraph.functions.text import tokenize
 from citegraph.operators import embed as EM
 from citegraph.operators import gnn
 from citegraph.operators import graph as G
+from citegraph.operators import link_head as LH
+from citegraph.operators import paragraphs as PG
 from citegraph.operators import sage as SG
 from citegraph.operators import sampling as S
 from citegraph.operators import vector_index as VI
@@ -19,7 +25,7 @@ from citegraph.plans.catalog import r6, register
 from citegraph.operators.dropout import Dropout, sql_mask
 from citegraph.operators.gnn import DROPOUT
 from citegraph.plans.q_graph import DIM, GCN_UNITS, HX, K1, K2, NORM, SAGE_UNITS, _w_sql
-from citegraph.session import cut_lineage
+from citegraph.session import RunTables, cut_lineage
 from citegraph.plans.q_sampling import (
     CAND_SQL, KEPT_SQL, LINKS_CTES, N_NEG, N_POSITIVE, P_HELD_OUT, SEED, UND, _negative_pairs, _pair_sizes, links, und,
 )
@@ -109,30 +115,108 @@ def q_pair_step_logloss(spark, d):
             .select("tbl", "idx", F.col("pos").cast("bigint").alias("pos"), r6("w").alias("w")))
 
 
+PAIR_EPOCHS = 15  # as in the reference
+
+
+def _pair_history(spark, d, objective):
+    def build():
+        n_p, n_r = _pair_sizes(spark, d)
+        return EM.train_pair_embeddings(V.pairs(spark, d), n_p, n_r, dim=PAIR_DIM, epochs=PAIR_EPOCHS, seed=SEED, objective=objective)[3]
+
+    return V.stored(spark, d, f"pairs_{objective}", ("lineitem",), build)
+
+
 @register("train_pairs")
 def q_train_pairs(spark, d):
-    """M5: three epochs of the pair model, each a synchronous step over all pairs and two non-pairs for each: loss history."""
-    n_p, n_r = _pair_sizes(spark, d)
-    _P, _R, _dense, hist = EM.train_pair_embeddings(V.pairs(spark, d), n_p, n_r, dim=PAIR_DIM, epochs=3, seed=SEED)
-    return hist
+    """M5: 15 epochs of the pair model by blocks, each over all pairs and two non-pairs for each: loss history."""
+    return _pair_history(spark, d, "mse")
 
 
 @register("train_pairs_logloss")
 def q_train_pairs_logloss(spark, d):
-    """M6: the classification variant (labels 1/0, sigmoid over the cosine)."""
-    n_p, n_r = _pair_sizes(spark, d)
-    _P, _R, _dense, hist = EM.train_pair_embeddings(V.pairs(spark, d), n_p, n_r, dim=PAIR_DIM, epochs=2, seed=SEED,
-                                            objective="logloss")
-    return hist
+    """M6: the classification variant (labels 1/0, sigmoid of the dense unit over the cosine)."""
+    return _pair_history(spark, d, "logloss")
+
+
+@register("pair_models_check", "SELECT objective, 15::BIGINT AS n_epochs, TRUE AS loss_fell FROM (VALUES ('mse'), ('logloss')) t(objective)")
+def q_pair_models_check(spark, d):
+    """M5 + M6: every epoch is there and the last loss is below the first."""
+    facts = [_pair_history(spark, d, o).agg(F.count("*").alias("n_epochs"), (F.max_by("loss", "epoch") < F.min_by("loss", "epoch")).alias("loss_fell"))
+             .select(F.lit(o).alias("objective"), "*") for o in ("mse", "logloss")]
+    return facts[0].unionByName(facts[1])
+
+
+PASSES = 10  # as in the reference
+
+
+def _tokens(spark, d):
+    return V.papers(spark, d).select("paper_id", tokenize(F.concat_ws(" ", "title", "abstract")).alias("tokens"))
+
+
+def words(spark, d):
+    """M1: the word model of all papers' texts (100 dims, 10 passes; the vocabulary is bounded), trained once a session."""
+    return V.stored(spark, d, "words", ("documents",), lambda: PG.train_words(_tokens(spark, d), dim=100, passes=PASSES))
+
+
+def paragraph_vectors(spark, d):
+    """M4: every paper's vector by the stored word model."""
+    return V.stored(spark, d, "paragraphs", ("documents",),
+                    lambda: PG.infer_paragraphs(PG.WordModel.load(words(spark, d)), _tokens(spark, d)))
 
 
 @register("doc_vectors")
 def q_doc_vectors(spark, d):
-    """M1 + M3 + M4: Word2Vec document vectors (100 dims) for every paper text."""
-    papers = V.papers(spark, d)
-    toks = papers.select("paper_id", tokenize(F.concat_ws(" ", "title", "abstract")).alias("tokens"))
-    model = EM.train_doc_vectors(toks, dim=100, passes=1)
-    return EM.infer_vectors(model, toks).select("id", F.size("embedding").alias("dim"))
+    """M1 + M3 + M4: paragraph vectors (100 dims) of every paper's text, rounded."""
+    return paragraph_vectors(spark, d).select("id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
+LEAST_TOKENS = 20  # texts of the near-copy check
+
+
+@register("doc_vectors_check", V.sql_with(["papers"], """
+    SELECT count(*) AS n_papers, TRUE AS dims_ok, TRUE AS known_ok, TRUE AS same_text_ok, TRUE AS recall_ok FROM papers"""))
+def q_doc_vectors_check(spark, d):
+    """M3 / M4: 100 numbers for every paper, not all 0 for a text of known words; equal texts have equal vectors; and unseen
+    near copies (every tenth token dropped) find the vector of their original among the ten nearest in at least 0.9 of the cases."""
+    toks, vecs = _tokens(spark, d), paragraph_vectors(spark, d)
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    facts = vecs.agg(F.count("*").alias("n_papers"), F.min(F.size("embedding") == 100).alias("dims_ok"))
+    known = toks.select("paper_id", F.explode("tokens").alias("word")).join(words(spark, d).select("word"), "word", "left_semi")
+    known = known.select(F.col("paper_id").alias("id")).distinct().join(vecs, "id").agg(F.coalesce(F.min(length > 0), F.lit(True)).alias("known_ok"))
+    both = toks.select(F.col("paper_id").alias("id"), F.md5(F.array_join("tokens", " ")).alias("text")).join(vecs, "id")
+    same = both.groupBy("text").agg(F.countDistinct(F.transform("embedding", lambda x: F.round(x, 9))).alias("n"))
+    same = same.agg((F.max("n") == 1).alias("same_text_ok"))
+    copies = (toks.where(F.size("tokens") >= LEAST_TOKENS)
+              .select("paper_id", F.filter("tokens", lambda x, i: (i + 1) % 10 != 0).alias("tokens")))
+    copies = cut_lineage(VE.unit_embeddings(PG.infer_paragraphs(PG.WordModel.load(words(spark, d)), copies)))
+    near = VI.ann_knn(copies, VE.unit_embeddings(vecs), 10)
+    # a text that stands many times in the corpus is found in any of its papers
+    text = both.select("id", "text")
+    hits = (near.join(text.withColumnRenamed("id", "neighbour_id"), "neighbour_id")
+            .join(text.select(F.col("id").alias("query_id"), F.col("text").alias("own")), "query_id")
+            .where("text = own").agg(F.countDistinct("query_id").alias("hits")))
+    asked = copies.agg(F.count("*").alias("asked"))
+    return (facts.join(known).join(same).join(hits).join(asked)
+            .select("n_papers", "dims_ok", "known_ok", "same_text_ok", (F.col("hits") >= F.col("asked") * 0.9).alias("recall_ok")))
+
+
+@register("word_model_store", V.sql_with(["papers"], "SELECT TRUE AS same_words, TRUE AS same_vectors, TRUE AS same_inference"))
+def q_word_model_store(spark, d):
+    """The word model and a fitted MLlib model, stored and loaded again, give equal words, vectors and inferred texts."""
+    from citegraph.plans.q_sources import stored_as
+
+    one = words(spark, d)
+    two = stored_as(spark, one, "words")
+    toks = _tokens(spark, d)
+    fitted = EM.train_doc_vectors(toks, dim=16, min_count=5, passes=1)
+    folder = f"{RunTables(spark).root}/{uuid.uuid4().hex}"
+    PG.save_word2vec(fitted, folder)
+    before, after = (EM.infer_vectors(m, toks) for m in (fitted, PG.load_word2vec(spark, folder)))
+    moved = before.join(after.withColumnRenamed("embedding", "again"), "id").agg(F.min(F.col("embedding") == F.col("again")).alias("same_inference"))
+    n = one.count()
+    same = one.join(two.select("word", F.col("vector").alias("again")), "word").agg(
+        (F.count("*") == n).alias("same_words"), F.min(F.col("vector") == F.col("again")).alias("same_vectors"))
+    return same.join(moved)
 
 
 @register("ann_knn")
@@ -412,14 +496,95 @@ def q_link_models_check(spark, d):
     return out[0].unionByName(out[1])
 
 
+HEAD_LR = 0.01
+_FEATURE = {"hadamard": "a * b", "l1": "abs(a - b)", "l2": "(a - b) * (a - b)", "avg": "(a + b) / 2.0"}
+_ENDS = ("ends", """SELECT l.source, l.target, l.label AS y, x.pos, x.x AS a, z.x AS b
+                    FROM links l JOIN hx x ON x.id = l.source JOIN hx z ON z.id = l.target AND z.pos = x.pos""")
+
+
+def _feature_sql(op: str) -> str:
+    """(source, target, y, pos, f)"""
+    if op == "concat":
+        return f"SELECT source, target, y, pos, a AS f FROM ends UNION ALL SELECT source, target, y, {DIM} + pos, b FROM ends"
+    return f"SELECT source, target, y, pos, {_FEATURE[op]} AS f FROM ends"
+
+
+@register("link_embeddings", V.sql_with(["vec_cites", "vectors"], " UNION ALL ".join(
+    f"""SELECT '{op}' AS op, source, target, count(*) AS dim, round(sum(f), 6) AS total, round(sum(f * (pos + 1)), 4) AS weighted
+        FROM ({_feature_sql(op)}) GROUP BY 1, 2, 3""" for op in LH.OPS), LINKS_CTES + [HX, _ENDS]))
+def q_link_embeddings(spark, d):
+    """The five link embeddings of every sampled link (their length, sum, and sum by position)."""
+    h = V.vectors(spark, d).select("id", F.col("embedding").cast("array<double>").alias("h"))
+    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
+    weighted = F.aggregate(F.transform("e", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    out = [G.link_score(links(spark, d), h, op=op).withColumnRenamed("link_embedding", "e").select(
+        F.lit(op).alias("op"), "source", "target", F.size("e").cast("bigint").alias("dim"), r6(total).alias("total"),
+        F.round(weighted, 4).alias("weighted")) for op in LH.OPS]
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def _head_sql() -> str:
+    """One Adam step of every head, and the slope at both ends' vectors (summed over their components)."""
+    sign = lambda g: f"{HEAD_LR!r} * ({g}) / (abs({g}) + 1e-7)"
+    at = {"hadamard": ("W.w * e.b", "W.w * e.a"), "l1": ("W.w * sign(e.a - e.b)", "W.w * sign(e.b - e.a)"),
+          "l2": ("2 * W.w * (e.a - e.b)", "2 * W.w * (e.b - e.a)"), "avg": ("W.w / 2", "W.w / 2"), "concat": ("W.w", "U.w")}
+    ctes, rows = [], []
+    for op in LH.OPS:
+        size = 2 * DIM if op == "concat" else DIM
+        ctes += [(f"W_{op}", _w_sql(f"head_{op}", SEED, size, 1)), (f"f_{op}", _feature_sql(op)),
+                 (f"g_{op}", f"""SELECT source, target, (1.0 / (1.0 + exp(-sum(f.f * W.w))) - any_value(f.y)) / (SELECT count(*) FROM links) AS g
+                                 FROM f_{op} f JOIN W_{op} W ON W.i = f.pos GROUP BY 1, 2"""),
+                 (f"dw_{op}", f"""SELECT f.pos, sum(g.g * f.f) AS g FROM f_{op} f JOIN g_{op} g ON g.source = f.source AND g.target = f.target
+                                  GROUP BY 1""")]
+        other = f"JOIN W_{op} U ON U.i = e.pos + {DIM}" if op == "concat" else ""
+        ends = f"FROM ends e JOIN g_{op} g ON g.source = e.source AND g.target = e.target JOIN W_{op} W ON W.i = e.pos {other}"
+        rows += [f"SELECT '{op}' AS op, 'w' AS part, W.i AS at, round(W.w - {sign('d.g')}, 6) AS x FROM W_{op} W JOIN dw_{op} d ON d.pos = W.i",
+                 f"SELECT '{op}', 'bias', 0, round(-{sign('sum(g)')}, 6) FROM g_{op}",
+                 f"""SELECT '{op}', 'node', id, round(sum(x) * 1000, 6) FROM (SELECT e.source AS id, g.g * {at[op][0]} AS x {ends}
+                     UNION ALL SELECT e.target, g.g * {at[op][1]} {ends}) GROUP BY id"""]
+    return V.sql_with(["vec_cites", "vectors"], " UNION ALL ".join(rows), LINKS_CTES + [HX, _ENDS] + ctes)
+
+
+@register("link_head_step", _head_sql())
+def q_link_head_step(spark, d):
+    """One Adam step of the logistic head over each of the five link embeddings from md5 weights, and the loss' slope
+    through both ends at every node's vector (a thousand times its sum)."""
+    h = V.vectors(spark, d).select("id", F.col("embedding").alias("h"))
+    ends = cut_lineage(LH.with_ends(links(spark, d), h))
+    n, out = ends.count(), []
+    for op in LH.OPS:
+        w = gnn.glorot(SEED, f"head_{op}", DIM * (2 if op == "concat" else 1), 1)[:, 0]
+        _loss, gw, gb = LH.head_gradients(ends, n, op, w, 0.0)
+        new, bias = gnn.AdamState([w.shape, (1,)], HEAD_LR).step([w, np.zeros(1)], [gw, np.array([gb])])
+        cells = [("w", i, float(x)) for i, x in enumerate(new)] + [("bias", 0, float(bias[0]))]
+        node = LH.end_gradients(ends, n, op, w, 0.0).select(
+            F.lit("node").alias("part"), F.col("id").alias("at"), (F.aggregate("g", F.lit(0.0), lambda a, x: a + x) * 1000).alias("x"))
+        out.append(spark.createDataFrame(cells, "part string, at long, x double").unionByName(node).select(F.lit(op).alias("op"), "part", "at", r6("x").alias("x")))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 @register("text_recs")
 def q_text_recs(spark, d):
-    """M8: text route for every paper: Word2Vec vectors → 10 nearest → their references → quality."""
+    """M8: text route for every paper: paragraph vectors → 10 nearest through the index → their references → quality."""
     from citegraph.operators.recommend import recommend_by_text
 
     papers = V.papers(spark, d)
-    toks = papers.select("paper_id", tokenize(F.concat_ws(" ", "title", "abstract")).alias("tokens"))
-    model = EM.train_doc_vectors(toks, dim=100, passes=1)
-    q = recommend_by_text(papers.select("paper_id"), papers, V.doc_cites(spark, d), model, 10)
+    q = recommend_by_text(papers.select("paper_id"), papers, V.doc_cites(spark, d), PG.WordModel.load(words(spark, d)), 10)
     return q.select(F.col("query_id").alias("paper_id"), "n_true", "n_recommended", "n_matched",
                     r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"))
+
+
+@register("rec_quality_ann", V.sql_with(["vectors"], """
+    SELECT count(*) AS n_papers, TRUE AS bounded, TRUE AS like_exact FROM vectors"""))
+def q_rec_quality_ann(spark, d):
+    """T2 + J8 + A11: recommendations through the index for every paper; the mean number of recommendations is within a
+    twentieth of that by the exact search."""
+    from citegraph.operators import metrics as M, recommend as RC
+
+    vec, cites = V.vectors(spark, d), V.vec_cites(spark, d)
+    out = []
+    for nn in (VI.ann_knn(vec, vec, 10, exclude_self=True), VE.knn(vec, vec, 10, exclude_self=True)):
+        out.append(M.recommendation_quality(RC.expand_neighbours(nn, cites), cites).agg(
+            F.count("*").alias("n"), F.avg("n_recommended").alias("rec"), F.min(F.col("precision").between(0, 1)).alias("bounded")))
+    exact = out[1].select(F.col("rec").alias("exact"))
+    return out[0].join(exact).select(F.col("n").alias("n_papers"), "bounded", F.col("rec").between(F.col("exact") * 0.95, F.col("exact") * 1.05).alias("like_exact"))

@@ -123,3 +123,45 @@ def test_forest_of_a_long_path_and_isolated_nodes(spark):
     assert G.spanning_forest(nodes, e).count() == 200
     comp = {r["id"]: r["component"] for r in G.connected_components(nodes, e).collect()}
     assert comp == {i: 0 if i <= 200 else i for i in range(210)}
+
+
+def test_forest_is_the_same_with_and_without_rounds(spark, monkeypatch):
+    """Contraction rounds, one task at the end, or both: one minimum forest, the same components."""
+    import numpy as np
+
+    from citegraph.operators import graph as G
+
+    rng = np.random.default_rng(8)
+    edges = sorted({tuple(sorted(map(int, rng.integers(0, 120, 2)))) for _ in range(260)} - {(i, i) for i in range(120)})
+    edges += [(0, k) for k in range(200, 260)]  # a hub
+    e = spark.createDataFrame(edges, "source long, target long")
+    nodes = spark.range(300)
+    found = []
+    for most in (1 << 20, 40, 0):
+        monkeypatch.setattr(G, "FINISH_EDGES", most)
+        forest = {(r["source"], r["target"]) for r in G.spanning_forest(nodes, e, 7).collect()}
+        comp = {r["id"]: r["component"] for r in G.connected_components(nodes, e, seed=7).collect()}
+        assert len(comp) == 300 and len(forest) == 300 - len(set(comp.values()))
+        found.append((forest, comp))
+    assert found[0] == found[1] == found[2]
+
+
+def test_hub_neighbours_are_dealt(spark, monkeypatch):
+    """A neighbour of all queries, and one with very many references, land in no single join key; nothing is lost."""
+    from pyspark.sql import functions as F
+
+    from citegraph.operators import recommend as RC
+
+    monkeypatch.setattr(RC, "KEY_ROWS", 50)
+    knn = spark.createDataFrame([(q, n) for q in range(400) for n in (7, 8 + q % 30)], "query_id long, neighbour_id long")
+    cites = spark.createDataFrame([(7, 1000 + k) for k in range(320)] + [(n, n + 1) for n in range(8, 38)], "source long, target long")
+    asks, refs = RC.spread(knn.withColumnRenamed("neighbour_id", "source"), cites)
+    key = ["source", "salt", "part"]
+    for side in (asks, refs):
+        assert side.groupBy(key).count().agg(F.max("count")).first()[0] < 110
+    got = {(r[0], r[1]) for r in RC.expand_neighbours(knn, cites).collect()}
+    out = {}
+    for s, t in cites.collect():
+        out.setdefault(s, set()).add(t)
+    want = {(q, x) for q, n in knn.collect() for x in {n} | out.get(n, set())}
+    assert got == want

@@ -70,13 +70,47 @@ def test_logloss_gradients_finite_difference(spark):
 
 def test_pair_training_uses_all_pairs_and_loss_falls(spark):
     pairs = spark.createDataFrame([(p, p % 3) for p in range(12)] * 2, "paper_idx long, ref_idx long")
-    for objective in ("mse", "logloss"):
-        P, R, dense, hist = EM.train_pair_embeddings(pairs, 12, 3, dim=4, epochs=5, objective=objective, opt=EM.Adam(lr=0.05))
+    for objective, blocks in (("mse", 1), ("logloss", 1), ("mse", 2)):
+        before = tables(spark)
+        P, R, dense, hist = EM.train_pair_embeddings(pairs, 12, 3, dim=4, epochs=5, objective=objective, opt=EM.Adam(lr=0.05), blocks=blocks)
+        assert len(tables(spark) - before) == 1  # the last state, which P and R are read from
         losses = [r["loss"] for r in hist.orderBy("epoch").collect()]
         assert losses[-1] < losses[0] and P.count() == 12 and R.count() == 3
         assert (dense.w, dense.b) != (1.0, 0.0) if objective == "logloss" else (dense.w, dense.b) == (1.0, 0.0)
 
 
+def test_block_training_equals_the_step(spark):
+    """One block: the step over all pairs, by plain DataFrame operations. Several: every pair once an epoch, no block in two
+    tasks, and each round is the step over its pairs."""
+    from functools import reduce
+
+    rng = np.random.default_rng(3)
+    n_p, n_r, dim = 11, 7, 4
+    rows = [(int(p), int(r), float(y)) for p, r, y in zip(rng.integers(0, n_p, 60), rng.integers(0, n_r, 60), rng.integers(0, 2, 60))]
+    batch = spark.createDataFrame(rows, "paper_idx long, ref_idx long, label double").cache()
+    ids = lambda n: spark.range(n).withColumnRenamed("id", "idx")
+    table = lambda df: {r["idx"]: np.array([r["w"], r["m"], r["s"]]) for r in df.collect()}
+    for objective in ("mse", "logloss"):
+        for blocks in (1, 3):
+            P, R, unit = EM.init_table(ids(n_p), dim, 5, "P"), EM.init_table(ids(n_r), dim, 5, "R"), EM.DenseUnit()
+            state = reduce(lambda a, b: a.unionByName(b), [EM.block_state(n, blocks, dim, 5, s, spark) for n, s in ((n_p, "P"), (n_r, "R"))]).cache()
+            opt = EM.Adam(lr=0.05)
+            for rnd in range(blocks):
+                now = batch.where((F.col("ref_idx") % blocks - F.col("paper_idx") % blocks + blocks) % blocks == rnd)
+                n = now.count()
+                P, R, after, loss = EM.pair_step(now, P, R, rnd + 1, opt, objective, unit)
+                P, R = P.cache(), R.cache()
+                counted = now.groupBy("paper_idx", "ref_idx", "label").agg(F.count("*").alias("times"))
+                state = EM.block_round(state, counted, rnd, n, rnd + 1, dim=dim, blocks=blocks, opt=opt, objective=objective, unit=unit).cache()
+                part = np.sum([r["w"] for r in state.where("side = 'loss'").collect()], axis=0)
+                assert np.isclose(part[0] / n, loss)
+                unit = unit.step(part[1], part[2], rnd + 1, opt) if objective != "mse" else unit
+                assert np.isclose((unit.w, unit.b), (after.w, after.b)).all()
+            for side, want in (("P", table(P)), ("R", table(R))):
+                got = table(EM.block_rows(state, side, blocks, dim))
+                assert got.keys() == want.keys() and all(np.allclose(got[i], want[i]) for i in want)
+
+
 def test_doc_vectors_same_text_same_vector(spark):
     """M1, M3: equal texts have equal vectors, near copies are nearer than others."""
     rng = np.random.default_rng(0)
@@ -90,6 +124,48 @@ def test_doc_vectors_same_text_same_vector(spark):
     assert all(near < np.linalg.norm(got[0] - got[i]) for i in range(1, 30))
 
 
+def test_paragraph_vectors(spark, tmp_out):
+    """M3: same text, same vector, in any company; unseen near copies are nearest to their original; odd texts; S9."""
+    from citegraph.operators import paragraphs as PG
+    from citegraph.sources import io
+
+    rng = np.random.default_rng(0)
+    texts = [[f"t{x}" for x in rng.integers(20 * (i % 4), 20 * (i % 4) + 30, 60)] for i in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100, texts[5]), (101, []), (102, None), (103, ["never", "seen"])]
+    df = spark.createDataFrame(rows, "paper_id long, tokens array<string>")
+    words = PG.train_words(df.where("paper_id <> 103"), dim=16, passes=5, partitions=2)
+    io.save_table(words, f"{tmp_out}/words", "words")
+    model = PG.WordModel.load(io.load_table(spark, f"{tmp_out}/words", "words"))
+    got = {r["id"]: np.array(r["embedding"]) for r in PG.infer_paragraphs(model, df.repartition(5)).collect()}
+    assert len(got) == 64 and (got[5] == got[100]).all() and not any(got[i].any() for i in (101, 102, 103))
+    alone = PG.infer_paragraphs(model, df.where("paper_id = 7")).first()["embedding"]
+    assert np.allclose(alone, got[7], atol=1e-6)
+    unit = {i: v / np.linalg.norm(v) for i, v in got.items() if i < 60}
+    hits = 0
+    for i, t in enumerate(texts):
+        v = model.infer([w for k, w in enumerate(t) if k % 10])
+        near = sorted(unit, key=lambda j: -unit[j] @ v)[:10]
+        hits += i in near
+    assert hits >= 54
+    # more negatives' scores than the words' would mean that nothing was learned
+    d = model.infer(texts[0])
+    own = model.vectors[[model.index[w] for w in texts[0]]] @ d
+    assert own.mean() > (model.vectors @ d).mean()
+
+
+def test_vocabulary_bound(spark):
+    from citegraph.operators import paragraphs as PG
+
+    df = spark.createDataFrame([(i, [f"w{k}" for k in range(i)]) for i in range(1, 31)], "paper_id long, tokens array<string>")
+    from citegraph.operators.corpus import vocabulary
+
+    counts = vocabulary(df)  # w0 stands 30 times, w29 once
+    assert PG.least_count(counts, 1, 100) == 1 and PG.least_count(counts, 5, 100) == 5
+    floor = PG.least_count(counts, 1, 10)
+    assert counts.where(F.col("n") >= floor).count() == 10
+    assert PG.train_words(df, dim=4, max_words=10, passes=1, partitions=1).count() == 10
+
+
 def test_learning_rate_schedule():
     r = EM.learning_rate_schedule()
     assert len(r) == 10 and r[0] == 0.025 and abs(r[-1] - (0.025 - 9 * 0.0002)) < 1e-15
@@ -101,7 +177,7 @@ def tables(spark):
 
     from citegraph.session import RunTables
 
-    root = RunTables(spark).root
+    root = RunTables(spark).root.removeprefix("file:")
     return set(os.listdir(root)) if os.path.isdir(root) else set()
 
 
@@ -274,3 +350,41 @@ def test_gcn_gradient_finite_difference(spark):
         dn[which][idx] -= eps
         fd = (loss_of(up) - loss_of(dn)) / (2 * eps)
         assert abs(fd - grads[which][idx]) < 1e-5 + 1e-3 * abs(fd), (which, idx, fd, grads[which][idx])
+
+
+def test_link_head(spark):
+    """Slopes of the head and of both ends by finite differences, all five embeddings; training lowers the loss."""
+    from citegraph.operators import link_head as LH
+
+    rng = np.random.default_rng(4)
+    n, dim = 9, 3
+    x = rng.normal(size=(n, dim))
+    rows = [(int(a), int(b), int(y)) for a, b, y in zip(rng.integers(0, n, 30), rng.integers(0, n, 30), rng.integers(0, 2, 30)) if a != b]
+    links = spark.createDataFrame(rows + rows[:2], "source long, target long, label int")
+    total = len(rows) + 2
+    emb = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, h array<double>")
+    ends = LH.with_ends(links, emb).cache()
+
+    def loss(vectors, w, b, op):
+        src, dst, y = (np.array(c) for c in zip(*(rows + rows[:2])))
+        p = 1 / (1 + np.exp(-(LH.combine(vectors[src], vectors[dst], op) @ w + b)))
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    for op in LH.OPS:
+        w, b = rng.normal(size=dim * (2 if op == "concat" else 1)), 0.3
+        got, gw, gb = LH.head_gradients(ends, total, op, w, b)
+        assert np.isclose(got, loss(x, w, b, op))
+        nodes = {r["id"]: np.array(r["g"]) for r in LH.end_gradients(ends, total, op, w, b).collect()}
+        eps = 1e-6
+        for k in range(len(w)):
+            d = np.eye(len(w))[k] * eps
+            assert np.isclose((loss(x, w + d, b, op) - loss(x, w - d, b, op)) / (2 * eps), gw[k], atol=1e-7)
+        assert np.isclose((loss(x, w, b + eps, op) - loss(x, w, b - eps, op)) / (2 * eps), gb, atol=1e-7)
+        for i, g in nodes.items():
+            for k in range(dim):
+                up, down = x.copy(), x.copy()
+                up[i, k] += eps
+                down[i, k] -= eps
+                assert np.isclose((loss(up, w, b, op) - loss(down, w, b, op)) / (2 * eps), g[k], atol=1e-7), (op, i, k)
+    w, b, losses = LH.train_link_head(links, emb, op="l2", epochs=8, lr=0.1)
+    assert losses[-1] < losses[0] and LH.score_head(links, emb, "l2", w, b).where("score between 0 and 1").count() == total

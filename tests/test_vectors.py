@@ -111,21 +111,25 @@ def test_rank_all_is_a_full_dense_order(spark):
     assert r[-1]["neighbour_id"] == 7  # a unit row is most similar to itself
 
 
-def test_recommend_by_text_runs(spark):
+def test_recommend_by_text(spark):
+    """M8 through the index and exactly: a row for every listed paper, the same counts for nearly all."""
     from pyspark.sql import functions as F
 
     from citegraph.functions.text import tokenize
-    from citegraph.operators import embed as EM
+    from citegraph.operators import paragraphs as PG
     from citegraph.operators.recommend import recommend_by_text
 
     papers = V.papers(spark, SF)
     toks = papers.select("paper_id", tokenize(F.concat_ws(" ", "title", "abstract")).alias("tokens"))
-    model = EM.train_doc_vectors(toks, dim=16, passes=1, partitions=2)
+    model = PG.WordModel.load(PG.train_words(toks, dim=16, passes=2, partitions=2))
     ids = papers.select("paper_id").where("paper_id < 20")
-    q = recommend_by_text(ids, papers, V.doc_cites(spark, SF), model, 3)
-    rows = q.collect()
-    assert len(rows) == 20
-    assert all(r["n_recommended"] >= 3 and 0.0 <= r["precision"] <= 1.0 for r in rows)
+    found = []
+    for exact in (False, True):
+        rows = recommend_by_text(ids, papers, V.doc_cites(spark, SF), model, 3, exact=exact).collect()
+        assert len(rows) == 20
+        assert all(r["n_recommended"] >= 3 and 0.0 <= r["precision"] <= 1.0 for r in rows)
+        found.append({r["query_id"]: r["n_recommended"] for r in rows})
+    assert sum(found[0][q] == n for q, n in found[1].items()) >= 16
 
 
 def _copies(spark, norm, noise, n=400, near=60, dim=16):
