@@ -16,7 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import byte_table, per_batch, smallest
+from citegraph.llm.common import byte_table, per_batch, released, smallest
+from citegraph.llm.labelled import one_text
 from citegraph.llm.ngrams import counts, inverse_frequencies, tf_idf
 
 NS, BITS = (1, 2, 3), 12
@@ -97,12 +98,12 @@ class LanguageModel:
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
         per_lang: int = PER_LANG, centroids: int = CENTROIDS) -> LanguageModel:
     """Learn from the rows of ``docs`` with a language, an id and a letter. N-gram weights come from all of
-    them, centroids from the ``per_lang`` rows of each language with the smallest hash of the id."""
+    them, centroids from the ``per_lang`` ids of each language with the smallest hash, one row of each."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").rlike("\\p{L}"))
     idf = inverse_frequencies(rows, "text", features, 1 << BITS)
     chosen = smallest(rows.select("id", "lang").distinct(), "lang", per_lang, "id")
-    sample = rows.join(F.broadcast(chosen), ["id", "lang"]).select("id", "lang", "text")
+    sample = one_text(rows.join(F.broadcast(chosen), ["id", "lang"]), "id", "lang")
     bc = docs.sparkSession.sparkContext.broadcast(idf)
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -152,4 +153,8 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text",
 
     schema = docs.drop(*out_cols).schema
     schema = schema.add(out_cols[0], "string").add(out_cols[1], "double").add(out_cols[2], "boolean")
-    return rows.mapInArrow(per_batch(run, 128), schema)
+    def whole(batches):
+        yield from per_batch(run, 128)(batches)
+        released()
+
+    return rows.mapInArrow(whole, schema)

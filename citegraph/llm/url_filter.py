@@ -70,7 +70,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     """``id_col, host, path, rule, verdict, score`` of every row: the verdict of the longest rule
     that fits, else the trees' (block from a score of 0.5 on). ``score`` is the trees' probability of ``block``.
 
-    If the labelled URLs hold only one verdict or none, the others get that one, or ``allow``. Null urls are judged
+    The trees learn from up to ``per_class`` distinct labelled URLs of each verdict, those with the smallest hash. If the
+    labelled URLs hold only one verdict or none, the others get that one, or ``allow``. Null urls are judged
     as empty ones; other columns are not read.
     """
     spark = pages.sparkSession
@@ -81,7 +82,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     rows = rows.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules)).withColumns(lexical("url"))
 
     labelled = rows.where("fit is not null").withColumn("y", (F.col("fit.verdict") == "block").cast("double"))
-    sample = store.put(smallest(labelled.select("y", "url", "suffix", *FEATURES[:-1]), "y", per_class, "url"), "sample")
+    # distinct urls: the copies of a hot one count as one (map-side first)
+    labelled = labelled.select("y", "url", "suffix", *FEATURES[:-1]).dropDuplicates(["url"])
+    sample = store.put(smallest(labelled, "y", per_class, "url"), "sample")
     classes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rate = classes.get(1.0, 0) / max(1, sum(classes.values()))
     suffixes = F.broadcast(sample.groupBy("suffix").agg(  # at most one row for each sampled url

@@ -49,3 +49,52 @@ def test_trees_learn_and_edge_cases(spark):
     one = judge(pages(spark, URLS), [("block", "org/")]).where(F.col("rule").isNull())
     assert {r.verdict for r in one.collect()} == {"block"}  # the only labelled verdict
     assert judge(pages(spark, URLS).where("false"), rules[:3]).count() == 0
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    """A hot url, over ``per_class`` times in the table, is one url to the trees."""
+    from citegraph.llm.url_filter import judge
+
+    urls = [f"http://h{i}.org/" + ("a-b-c-d/" * (i % 3 + 2) if i % 2 else f"p{i}") for i in range(300)]
+    rules = [("block", f"h{i}.org/a") for i in range(1, 200, 2)] + [("allow", f"h{i}.org/p") for i in range(0, 200, 2)]
+    hot = [urls[1]] * 200 + [urls[0]] * 200
+    plain = {r.url_id: (r.verdict, round(r.score, 9)) for r in judge(pages(spark, urls).withColumnRenamed("page_id", "url_id"), rules,
+                                                                      id_col="url_id", per_class=100).collect()}
+    full = judge(pages(spark, urls + hot).withColumnRenamed("page_id", "url_id"), rules, id_col="url_id", per_class=100).collect()
+    assert {r.url_id: (r.verdict, round(r.score, 9)) for r in full if r.url_id is None or r.url_id < 300} == plain
+
+
+def test_scores_follow_the_trees(spark):
+    """The score of a url that no rule fits: the logistic of twice the trees' weighted sum, walked by hand."""
+    import numpy as np
+    from pyspark.ml.classification import GBTClassificationModel
+
+    from citegraph.llm import url_filter as m
+
+    kept = []
+    fit = m.GBTClassifier.fit
+
+    class Kept(m.GBTClassifier):
+        def fit(self, *a, **k):
+            kept.append(fit(self, *a, **k))
+            return kept[-1]
+
+    old, m.GBTClassifier = m.GBTClassifier, Kept
+    seen = []
+    transform = GBTClassificationModel.transform
+
+    def watched(self, df, *a):
+        seen.append(df)
+        return transform(self, df, *a)
+
+    GBTClassificationModel.transform = watched
+    try:
+        urls = [f"http://h{i}.org/" + ("a-b-c-d/" * (i % 3 + 2) if i % 2 else f"p{i}") for i in range(300)]
+        rules = [("block", f"h{i}.org/a") for i in range(1, 200, 2)] + [("allow", f"h{i}.org/p") for i in range(0, 200, 2)]
+        got = {r.page_id: r.score for r in m.judge(pages(spark, urls), rules, trees=4).collect()}
+    finally:
+        m.GBTClassifier, GBTClassificationModel.transform = old, transform
+    model = kept[0]
+    for r in seen[-1].select("id", "features").collect():
+        z = sum(w * t.predict(r.features) for w, t in zip(model.treeWeights, model.trees))
+        assert np.isclose(got[r.id], 1 / (1 + np.exp(-2 * z)), atol=1e-9)
