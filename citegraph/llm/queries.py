@@ -57,12 +57,11 @@ BYTE_BPE = os.environ.get("BYTE_BPE_FILE", "/opt/tokenizers/byte_bpe_50k.json")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every document (their number and a digest), and whether decoding gives the text back."""
-    from citegraph.llm.sentencepiece import Model, decode, encode
+    """Ids of every document by Viterbi (their number and a digest), and whether decoding gives the text back."""
+    from citegraph.llm.sentencepiece import Model, encode
 
-    model = Model.read(TOKENIZER)
-    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    return decode(ids, model).select(
+    model = Model.read(TOKENIZER, unigram=True)
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, decoded_col="decoded").select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))

@@ -5,12 +5,13 @@ read). Distinct words of equal length are encoded together: their substrings' ha
 probed in the sorted hashes of the pieces, position after position for all words at once.
 
 * Unigram models: Viterbi. At each position the vectorised maximum over the pieces that end there
-  stores the best score and a backpointer.
+  stores the best score and a backpointer. A model file of another kind can be read as a unigram model: its pieces, with
+  the log-probabilities that Zipf's law gives to their order in the file (which is one of falling frequency).
 * BPE models: the additive scores of a Viterbi search do not give the segmentation these models define
   (their scores are merge ranks), so here the vectorised maximum picks the pair to merge next in every
   word, leftmost on ties. The ids equal those of the sentencepiece library.
 
-Words seen before come from a bounded cache in each Python worker. Decoding joins the pieces' bytes.
+Words seen before in a task come from a bounded cache. Decoding joins the pieces' bytes.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +27,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from citegraph.llm.common import per_batch
+from citegraph.llm.common import per_batch, released
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 #: Types of pieces in a model file (fixed values of the format).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words encoded together are at most this long; longer ones are merged one by one with a heap.
+#: Words encoded together are at most this long; longer ones are encoded one by one.
 LONG = 48
-CACHED_WORDS = 300_000
+#: Bytes of words and ids that a task keeps.
+CACHED_BYTES = 48 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -102,8 +105,9 @@ class Model:
         self.lowest = float(self.scores[list(self.ids.values())].min()) if self.ids else 0.0
 
     @classmethod
-    def read(cls, path: str) -> Model:
-        """A model file without a character map (identity normalisation)."""
+    def read(cls, path: str, unigram: bool = False) -> Model:
+        """A model file without a character map (identity normalisation); with ``unigram`` as a unigram model, whatever its
+        kind: the normal pieces get the log-probabilities of Zipf's law by their order."""
         pieces, kind, fallback, prefix, squeeze = [], UNIGRAM, False, True, True
         for n, value in fields(open(path, "rb").read()):
             if n == 1:
@@ -117,6 +121,13 @@ class Model:
                 if f.get(2):
                     raise ValueError("models with a character map are not supported")
                 prefix, squeeze = bool(f.get(3, 1)), bool(f.get(4, 1))
+        if unigram and kind != UNIGRAM:
+            order = [i for i, x in enumerate(pieces) if x[2] == NORMAL]
+            score = -np.log(np.arange(1, len(order) + 1))
+            score -= np.log(np.exp(score).sum())
+            for i, x in zip(order, score.astype(np.float32).tolist()):
+                pieces[i] = (pieces[i][0], x, NORMAL)
+            kind = UNIGRAM
         return cls(pieces, kind, fallback, prefix, squeeze)
 
     def _hash(self, piece: str) -> int:
@@ -163,9 +174,10 @@ class Model:
         for i, w in enumerate(words):
             by_length.setdefault(len(w), []).append(i)
         for n, at in by_length.items():
-            if self.kind == BPE and n > LONG:
+            if n > LONG:
+                cut = self._merge_long if self.kind == BPE else self._viterbi_long
                 for i in at:
-                    out[i] = np.array(self.surface_ids(words[i], self._merge_long(words[i])), np.int32).tobytes()
+                    out[i] = np.array(self.surface_ids(words[i], cut(words[i])), np.int32).tobytes()
                 continue
             code = np.array([words[i] for i in at], f"<U{n}").view(np.uint32).reshape(len(at), n)
             prefix = np.zeros((len(at), n + 1), np.uint64)
@@ -218,6 +230,28 @@ class Model:
         bound[:, 0] = 0
         return bound
 
+    def _viterbi_long(self, word: str) -> list[int]:
+        """The same cut of one long word: the scores of all its substrings are probed first."""
+        n, width = len(word), min(self.longest, len(word))
+        code = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        score = np.full((n + 1, width), -np.inf)  # of the piece that ends here and begins width - k before
+        h = np.zeros(n, np.uint64)  # hash of the substring of this size that begins here
+        for size in range(1, width + 1):
+            h = h[:n - size + 1] * BASE + code[size - 1:]
+            found = self.probe(h)
+            score[size:, width - size] = np.where(found >= 0, self.scores[found], self.lowest - 10 if size == 1 else -np.inf)
+        best, back = np.full(n + 1, -np.inf), np.zeros(n + 1, np.int64)
+        best[0] = 0
+        for e in range(1, n + 1):
+            first = max(0, e - width)
+            total = best[first:e] + score[e, width - (e - first):]
+            k = int(total.argmax())
+            best[e], back[e] = total[k], first + k
+        cuts = [n]
+        while cuts[-1]:
+            cuts.append(int(back[cuts[-1]]))
+        return cuts[::-1]
+
     def _pair_scores(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Score of the piece made of the characters from start to end, -inf for none."""
         size = end - start
@@ -290,37 +324,48 @@ def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
-#: Words already encoded in this Python worker, by model.
-_CACHE: dict[str, dict[str, bytes]] = {}
-
-
-def _encoder(bc, text_col: str, out_col: str):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m = bc.value
-        cache = _CACHE.setdefault(m.key, {})
-        texts = batch.column(text_col).to_pylist()
-        words = [m.word.findall(m.normalise(t)) if t else [] for t in texts]
-        distinct = set().union(*words)
-        new = [w for w in distinct if w not in cache]
-        if len(cache) + len(new) > CACHED_WORDS:
-            cache.clear()
-            new = list(distinct)
-        cache.update(zip(new, m.encode_words(new)))
-        values = [b"".join(map(cache.__getitem__, row)) for row in words]
-        offsets = np.cumsum([0, *(len(v) // 4 for v in values)])
-        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(values), np.int32)),
-                                       mask=pa.array([t is None for t in texts]))
-        return pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out_col])
-
-    return per_batch(run, 256)
-
-
-def encode(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """``docs`` with the ids of the text (array of int; null for a null text, empty for an empty one). A
-    column that is already called ``out_col`` is replaced."""
-    docs = docs.drop(out_col)
+def _encoder(bc, text_col: str, out_col: str, decoded_col: str | None):
+    names = [out_col] + [decoded_col] * (decoded_col is not None)
+
+    def run(batches):
+        m, cache, held = bc.value, {}, 0
+
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal held
+            texts = batch.column(text_col).to_pylist()
+            words = [m.word.findall(m.normalise(t)) if t else [] for t in texts]
+            distinct = set().union(*words)
+            new = [w for w in distinct if w not in cache]
+            if held > CACHED_BYTES:
+                cache.clear()
+                held, new = 0, list(distinct)
+            ids = m.encode_words(new)
+            cache.update(zip(new, ids))
+            held += sum(map(sys.getsizeof, new)) + sum(map(sys.getsizeof, ids))
+            values = [b"".join(map(cache.__getitem__, row)) for row in words]
+            offsets = np.cumsum([0, *(len(v) // 4 for v in values)])
+            flat = pa.array(np.frombuffer(b"".join(values), np.int32))
+            cols = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=pa.array([t is None for t in texts]))]
+            if decoded_col is not None:
+                cols.append(pa.array([None if t is None else decode_ids(m, np.frombuffer(v, np.int32)) for t, v in zip(texts, values)], pa.string()))
+            return pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *names])
+
+        yield from per_batch(one, 256)(batches)
+        cache.clear()
+        released()
+
+    return run
+
+
+def encode(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """``docs`` with the ids of the text (array of int; null for a null text, empty for an empty one), and in ``decoded_col``, if
+    named, the text of these ids (see :func:`decode`), in one pass. Columns that are already called so are replaced."""
+    docs = docs.drop(out_col, *[decoded_col] * (decoded_col is not None))
     bc = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_encoder(bc, text_col, out_col), _with(docs, out_col, T.ArrayType(T.IntegerType())))
+    schema = _with(docs, out_col, T.ArrayType(T.IntegerType()))
+    if decoded_col is not None:
+        schema = schema.add(decoded_col, T.StringType())
+    return docs.mapInArrow(_encoder(bc, text_col, out_col, decoded_col), schema)
 
 
 def decode_ids(model: Model, ids: np.ndarray) -> str:

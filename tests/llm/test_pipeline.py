@@ -78,6 +78,27 @@ def test_run(spark, folder):
     assert c.ORACLE_SQL is None
 
 
+def test_extra_columns_stay(spark, folder):
+    """Every stage keeps extra columns named like its own, with their values."""
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline as c
+
+    path, _ = folder
+    names = ["before", "lang_pred", "lang_score", "lang_rejected", "ids", "n_tokens", "decoded", "round_trip", "words", "lost", "id"]
+    plain = spark.read.parquet(f"{path}/documents.parquet").where("doc_id is not null")
+    docs = plain
+    for n in names:
+        docs = docs.withColumn(n, F.concat(F.lit(n), F.col("doc_id")))
+    for name, stage in c.STAGES:
+        out = stage(spark, docs, path)
+        assert out.columns[:len(docs.columns)] == docs.columns, name
+        for r in out.collect():
+            assert all(r[n] == f"{n}{r.doc_id}" for n in names), name
+        assert out.drop(*names).count() == stage(spark, plain, path).count()
+    assert out.columns[len(docs.columns):] == ["ids_", "n_tokens_", "round_trip_"]
+
+
 def test_empty_tables(spark, tmp_path):
     import corpus_pipeline as c
 
