@@ -6,7 +6,9 @@ Parquet and reread as the next one's docs. All but the last return the columns o
 brute force.
 
 Any column may be null. Documents without text or without a letter go in the first stage; an empty table
-stays empty through all stages. Rows that repeat an id stay together.
+stays empty through all stages. Rows that repeat an id stay together. Extra columns of documents stay as they are, whatever
+their names: columns of the stages' own take other names where theirs are taken (the last stage's ``ids``, ``n_tokens`` and
+``round_trip`` get an underscore).
 """
 
 from __future__ import annotations
@@ -15,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citegraph.llm import decontaminate, langid, line_dedup, near_dedup
-from citegraph.llm.common import Stored, crc_mod, table
+from citegraph.llm.common import Stored, crc_mod, free_names, table
 from citegraph.llm.queries import TOKENIZER
-from citegraph.llm.sentencepiece import Model, decode, encode
+from citegraph.llm.sentencepiece import Model, encode
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -28,15 +30,17 @@ def _recounted(docs: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language like the labelled ones; a missing ``lang`` is filled in."""
     model = langid.fit(docs.where(crc_mod("doc_id", 4) != 2))
-    found = langid.predict(docs, model, out_cols=("lang_pred", "lang_score", "lang_rejected"))
-    return found.where(~F.col("lang_rejected")).withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    names = tuple(free_names(docs.columns, "lang_pred", "lang_score", "lang_rejected"))
+    found = langid.predict(docs, model, out_cols=names)
+    return found.where(~F.col(names[2])).withColumn("lang", F.coalesce("lang", names[0])).select(docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that repeat an earlier one; a document that loses all of its text goes."""
-    left = line_dedup.drop_lines(docs.withColumn("before", F.col("text")), line_dedup.duplicate_lines(docs))
+    before, = free_names(docs.columns, "before")
+    left = line_dedup.drop_lines(docs.withColumn(before, F.col("text")), line_dedup.duplicate_lines(docs))
     bare = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "[\\x09-\\x0D]", " ")) == ""
-    return _recounted(left.where(~bare("text") | bare("before")).select(docs.columns))
+    return _recounted(left.where(~bare("text") | bare(before)).select(docs.columns))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +55,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids, and whether decoding these gives the text back."""
-    model = Model.read(TOKENIZER)
-    out = decode(encode(docs, model), model)
-    return out.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"),
-                      F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    model = Model.read(TOKENIZER, unigram=True)
+    ids, number, back, decoded = free_names(docs.columns, "ids", "n_tokens", "round_trip", "decoded")
+    out = encode(docs, model, out_col=ids, decoded_col=decoded)
+    return out.select(*docs.columns, ids, F.size(ids).cast("long").alias(number),
+                      F.col(decoded).eqNullSafe(F.col("text")).alias(back))
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup_stage), ("near_dedup", near_dedup_stage),
