@@ -37,6 +37,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 LONG = 48
 #: Bytes of words and ids that a task keeps.
 CACHED_BYTES = 48 << 20
+#: Sorted keys are found by so many first bits, then one by one.
+FIRST_BITS = 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -102,6 +104,9 @@ class Model:
         self.keys, self.key_ids = keys[order], np.array(list(self.ids.values()), np.int64)[order]
         if len(np.unique(keys)) < len(keys):
             raise ValueError("piece hashes collide")
+        # where the keys with the same first bits begin, and the most of them that share these
+        self.first = np.searchsorted(self.keys, np.arange(1 << FIRST_BITS, dtype=np.uint64) << np.uint64(64 - FIRST_BITS)).astype(np.int32)
+        self.depth = int(np.diff(self.first, append=len(self.keys)).max())
         self.lowest = float(self.scores[list(self.ids.values())].min()) if self.ids else 0.0
 
     @classmethod
@@ -138,8 +143,13 @@ class Model:
 
     def probe(self, h: np.ndarray) -> np.ndarray:
         """Piece id of each substring hash, -1 for none."""
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.key_ids[at], -1)
+        at = self.first[(h >> np.uint64(64 - FIRST_BITS)).view(np.int64)]
+        out = np.full(h.shape, -1, np.int64)
+        for j in range(self.depth):
+            k = np.minimum(at + j, len(self.keys) - 1)
+            hit = self.keys[k] == h
+            out[hit] = self.key_ids[k[hit]]
+        return out
 
     def normalise(self, text: str) -> str:
         if self.squeeze:

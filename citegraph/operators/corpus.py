@@ -79,6 +79,13 @@ def papers_with_refs(bib: DataFrame) -> DataFrame:
     return bib.where(F.size("refs") > 0)
 
 
+def with_ref_counts(papers: DataFrame, citations: DataFrame) -> DataFrame:
+    """P6 / A6 from the edge list: papers with ``n_refs``, their number of references, counted map-side first; no list of a
+    hub's references is gathered."""
+    n = citations.groupBy(F.col("source").alias("paper_id")).agg(F.count(F.lit(1)).alias("n_refs"))
+    return papers.join(n, "paper_id", "left").withColumn("n_refs", F.coalesce("n_refs", F.lit(0)).cast("bigint"))
+
+
 def lookup_papers(papers: DataFrame, ids: DataFrame, id_col: str = "paper_id") -> DataFrame:
     """Rows whose id is in ``ids`` (a semi join; the id table is never collected)."""
     return papers.join(ids.select(F.col(id_col).alias("paper_id")).distinct(), "paper_id", "left_semi")
@@ -184,16 +191,17 @@ def duplicate_texts(texts: DataFrame, text_col: str = "text") -> DataFrame:
             .groupBy("text_md5", "n_chars").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
 
 
-def corpus_counts(bib: DataFrame) -> DataFrame:
-    """Sizes of the corpus maps and lists in one pass (plus the active set)."""
-    base = bib.agg(
+def corpus_counts(papers: DataFrame, citations: DataFrame) -> DataFrame:
+    """Sizes of the corpus maps and lists (plus the active set), from papers and their citations."""
+    base = with_ref_counts(papers.select("paper_id", "title", "abstract"), citations).agg(
         F.count(F.lit(1)).alias("n_papers"),
         F.count("title").alias("n_titles"),
         F.count(F.nullif(F.col("abstract"), F.lit(""))).alias("n_abstracts"),
-        F.sum(F.when(F.size("refs") > 0, 1).otherwise(0)).cast("bigint").alias("n_citing"),
-        F.sum(F.size("refs")).cast("bigint").alias("n_citations"),
+        F.count_if(F.col("n_refs") > 0).alias("n_citing"),
+        F.sum("n_refs").cast("bigint").alias("n_citations"),
     )
-    n_active = active_papers(bib).agg(F.count(F.lit(1)).alias("n_active"))
+    n_active = active_of(lookup_papers(citations.withColumnRenamed("source", "paper_id"), papers)
+                         .withColumnRenamed("paper_id", "source")).agg(F.count(F.lit(1)).alias("n_active"))
     return base.join(n_active)  # one row each
 
 

@@ -122,7 +122,7 @@ def q_duplicates(spark, d):
            (SELECT count(*) FROM active)::BIGINT AS n_active FROM bib""", [("active", ACTIVE_SQL)]))
 def q_counts(spark, d):
     """A6."""
-    return C.corpus_counts(V.bib(spark, d))
+    return C.corpus_counts(V.papers(spark, d), V.doc_cites(spark, d))
 
 
 @register("vocabulary", V.sql_with(["papers", "doc_cites"], f"""
@@ -156,7 +156,7 @@ def q_nonempty(spark, d):
     SELECT paper_id, len(refs) AS n_refs FROM bib WHERE len(refs) > 0"""))
 def q_with_refs(spark, d):
     """P6."""
-    return C.papers_with_refs(V.bib(spark, d)).select("paper_id", F.size("refs").cast("bigint").alias("n_refs"))
+    return C.with_ref_counts(V.papers(spark, d), V.doc_cites(spark, d)).where("n_refs > 0").select("paper_id", "n_refs")
 
 
 @register("lookup_papers", V.sql_with(["papers"], """
