@@ -66,3 +66,31 @@ def test_norm_edges_are_joined_once_an_undirected_edge(spark):
     deg = {0: 3, 1: 4, 2: 2, 3: 1}
     both = [(0, 1), (1, 2), (0, 1)]
     assert got == sorted((a, b, round(1 / (deg[a] * deg[b]) ** 0.5, 9)) for a, b in both + [(b, a) for a, b in both] + [(k, k) for k in deg])
+
+
+def test_chunks_share_the_nodes_of_many_links():
+    """Before, a chunk held 128 links however few nodes there were, and with them the features of nearly all nodes."""
+    from citegraph.operators import sage
+
+    few = sage.chunk_links(2_000, 26_000, (20, 10), 64, 8)
+    assert few == 3_250  # one chunk a core
+    assert sage.chunk_links(20_000, 2_000_000, (20, 10), 64, 8) == sage.MOST_LINKS
+    assert sage.chunk_links(10_000_000, 2_000_000, (20, 10), 64, 8) == sage.CHUNK_LINKS  # links that may share no node
+    assert sage.chunk_links(50, 10, (4, 2), 3, 8) == sage.CHUNK_LINKS
+
+
+def test_a_block_is_scored_a_slice_of_queries_at_a_time(monkeypatch):
+    import pandas as pd
+
+    from citegraph.operators import vectors as VE
+
+    rng = np.random.default_rng(2)
+    x = rng.integers(-3, 4, (40, 5)).astype(float)  # many ties
+    q, v = ({i: list(range(40)), c: list(x)} for i, c in (("qid", "qv"), ("nid", "vv")))
+    for metric, largest in (("l2", False), ("ip", True), ("ip", False)):
+        run = VE._block_topk(4, metric, largest, False)
+        monkeypatch.setattr(VE, "SCORES", 1 << 22)
+        whole = run(pd.DataFrame(q), pd.DataFrame(v))
+        monkeypatch.setattr(VE, "SCORES", 100)
+        sliced = run(pd.DataFrame(q), pd.DataFrame(v))
+        assert whole.reset_index(drop=True).equals(sliced.reset_index(drop=True)) and set(whole["qid"]) == set(range(40))
