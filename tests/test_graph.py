@@ -165,3 +165,25 @@ def test_hub_neighbours_are_dealt(spark, monkeypatch):
         out.setdefault(s, set()).add(t)
     want = {(q, x) for q, n in knn.collect() for x in {n} | out.get(n, set())}
     assert got == want
+
+
+def test_expanded_rows_are_dealt_over_tasks(spark, monkeypatch):
+    """The tasks that drop the repeats grow with the found rows, and the search below runs once."""
+    from citegraph.operators import recommend as RC
+
+    monkeypatch.setattr(RC, "TASK_ROWS", 10)
+    runs = spark.sparkContext.accumulator(0)
+
+    def search(batches):
+        for pdf in batches:
+            runs.add(len(pdf))
+            yield pdf
+
+    knn = spark.createDataFrame([(q, n) for q in range(20) for n in (1, 2)], "query_id long, neighbour_id long").mapInPandas(
+        search, "query_id long, neighbour_id long")
+    cites = spark.createDataFrame([(1, t) for t in range(10, 30)] + [(2, t) for t in range(20, 40)], "source long, target long")
+    got = RC.expand_neighbours(knn, cites)
+    assert got.rdd.getNumPartitions() == 84  # 40 neighbours and 800 references, repeats included
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(q, x) for q in range(20) for x in (1, 2, *range(10, 40))}
+    assert runs.value == 40
