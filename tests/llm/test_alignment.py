@@ -106,3 +106,18 @@ def test_links_of_long_groups(monkeypatch):
         monkeypatch.setattr(m, "EXPANDED", size)
         keys, times = x.links(a, b, end_a, end_b)
         assert dict(zip(keys.tolist(), times.tolist())) == want
+
+
+def test_groups_end_where_both_end():
+    """Against the definition, tokens without bytes included; none where a side has no tokens."""
+    from citegraph.llm import alignment as AL
+
+    x, rng = AL.Aligner.__new__(AL.Aligner), np.random.default_rng(7)
+    x.size_a, x.size_b = np.array([0, 1, 2, 5]), np.array([0, 1, 3, 4])
+    for n, m in ((0, 0), (0, 3), (3, 0), *[(40, 45)] * 20):
+        a, b = rng.integers(0, 4, n), rng.integers(0, 4, m)
+        last = lambda sizes: {int(e): k + 1 for k, e in enumerate(np.cumsum(sizes))}
+        at_a, at_b = last(x.size_a[a]), last(x.size_b[b])
+        both = sorted(at_a.keys() & at_b.keys())
+        got = x.groups(a, b)
+        assert [g.tolist() for g in got] == [[at[e] for e in both] for at in (at_a, at_b)]
