@@ -305,6 +305,33 @@ def test_graphsage_gradients_finite_difference(spark):
                 assert np.isclose((slope[0] - slope[1]) / 2e-6, grads[which][at], rtol=1e-4, atol=1e-6), (act, which, at)
 
 
+def test_gcn_epoch_writes_three_tables(spark, monkeypatch):
+    """An epoch writes its two layers' and its links' tables, with validation beside the training pass, and the losses of
+    validation are those of a pass of its own by the same weights."""
+    from citegraph.operators import gnn
+    from citegraph.operators import graph as G
+    from citegraph.session import RunTables
+
+    rng = np.random.default_rng(6)
+    nodes = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(12)], "id long, embedding array<double>")
+    e = spark.createDataFrame([(a, (a + k) % 12) for a in range(12) for k in (1, 3)], "source long, target long")
+    links = spark.createDataFrame([(a, (a + 2) % 12, a % 2) for a in range(12)], "source long, target long, label int")
+    val = spark.createDataFrame([(a, (a + 5) % 12, a % 2) for a in range(7)], "source long, target long, label int")
+    written = []
+    put = RunTables.put
+    monkeypatch.setattr(RunTables, "put", lambda self, df: written.append(df.columns) or put(self, df))
+    counts, runs = [], []
+    for epochs in (1, 3):
+        written.clear()
+        runs.append(gnn.train_gcn(nodes, e, links, units=(4, 4), epochs=epochs, lr=0.05, seed=3, val_links=val))
+        counts.append(len(written))
+    assert counts[1] - counts[0] == 2 * 3
+    params, hist = runs[0][0], {(r["epoch"], r["split"]): (r["loss"], r["acc"]) for r in runs[1][1].collect()}
+    x, norm = nodes.select("id", F.col("embedding").alias("h")), G.gcn_norm_edges(nodes, e)
+    own = gnn.link_loss(gnn.score_links(val, gnn.gcn_forward(x, norm, params)[1]))
+    assert len(hist) == 6 and np.allclose(hist[0, "validation"], own, rtol=1e-12)
+
+
 def test_dropout_masks():
     """A function of seed, epoch, layer, node and unit, with the kept share and the same mean."""
     from citegraph.operators.dropout import Dropout
