@@ -9,6 +9,7 @@ before the shuffle.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -151,9 +152,14 @@ def mean_aggregate(sampled: DataFrame, h: DataFrame, nodes: DataFrame, dim: int,
 
 
 # ---------------------------------------------------------------- G12
+#: Links with their vectors that one task joins, on average.
+LINK_ROWS = 1 << 18
+
+
 def link_score(links: DataFrame, emb: DataFrame, *, op: str = "ip", act: str = "sigmoid",
-               id_col: str = "id", vec_col: str = "h") -> DataFrame:
-    """Join both ends' vectors, combine, activate → ``score``. A link end without a vector is an error.
+               id_col: str = "id", vec_col: str = "h", doubles: bool = False) -> DataFrame:
+    """Join both ends' vectors, combine, activate → ``score``. A link end without a vector is an error. With ``doubles`` vectors
+    of a narrower type are combined as doubles, but joined as they are.
 
     ``op``: ``ip`` (inner product; others return the link embedding array:
     ``hadamard``, ``l1``, ``l2``, ``avg``, ``concat``). ``act``: sigmoid, relu, linear.
@@ -162,9 +168,16 @@ def link_score(links: DataFrame, emb: DataFrame, *, op: str = "ip", act: str = "
 
     a = emb.select(F.col(id_col).alias("source"), F.col(vec_col).alias("_a"))
     b = emb.select(F.col(id_col).alias("target"), F.col(vec_col).alias("_b"))
-    j = links.join(a, "source", "left").join(b, "target", "left").where(
+    j = links.join(a, "source", "left")
+    if op != "ip":  # rows as wide as two vectors: tasks of a bounded number of them
+        tasks = math.ceil(links.count() / LINK_ROWS)
+        if tasks > int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            j = j.repartition(tasks, "target")
+    j = j.join(b, "target", "left").where(
         F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.lit(True)).otherwise(F.raise_error(
             F.concat_ws(" ", F.lit("link end without a vector:"), "source", "target")).cast("boolean")))
+    if doubles:
+        j = j.withColumn("_a", F.col("_a").cast("array<double>")).withColumn("_b", F.col("_b").cast("array<double>"))
     if op == "ip":
         raw = dot("_a", "_b")
         score = {"sigmoid": sigmoid(raw), "relu": relu(raw), "linear": raw}[act]
@@ -204,16 +217,11 @@ def spanning_forest(nodes: DataFrame, edges: DataFrame, seed: int = 42, *, id_co
 FINISH_EDGES = 1 << 20
 
 
-def _kruskal(batches):
-    """The spanning forest's edges among the components of a contracted graph, lightest first, and the root of every
-    component: rows ('edge', a, b) and ('root', component, root)."""
+def _forest_of(e):
+    """(edges, lightest first; which of them the spanning forest takes; parent pointers) of a contracted graph."""
     import numpy as np
-    import pandas as pd
 
-    parts = [pdf for pdf in batches if len(pdf)]
-    if not parts:
-        return
-    e = pd.concat(parts).sort_values(["w", "a", "b"])
+    e = e.sort_values(["w", "a", "b"])
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -230,14 +238,53 @@ def _kruskal(batches):
         if x != y:
             parent[max(x, y)] = min(x, y)
             taken[k] = True
+    return e, taken, {x: find(x) for x in list(parent)}
+
+
+def _kruskal(batches):
+    """The spanning forest's edges among the components of a contracted graph, lightest first, and the root of every
+    component: rows ('edge', a, b) and ('root', component, root)."""
+    import pandas as pd
+
+    parts = [pdf for pdf in batches if len(pdf)]
+    if not parts:
+        return
+    e, taken, root = _forest_of(pd.concat(parts))
     yield pd.DataFrame({"kind": "edge", "a": e["a"][taken], "b": e["b"][taken]})
-    yield pd.DataFrame({"kind": "root", "a": list(parent), "b": [find(x) for x in parent]})
+    yield pd.DataFrame({"kind": "root", "a": list(root), "b": list(root.values())})
+
+
+def _thinned(most: int):
+    """Of the edges that a task reads those that a spanning forest may take: ``most`` at a time, with the ones left of those
+    before, are cut to their own forest. (The heaviest edge of a cycle is in no minimum forest.)"""
+    def run(batches):
+        import pandas as pd
+
+        held, n = [], 0
+        for pdf in batches:
+            held.append(pdf)
+            n += len(pdf)
+            if n >= most:
+                e, taken, _root = _forest_of(pd.concat(held))
+                held, n = [e[taken]], 0
+                if 2 * len(held[0]) > most:  # no task holds more, however many components there are
+                    yield held.pop()
+        if sum(map(len, held)):
+            e, taken, _root = _forest_of(pd.concat(held))
+            yield e[taken]
+
+    return run
+
+
+#: Edges a vertex from which a graph is thinned, and those that a task reads for every vertex.
+THIN_FROM, THIN_READ = 4, 8
 
 
 def _boruvka(nodes: DataFrame, edges: DataFrame, seed: int = 42, *, id_col: str = "id", simple: bool = False):
     """Borůvka rounds → (forest edges, component of every node).
 
-    A contracted graph of at most ``FINISH_EDGES`` edges is finished by one task (:func:`_kruskal`). Above that, each round every component picks its lightest outgoing edge (``min`` of a
+    A contracted graph of at most ``FINISH_EDGES`` edges is finished by one task (:func:`_kruskal`). One of many edges a vertex is first
+    thinned where it lies (:func:`_thinned`), without a shuffle, to a forest a task. Above that, each round every component picks its lightest outgoing edge (``min`` of a
     (weight, a, b) struct, combined map-side), the picked edges join the forest, and components
     merge: each points to the component at the other end of its pick (a mutual pick is broken
     towards the smaller id), and pointer jumping finds the roots. The edge table is then contracted: edges
@@ -253,6 +300,7 @@ def _boruvka(nodes: DataFrame, edges: DataFrame, seed: int = 42, *, id_col: str
         F.col("source").alias("a"), F.col("target").alias("b"), F.col("source").alias("ca"), F.col("target").alias("cb"),
         hash64(F.lit(seed), "source", "target").alias("w")))
     picks, maps = [], []
+    vertices, thin = nodes.count(), True
     while (left := e.count()):
         if left <= FINISH_EDGES:
             rest = run.put(e.select("w", "a", "b", "ca", "cb").coalesce(1).mapInPandas(
@@ -260,6 +308,13 @@ def _boruvka(nodes: DataFrame, edges: DataFrame, seed: int = 42, *, id_col: str
             picks.append(rest.where("kind = 'edge'").select("a", "b"))
             maps.append(rest.where("kind = 'root'").select(F.col("a").alias("c"), F.col("b").alias("p")))
             break
+        if thin and left > THIN_FROM * vertices:
+            tasks = max(1, math.ceil(left / (THIN_READ * max(1, vertices))))
+            less = run.put(e.coalesce(tasks).mapInPandas(_thinned(FINISH_EDGES), e.schema))
+            run.drop(e)
+            e, thin = less, 2 * less.count() < left
+            continue
+        vertices, thin = vertices // 2, True  # every component joins another one
         side = (e.select(F.col("ca").alias("c"), "w", "a", "b", F.col("cb").alias("other"))
                 .unionByName(e.select(F.col("cb").alias("c"), "w", "a", "b", F.col("ca").alias("other"))))
         pick = run.put(side.groupBy("c").agg(F.min(F.struct("w", "a", "b", "other")).alias("p"))
@@ -312,8 +367,6 @@ def split_links(nodes: DataFrame, edges: DataFrame, p: float = 0.1, seed: int =
     the spanning forest when ``keep_connected`` (removing them cannot split a
     component; all of them when there are fewer), else among all edges. Negatives: as many non-edges (T9).
     """
-    import math
-
     from citegraph.operators.sampling import least_hashed, sample_negative_links
     from citegraph.functions.hashing import hash64
 

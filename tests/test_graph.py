@@ -187,3 +187,27 @@ def test_expanded_rows_are_dealt_over_tasks(spark, monkeypatch):
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == {(q, x) for q in range(20) for x in (1, 2, *range(10, 40))}
     assert runs.value == 40
+
+
+def test_dense_graph_is_thinned_to_the_same_forest(spark, monkeypatch):
+    """A graph of many edges a vertex is cut to forests where it lies: few tables are written, the forest is the minimum one."""
+    from citegraph.functions.hashing import hash64
+    from citegraph.session import RunTables
+
+    n = 30
+    monkeypatch.setattr(G, "FINISH_EDGES", 64)
+    nodes = spark.range(n)
+    e = spark.createDataFrame([(a, b) for a in range(n) for b in range(a + 1, n) if (a < 20) == (b < 20)], "source long, target long")
+    weights = {(r["source"], r["target"]): r["w"] for r in e.select("source", "target", hash64(F.lit(7), "source", "target").alias("w")).collect()}
+    root, want = list(range(n)), set()
+    for a, b in sorted(weights, key=weights.get):
+        if root[a] != root[b]:
+            want.add((a, b))
+            root = [root[a] if x == root[b] else x for x in root]
+    written, put = [], RunTables.put
+    monkeypatch.setattr(RunTables, "put", lambda self, df: written.append(df.columns) or put(self, df))
+    got = {tuple(r) for r in G.spanning_forest(nodes, e.repartition(3), 7, simple=True).collect()}
+    assert got == want and len(got) == n - 2
+    assert len(written) <= 4 and not any("moved" in c for c in written)  # no round of joins
+    low = {r["id"]: r["component"] for r in G.connected_components(nodes, e, seed=7).collect()}
+    assert low == {i: 0 if i < 20 else 20 for i in range(n)}
