@@ -197,7 +197,8 @@ def towards_ends(a, b, slopes, n_links: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(out)
 
 
-_TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<double>": pa.list_(pa.float64()),
+          "array<long>": pa.list_(pa.int64())}
 
 
 def _arrow(schema: str) -> list:

@@ -514,10 +514,10 @@ def _feature_sql(op: str) -> str:
         FROM ({_feature_sql(op)}) GROUP BY 1, 2, 3""" for op in LH.OPS), LINKS_CTES + [HX, _ENDS]))
 def q_link_embeddings(spark, d):
     """The five link embeddings of every sampled link (their length, sum, and sum by position)."""
-    h = V.vectors(spark, d).select("id", F.col("embedding").cast("array<double>").alias("h"))
+    h = V.vectors(spark, d).select("id", F.col("embedding").alias("h"))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
     weighted = F.aggregate(F.transform("e", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
-    out = [G.link_score(links(spark, d), h, op=op).withColumnRenamed("link_embedding", "e").select(
+    out = [G.link_score(links(spark, d), h, op=op, doubles=True).withColumnRenamed("link_embedding", "e").select(
         F.lit(op).alias("op"), "source", "target", F.size("e").cast("bigint").alias("dim"), r6(total).alias("total"),
         F.round(weighted, 4).alias("weighted")) for op in LH.OPS]
     return reduce(lambda a, b: a.unionByName(b), out)
@@ -551,7 +551,7 @@ def q_link_head_step(spark, d):
     through both ends at every node's vector (a thousand times its sum)."""
     h = V.vectors(spark, d).select("id", F.col("embedding").alias("h"))
     ends = cut_lineage(LH.with_ends(links(spark, d), h))
-    n, out = ends.count(), []
+    n, out = links(spark, d).count(), []
     for op in LH.OPS:
         w = gnn.glorot(SEED, f"head_{op}", DIM * (2 if op == "concat" else 1), 1)[:, 0]
         _loss, gw, gb = LH.head_gradients(ends, n, op, w, 0.0)

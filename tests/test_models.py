@@ -1,6 +1,7 @@
 """M5 gradient vs finite difference; GCN loss falls on a planted-partition graph."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from citegraph.operators import embed as EM
@@ -415,3 +416,24 @@ def test_link_head(spark):
                 assert np.isclose((loss(up, w, b, op) - loss(down, w, b, op)) / (2 * eps), g[k], atol=1e-7), (op, i, k)
     w, b, losses = LH.train_link_head(links, emb, op="l2", epochs=8, lr=0.1)
     assert losses[-1] < losses[0] and LH.score_head(links, emb, "l2", w, b).where("score between 0 and 1").count() == total
+
+
+def test_link_head_ends_hold_a_vector_once(spark):
+    """A cell of links holds a node's vector once, not once a link; ids that repeat give a link for each of their vectors."""
+    from citegraph.operators import link_head as LH
+
+    links = spark.createDataFrame([(k % 3, 3 + k % 2, k % 2) for k in range(600)], "source long, target long, label int")
+    rows = [(i, [float(i), 1.0 - i]) for i in range(5)]
+    schema = "id long, h array<float>"
+    ends = LH.with_ends(links, spark.createDataFrame(rows, schema)).cache()
+    held = ends.agg(F.sum(F.size("a") + F.size("b")), F.sum(F.size("label")), F.count("*")).first()
+    assert held[1] == 600 and held[0] <= 2 * 5 * held[2]
+    w = np.array([0.3, -0.2])
+    one = {r["id"]: np.array(r["g"]) for r in LH.end_gradients(ends, 600, "hadamard", w, 0.1).collect()}
+    assert sorted(one) == [0, 1, 2, 3, 4]
+    again = LH.with_ends(links, spark.createDataFrame(rows + rows[:1] + [(None, [1.0, 1.0]), (9, None)], schema)).cache()
+    assert again.agg(F.sum(F.size("label"))).first()[0] == 800
+    two = {r["id"]: np.array(r["g"]) for r in LH.end_gradients(again, 600, "hadamard", w, 0.1).collect()}
+    assert np.allclose(two[0], 2 * one[0]) and np.allclose(two[1], one[1])
+    with pytest.raises(Exception, match="link end without a vector"):
+        LH.with_ends(links, spark.createDataFrame(rows[1:] + [(0, None)], schema)).collect()
