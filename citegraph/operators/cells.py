@@ -197,6 +197,70 @@ def towards_ends(a, b, slopes, n_links: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(out)
 
 
+def _ends(r: pa.Table, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one side of a cell: sorted ids (they may repeat), their vectors as columns (shorter ones end in zeros), the length of
+    each (-1: no vector), and norms. Sums go from the first component to the last, as in ``functions.vector``."""
+    r = r.filter(pc.equal(r["_side"], side))
+    ids = column(r, "_id")
+    order = np.argsort(ids, kind="stable")
+    vec = r["_v"].combine_chunks().take(pa.array(order))
+    size = pc.fill_null(pc.list_value_length(vec), -1).to_numpy(zero_copy_only=False)
+    full = np.maximum(size, 0)
+    x = np.zeros((int(full.max(initial=0)), len(ids)))
+    row = np.repeat(np.arange(len(ids)), full)
+    x[np.arange(len(row)) - np.repeat(np.cumsum(full) - full, full), row] = vec.flatten().to_numpy(zero_copy_only=False)
+    norm = np.zeros(len(ids))
+    for c in x:
+        norm += c * c
+    return ids[order], x, size, np.sqrt(norm)
+
+
+def _cosine_cell(l: pa.Table, r: pa.Table) -> pa.Table:  # noqa: E741
+    (ids_a, x, size_a, norm_a), (ids_b, y, size_b, norm_b) = _ends(r, "a"), _ends(r, "b")
+    first_a, first_b = (np.searchsorted(ids, column(l, end)) for ids, end in ((ids_a, "source"), (ids_b, "target")))
+    n_a, n_b = (np.searchsorted(ids, column(l, end), "right") - first for ids, end, first in (
+        (ids_a, "source", first_a), (ids_b, "target", first_b)))
+    out = [pa.nulls(0, pa.float64())]
+    times = n_a * n_b  # a link stands as often as its ends' vectors do
+    link = np.repeat(np.arange(len(times)), times)
+    nth = np.arange(len(link)) - np.repeat(np.cumsum(times) - times, times)
+    for s in range(0, len(link), SLICE):
+        at, k = link[s:s + SLICE], nth[s:s + SLICE]
+        a, b = first_a[at] + k // n_b[at], first_b[at] + k % n_b[at]
+        product = np.zeros(len(at))
+        for u, v in zip(x, y):
+            product += u[a] * v[b]
+        norms = norm_a[a] * norm_b[b]
+        known = (size_a[a] >= 0) & (size_a[a] == size_b[b]) & (norms != 0)
+        out.append(pa.array(np.divide(product, norms, out=np.zeros(len(at)), where=known), mask=~known))
+    take = pa.array(link)
+    return pa.table({"source": l["source"].take(take), "target": l["target"].take(take), "label": l["label"].take(take),
+                     "cosine": pa.chunked_array(out)})
+
+
+def link_cosines(links: DataFrame, vectors: DataFrame, *, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
+    """(source, target, label, cosine of both ends' vectors) of the links (source, target, label) whose ends have a vector row; null where
+    an end has a zero vector, none, one of missing components or of another length. What repeats, repeats in the result.
+
+    No link is shuffled with a vector: a cell gets the vector of a source once, if it has links of it, and those of its block of
+    targets. Both tables should be stored.
+    """
+    n, m = vectors.count(), links.count()
+    cells = max(math.ceil(m / CELL_EDGES), links.sparkSession.sparkContext.defaultParallelism)
+    b = max(math.ceil(n / STATE_ROWS), math.ceil(math.sqrt(cells)))  # copies of a source; a target has ``a`` of them
+    a = math.ceil(cells / b)
+    left = (links.where("source is not null and target is not null").select("source", "target", F.col("label").cast("int").alias("label"))
+            .withColumn("_a", block("source", a)).withColumn("_b", block("target", b)))
+    whole = F.when(~F.exists(vec_col, lambda x: x.isNull()), F.col(vec_col))
+    v = vectors.select(F.col(id_col).cast("long").alias("_id"), whole.alias("_v")).where("_id is not null")
+    used = left.select(F.col("source").alias("_id"), "_a", "_b").distinct()
+    at = lambda side, a, b: (F.lit(side).alias("_side"), F.col("_id"), F.col("_v"), a.alias("_a"), b.alias("_b"))
+    right = (v.join(used, "_id").select(*at("a", F.col("_a"), F.col("_b")))
+             .unionByName(v.withColumn("_k", all_blocks(a)).select(*at("b", F.col("_k"), block("_id", b)))))
+    return left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInArrow(
+        _cosine_cell, "source long, target long, label int, cosine double")
+
+
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<double>": pa.list_(pa.float64()),
           "array<long>": pa.list_(pa.int64())}
 

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from citegraph.functions.vector import cosine
 from citegraph.operators import metrics as M
 from citegraph.operators import recommend as R
+from citegraph.operators.cells import link_cosines
 from citegraph.plans import views as V
 from citegraph.plans.catalog import r6, register
 from citegraph.plans.q_sampling import LINKS_CTES, links, und
@@ -27,12 +27,8 @@ VIEWS = ["vec_cites", "vectors"]
 
 
 def scored(spark, d):
-    vec = V.vectors(spark, d)
-    a = vec.select(F.col("id").alias("source"), F.col("embedding").alias("_a"))
-    b = vec.select(F.col("id").alias("target"), F.col("embedding").alias("_b"))
-    return (links(spark, d).join(a, "source").join(b, "target")
-            .select("source", "target", "label",
-                    ((F.lit(1.0) + cosine("_a", "_b")) / 2.0).alias("score")))
+    found = link_cosines(links(spark, d), V.vectors(spark, d))
+    return found.select("source", "target", "label", ((F.lit(1.0) + F.col("cosine")) / 2.0).alias("score"))
 
 
 def decisions(spark, d):

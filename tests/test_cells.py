@@ -94,3 +94,35 @@ def test_a_block_is_scored_a_slice_of_queries_at_a_time(monkeypatch):
         monkeypatch.setattr(VE, "SCORES", 100)
         sliced = run(pd.DataFrame(q), pd.DataFrame(v))
         assert whole.reset_index(drop=True).equals(sliced.reset_index(drop=True)) and set(whole["qid"]) == set(range(40))
+
+
+def test_link_cosines_meet_in_cells(spark, monkeypatch):
+    """The bits of the joined expression, whatever the blocks and however odd the ends; no link is shuffled with a vector."""
+    from pyspark.sql import functions as F
+
+    from citegraph.functions.vector import cosine
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate(rng.normal(size=(40, 7)).astype(np.float32))]
+    rows += [(3, [1.0] * 7), (3, None), (None, [1.0] * 7), (50, [0.0] * 7), (51, [1.0, None] + [1.0] * 5), (52, [1.0, 2.0]), (53, []),
+             (54, [float("nan")] * 7), (5, rows[5][1])]
+    vec = spark.createDataFrame(rows, "id long, embedding array<float>")
+    ids = [*range(42), *range(50, 55), None]
+    pairs = [(ids[a], ids[b], k % 2) for k, (a, b) in enumerate(rng.integers(0, len(ids), (400, 2)).tolist())]
+    links = spark.createDataFrame(pairs + pairs[:9], "source long, target long, label int")
+    a, b = (vec.select(F.col("id").alias(end), F.col("embedding").alias(name)) for end, name in (("source", "a"), ("target", "b")))
+    key = lambda df: sorted(map(repr, df.collect()))
+    want = key(links.join(a, "source").join(b, "target").select("source", "target", "label", cosine("a", "b").alias("cosine")))
+    for state_rows in (1 << 16, 9):
+        monkeypatch.setattr(C, "STATE_ROWS", state_rows)
+        assert key(C.link_cosines(links, vec)) == want
+    assert C.link_cosines(links, vec.where("false")).count() == C.link_cosines(links.where("false"), vec).count() == 0
+
+
+def test_scored_links_are_shuffled_without_vectors(spark, monkeypatch):
+    from citegraph.plans import q_metrics as Q
+
+    links = spark.createDataFrame([(0, 1, 1), (1, 2, 0)], "source long, target long, label int")
+    monkeypatch.setattr(Q, "links", lambda *_: links)
+    plans = plan(Q.scored(spark, "/root/testdata/sf0.001"))
+    assert "FlatMapCoGroupsInArrow" in plans and "zip_with" not in plans
