@@ -167,3 +167,34 @@ def test_ann_is_complete(spark):
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(50)], "id long, embedding array<double>")
     got = VI.ann_knn(same, same, 5).collect()
     assert sorted((r["query_id"], r["neighbour_id"]) for r in got) == [(q, i) for q in range(50) for i in range(5)]
+
+
+def test_block_is_screened_in_floats(monkeypatch):
+    """A block of plain vectors is compared exactly only for the few pairs that floats leave; near copies, copies, repeated ids and
+    odd numbers still get the lists that scores in doubles give."""
+    import pandas as pd
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 12))
+    near = x.copy()
+    near[:150] = 40 + x[0] + rng.normal(size=(150, 12)) * 1e-5
+    nan = x.copy()
+    nan[5, 3] = np.nan
+    tables = {"plain": (x, x, range(300)), "near": (near, near, range(300)), "copies": (np.round(x), np.round(x), range(300)),
+              "ids": (x, x, np.arange(300) // 3), "nan": (nan, x, range(300)), "huge": (x * 1e20, x * 1e20, range(300))}
+    exact = VE._narrowed
+    asked = []
+    monkeypatch.setattr(VE, "SCREEN_ROWS", 64)
+    monkeypatch.setattr(VE, "SCREEN_QUERIES", 70)
+    monkeypatch.setattr(VE, "_narrowed", lambda *a: asked.append(1) or exact(*a))
+    for name, (q, v, ids) in tables.items():
+        frames = [pd.DataFrame({c[0]: np.array(ids), c[1]: list(y)}) for c, y in ((("qid", "qv"), q), (("nid", "vv"), v))]
+        for metric, largest, alone in (("l2", False, True), ("l2", False, False), ("ip", True, False), ("ip", False, True)):
+            run = VE._block_topk(5, metric, largest, alone)
+            asked.clear()
+            got = run(*frames)
+            assert not (name == "plain" and asked)
+            with monkeypatch.context() as m:
+                m.setattr(VE, "_screened", lambda *a: None)
+                want = run(*frames)
+            assert asked and got.equals(want)
