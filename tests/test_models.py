@@ -154,6 +154,18 @@ def test_paragraph_vectors(spark, tmp_out):
     assert own.mean() > (model.vectors @ d).mean()
 
 
+def test_paragraphs_are_dealt_over_the_cores(spark):
+    """Texts of one file are inferred by many tasks, and get what one task gives them."""
+    from citegraph.operators import paragraphs as PG
+
+    rng = np.random.default_rng(1)
+    texts = [[f"t{x}" for x in rng.integers(0, 9, 40)] for _ in range(200)]
+    model = PG.WordModel({f"t{i}": i for i in range(9)}, rng.normal(size=(9, 4)).astype(np.float32), np.arange(1, 10) / 9)
+    out = PG.infer_paragraphs(model, spark.createDataFrame(list(enumerate(texts)), "paper_id long, tokens array<string>").coalesce(1))
+    assert len(set(out.select(F.spark_partition_id()).toPandas().iloc[:, 0])) >= spark.sparkContext.defaultParallelism
+    assert all((np.array(r["embedding"]) == model.infer(texts[r["id"]])).all() for r in out.collect())
+
+
 def test_vocabulary_bound(spark):
     from citegraph.operators import paragraphs as PG
 
