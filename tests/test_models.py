@@ -449,3 +449,55 @@ def test_link_head_ends_hold_a_vector_once(spark):
     assert np.allclose(two[0], 2 * one[0]) and np.allclose(two[1], one[1])
     with pytest.raises(Exception, match="link end without a vector"):
         LH.with_ends(links, spark.createDataFrame(rows[1:] + [(0, None)], schema)).collect()
+
+
+def test_written_steps_leave_no_shuffle_files(spark):
+    """What a table of a run was shuffled by is released once it is written."""
+    import os
+    import time
+
+    from citegraph.session import RunTables
+
+    jvm = spark.sparkContext._jvm
+    folders = [d.getPath() for d in jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for _, _, fs in os.walk(d) for f in fs if f.startswith("shuffle_") and f.endswith(".data")}
+    before, run = files(), RunTables(spark)
+    out = run.put(spark.range(5000).groupBy((F.col("id") % 97).alias("k")).agg(F.count("*").alias("n")))
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and out.count() == 97
+    run.clear()
+
+
+def test_link_chunks_keep_floats(spark):
+    """Features are stored as wide as they come, and a step over floats is the step over the same numbers as doubles."""
+    from citegraph.operators import sage
+    from citegraph.operators.dropout import Dropout
+
+    nodes, e, links = planted(spark)
+    floats = nodes.select("id", F.col("embedding").cast("array<float>").alias("embedding"))
+    params, found = sage.initial(3, (6, 4), 3), []
+    for x in (floats, floats.select("id", F.col("embedding").cast("array<double>").alias("embedding"))):
+        chunks = sage.link_chunks(x, e, links, num_samples=(4, 2), seed=3)
+        assert dict(chunks.dtypes)["x"] == dict(x.dtypes)["embedding"]
+        found.append(sage.sage_step(chunks, links.count(), params, drop=Dropout(0.3, 3, 1), act="sigmoid"))
+    assert np.isclose(found[0][0], found[1][0]) and all(np.allclose(a, b) for a, b in zip(found[0][2], found[1][2]))
+
+
+def test_mean_of_rows_gathers_no_copy_of_them():
+    """The mean over sampled neighbours holds a row a group at a time, not all that are averaged."""
+    import tracemalloc
+
+    from citegraph.operators import sage
+
+    rng = np.random.default_rng(2)
+    x, size = rng.normal(size=(500, 16)), np.append(rng.integers(0, 40, 200), [0, 400])
+    nb, ends = rng.integers(0, 500, size.sum()), np.cumsum(size)
+    tracemalloc.start()
+    got = sage._mean(x, nb, size)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = [x[nb[e - n:e]].mean(0) if n else np.zeros(16) for e, n in zip(ends, size)]
+    assert np.allclose(got, want) and most < nb.size * 16 * 8 / 4
