@@ -501,3 +501,26 @@ def test_mean_of_rows_gathers_no_copy_of_them():
     tracemalloc.stop()
     want = [x[nb[e - n:e]].mean(0) if n else np.zeros(16) for e, n in zip(ends, size)]
     assert np.allclose(got, want) and most < nb.size * 16 * 8 / 4
+
+
+def test_pair_blocks_move_in_bounded_pieces(spark, monkeypatch):
+    """A block is stored as the bytes of pieces of bounded size, an epoch's pairs as one row for each two blocks that meet; a round by
+    packed pairs is the round by single ones, and pairs of a null end meet in none."""
+    rng = np.random.default_rng(5)
+    n_p, n_r, dim, blocks = 23, 9, 3, 2
+    monkeypatch.setattr(EM, "PIECE_ROWS", 4)
+    state = EM.block_state(n_p, blocks, dim, 5, "P", spark).unionByName(EM.block_state(n_r, blocks, dim, 5, "R", spark)).cache()
+    held = state.select("side", "blk", "part", F.length("state").alias("n")).collect()
+    assert max(r["n"] for r in held) == 4 * 3 * dim * 8 and sum(r["n"] for r in held) == (n_p + n_r) * 3 * dim * 8
+    rows = sorted({(int(p), int(r), 1.0) for p, r in zip(rng.integers(0, n_p, 80), rng.integers(0, n_r, 80))})
+    pairs = spark.createDataFrame([(*x, 1 + k % 3) for k, x in enumerate(rows)], "paper_idx long, ref_idx long, label double, times long")
+    lost = spark.createDataFrame([(3, None, 1.0, 7), (None, 2, 1.0, 4)], pairs.schema)
+    packed = EM.pack_pairs(pairs.unionByName(lost), blocks).cache()
+    assert packed.count() <= blocks * blocks + 2
+    assert packed.where("rnd is null").select(F.explode("times").alias("t")).agg(F.sum("t")).first()[0] == 11
+    for rnd in range(blocks):
+        single = pairs.where((F.col("ref_idx") % blocks - F.col("paper_idx") % blocks + blocks) % blocks == rnd)
+        got = [EM.block_round(state, x, rnd, 100, 1, dim=dim, blocks=blocks, opt=EM.Adam()) for x in (single, packed.where(F.col("rnd") == rnd))]
+        for side in ("P", "R"):
+            one, two = ({r["idx"]: (r["w"], r["m"], r["s"]) for r in EM.block_rows(g, side, blocks, dim).collect()} for g in got)
+            assert one == two and len(one) == (n_p if side == "P" else n_r)
