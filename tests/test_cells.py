@@ -126,3 +126,27 @@ def test_scored_links_are_shuffled_without_vectors(spark, monkeypatch):
     monkeypatch.setattr(Q, "links", lambda *_: links)
     plans = plan(Q.scored(spark, "/root/testdata/sf0.001"))
     assert "FlatMapCoGroupsInArrow" in plans and "zip_with" not in plans
+
+
+def test_packed_edges_are_bytes(spark):
+    """An edge of a packed cell takes 12 bytes beside the ids of its nodes, and none is taken apart on the way; sources without a
+    vector send nothing, and their receivers are not there if they have no other."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    rows = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 30, 900), rng.integers(0, 30, 900), rng.random(900))] + [(-7, 99, 1.0), (3, 99, 1.0)]
+    edges = spark.createDataFrame(rows, "dst long, src long, w double")
+    x = {i: rng.normal(size=3) for i in range(30) if i != 4}
+    h = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "id long, h array<double>")
+    want = {}
+    for dst, src, w in rows:
+        if src in x:
+            want[dst] = want.get(dst, 0.0) + w * x[src]
+    for cells in (C.Cells(1, 3), C.Cells(2, 2)):
+        packed = C.pack_edges(edges, cells).cache()
+        assert {t for c, t in packed.dtypes if not c.startswith("_")} == {"binary"}
+        size = packed.select(F.sum(F.length("at")), F.sum(F.length("w"))).first()
+        assert tuple(size) == (4 * len(rows), 8 * len(rows))
+        for e in (edges, packed):
+            got = {r["id"]: r["h"] for r in C.weighted_sums(e, h, cells).collect()}
+            assert got.keys() == want.keys() and -7 not in got and all(np.allclose(got[i], want[i]) for i in want)
